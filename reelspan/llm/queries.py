@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from reelspan.llm import line_dedup
+from reelspan.llm import line_dedup, suffix_array, suffix_trees
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
+    "op8_substring_dedup": suffix_trees.op8_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
