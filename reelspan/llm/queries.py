@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from reelspan.llm import line_dedup, suffix_array, suffix_trees
+from reelspan.llm import language_id, line_dedup, packing, suffix_array, suffix_trees
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
     "op8_substring_dedup": suffix_trees.op8_substring_dedup,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
