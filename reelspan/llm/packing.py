@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import store, table, workspace
 
-CAPACITY, END, GROUPS, SMALL = 1024, 2, 48, 128
+CAPACITY, END, GROUPS, SMALL = 1024, 2, 256, 256
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
