@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from reelspan.llm import language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
+from reelspan.llm import decontaminate, language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_warc": warc.op3_warc,
     "op4_license_scan": licenses.op4_license_scan,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
     "op8_substring_dedup": suffix_trees.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
@@ -17,4 +18,5 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
+    "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
