@@ -8,10 +8,10 @@ every position, so it is done in steps that each keep every match:
    gives its distinct least grams (about one in twenty units).
 2. Grams that only one document has are left out (one aggregation with a combine on the map side,
    then a join back that adaptive execution may split).
-3. The runs of windows behind the other grams, with their units, go to the group of their gram.
+3. Exact copies of an earlier document go whole. Of the others, the runs of windows behind the other grams, with their units, go to the group of their gram.
    Where a gram is in over `hot` documents its windows go one by one, each to the group of its
    whole content: a longer prefix for a crowded group. Runs that an earlier document in the same
-   batch holds word for word are settled before the shuffle.
+   batch holds unit for unit are settled before the shuffle.
 4. A group compares its windows exactly (`flags`), by the method of the operator.
 5. The covered spans meet their documents once, on (doc_id, hash of the text).
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import store
 
-HOT = 1000
+HOT = 20_000
 #: Windows of one run that travel together, and bytes of units that a task compares at once.
 RUN, CHUNK = 64, 6 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -96,13 +96,15 @@ def runs_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_lists(units: Units, size: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            grams = [np.unique(least_grams(units(t.as_py() or b""), size, k)).tobytes() for t in batch.column(2)]
-            rows = [x for x in zip(ids, hashes, grams, strict=True) if x[2] and x[0] is not None]
+            rows = []
+            for doc, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = units(text or b"")
+                if doc is not None and len(own) >= size:
+                    rows.append((doc, th, xxhash.xxh3_64_intdigest(text) - (1 << 63), len(own), np.unique(least_grams(own, size, k)).tobytes()))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -148,15 +150,20 @@ def _shared_runs(units: Units, size: int, k: int):
             out: list[tuple] = []
             held = 0
             for doc, th, text, grams, hot in rows:
+                last = -1  # place in `out` of this document's last settled run
                 for key, start, n, content in of(text, np.array(grams, np.int64), set(hot)):
                     if seen.setdefault(content, doc) < doc:
-                        out.append((th, doc, th, start, n, None))
+                        if last >= 0 and out[last][3] + out[last][4] == start:
+                            out[last] = (*out[last][:4], out[last][4] + n, None)
+                        else:
+                            last = len(out)
+                            out.append((hash((doc, th)), doc, th, start, n, None))
                     else:
                         out.append((key, doc, th, start, n, content))
                         held += len(content)
                 if held > CHUNK or len(out) > 100_000:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RUN_SCHEMA.types, strict=True)], schema=RUN_SCHEMA)
-                    out, held = [], 0
+                    out, held, last = [], 0, -1
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RUN_SCHEMA.types, strict=True)], schema=RUN_SCHEMA)
 
@@ -249,15 +256,17 @@ def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, fl
     """All rows of `docs` with one more column `_cut`: n, n_removed, n_spans and the kept bytes."""
     units, dtype = (word_units, np.uint64) if words else (byte_units, np.uint8)
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
-    lists = store(slim.select("doc_id", "th", "text").mapInArrow(_gram_lists(units, size, k), "doc_id long, th long, grams binary"), folder, "grams")
-    grams = lists.mapInArrow(_explode_grams, "g long, doc_id long, th long")
+    lists = store(slim.select("doc_id", "th", "text").mapInArrow(_gram_lists(units, size, k), "doc_id long, th long, check long, n int, grams binary"), folder, "grams")
+    texts = lists.groupBy("th", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    copies = store(lists.join(texts, ["th", "check"]).filter("doc_id > lo").select("doc_id", "th", F.lit(0).alias("s"), F.col("n").alias("e")), folder, "copies")
+    grams = lists.select("doc_id", "th", "grams").mapInArrow(_explode_grams, "g long, doc_id long, th long")
     counted = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = store(counted.filter("lo < hi").select("g", (F.col("n") > hot).alias("crowded")), folder, "shared")
     found = grams.join(shared.hint("shuffle_hash"), "g")
     per_doc = store(found.groupBy("doc_id", "th").agg(F.collect_list("g").alias("grams"), F.collect_list(F.when(F.col("crowded"), F.col("g"))).alias("hot")), folder, "found")
-    runs = slim.join(per_doc, ["doc_id", "th"]).select("doc_id", "th", "text", "grams", "hot").mapInArrow(_shared_runs(units, size, k), "key long, doc_id long, th long, start int, n int, units binary")
+    runs = slim.join(per_doc.join(copies, ["doc_id", "th"], "left_anti"), ["doc_id", "th"]).select("doc_id", "th", "text", "grams", "hot").mapInArrow(_shared_runs(units, size, k), "key long, doc_id long, th long, start int, n int, units binary")
     spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_matched(flags, size, dtype), "doc_id long, th long, s int, e int")
-    spans = store(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans")), folder, "spans")
+    spans = store(spans.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans")), folder, "spans")
     keyed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("binary")))
     joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_doc", "th": "_own"}), (F.col("doc_id") == F.col("_doc")) & (F.col("_th") == F.col("_own")), "left")
     return joined.withColumn("_cut", _cut(words)(F.col("text").cast("binary"), "_spans")).drop("_th", "_doc", "_own", "_spans")
