@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reelspan.llm import decontaminate, language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
+from reelspan.llm import decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_warc": warc.op3_warc,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op2_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op3_warc": warc.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
     "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
