@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelspan.llm import decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
+from reelspan.llm import ann, decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, suffix_array, suffix_trees, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_suffix_array_dedup": suffix_array.op6_suffix_array_dedup,
+    "op7_ann": ann.op7_ann,
     "op8_substring_dedup": suffix_trees.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
