@@ -36,6 +36,8 @@ HOT = 20_000
 #: Windows of one run that travel together, and bytes of units that a task compares at once.
 RUN, CHUNK = 64, 6 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a gram's hash. Grams that collide share a group, whose windows are compared in full.
+BYTES = 6
 
 Units = Callable[[bytes], np.ndarray]
 Flags = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
@@ -78,7 +80,17 @@ def least_grams(units: np.ndarray, size: int, k: int) -> np.ndarray:
         done = done ^ (done >> np.uint64(31))
         done = done * np.uint64(0xBF58476D1CE4E5B9)
         done ^= done >> np.uint64(30)
-    return _sliding_min(done, size - k + 1)
+    return _sliding_min(done >> np.uint64(8 * (8 - BYTES)), size - k + 1)
+
+
+def packed(grams: np.ndarray) -> bytes:
+    return grams.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.reshape(-1).view(np.int64)
 
 
 def runs_of(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +116,7 @@ def _gram_lists(units: Units, size: int, k: int):
             for doc, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = units(text or b"")
                 if doc is not None and len(own) >= size:
-                    rows.append((doc, th, xxhash.xxh3_64_intdigest(text) - (1 << 63), len(own), np.unique(least_grams(own, size, k)).tobytes()))
+                    rows.append((doc, th, xxhash.xxh3_64_intdigest(text) - (1 << 63), len(own), packed(np.unique(least_grams(own, size, k)))))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -114,9 +126,9 @@ def _gram_lists(units: Units, size: int, k: int):
 def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(2).to_pylist()
-        counts = np.array([len(x) // 8 for x in lists], np.int64)
+        counts = np.array([len(x) // BYTES for x in lists], np.int64)
         row = pa.array(np.repeat(np.arange(len(lists)), counts))
-        grams = np.frombuffer(b"".join(lists), np.int64)
+        grams = unpacked(b"".join(lists))
         step = 1 << 18
         for i in range(0, len(grams), step):
             at = row[i : i + step]

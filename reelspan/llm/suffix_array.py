@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from reelspan.llm.common import table, workspace
 from reelspan.llm.repeats import cut_repeats
 
-SIZE, GRAM = 50, 16
+SIZE, GRAM = 50, 20
 
 
 def later_copies(units: np.ndarray, starts: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
