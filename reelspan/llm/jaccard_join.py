@@ -13,8 +13,8 @@ largest groups (by count, then hash: an order all share), and two that link shar
 built over the documents that share one.
 
 1. Sets with equal content are one node. Nodes name their groups; names of one node only drop out.
-2. Each name links its least node with its others (linear in the group's size). The pairs that pass
-   the bound are verified, and links are joined into components.
+2. A node is tried with the least nodes of its names, `STARS` of them at most. The pairs that pass the
+   bound are verified, and links are joined into components.
 3. Names whose nodes are not in one component yet get their tree, and pairs across components that
    pass the bound are verified. Names with over `SHARD` nodes spread their queries over shards.
    No link between components can be missed; links inside one don't change it.
@@ -39,8 +39,9 @@ from reelspan.llm.common import store, table, workspace
 from reelspan.llm.components import components
 
 WIDTH, THRESHOLD = 4, 85
-#: Coordinates of the count vectors, points of a leaf, and nodes of a name from which queries are spread.
-GROUPS, LEAF, SHARD = 32, 32, 2000
+#: Coordinates of the count vectors, points of a leaf, nodes of a name from which queries are spread, and
+#: stars that a node is tried with before trees are built.
+GROUPS, LEAF, SHARD, STARS = 256, 32, 2000, 4
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -231,7 +232,8 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
     shared = store(named.groupBy("name").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("name", "lo"), folder, "shared")
     members = store(named.join(shared.hint("shuffle_hash"), "name").select("name", "rep", "lo"), folder, "members")
 
-    stars = members.filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = members.filter("rep <> lo").groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("lo")), 1, STARS).alias("hubs"))
+    stars = hubs.select(F.explode("hubs").alias("a"), F.col("rep").alias("b"))
     tried = store(_bounded(stars, nodes, threshold), folder, "stars")
     links = store(_verified(tried, docs, width, threshold), folder, "links")
     labels = components(links, folder, "first")
