@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from reelspan.llm.common import table
 
 #: Labelled documents of one language that the classifiers are fitted on, at most.
-SAMPLE = 600
+SAMPLE = 400
 DIMS, ROUNDS, RIDGE, STEEPNESS = 4096, 150, 1e-4, 4.0
+#: Rows whose features a worker holds at a time.
+ROWS = 500
 UNKNOWN, MIN_SCORE = "und", 0.5
 # Language families by ISO 639-1 code; a code not listed is a family of its own.
 FAMILIES = {
@@ -61,13 +63,14 @@ def features(text: bytes, dims: int = DIMS) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A linear machine with squared hinge loss, by accelerated gradient steps; the bias comes last."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = ahead = np.zeros(x.shape[1])
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    y, w = y.astype(np.float32), np.zeros(x.shape[1], np.float32)
+    ahead = w
     for i in range(ROUNDS):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        step = ahead - 0.24 * (RIDGE * ahead - 2 * x.T @ (weight * y * slack))
-        w, ahead = step, step + i / (i + 3) * (step - w)
-    return w.astype(np.float32)
+        step = ahead - np.float32(0.24) * (np.float32(RIDGE) * ahead - 2 * x.T @ (weight * y * slack))
+        w, ahead = step, step + np.float32(i / (i + 3)) * (step - w)
+    return w
 
 
 class Machines:
@@ -107,16 +110,16 @@ class LanguageModel:
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rows = [i for i, t in enumerate(texts) if t and has_letter(t.decode("utf-8", "replace"))]
-        if not rows:
-            return langs, scores
-        x = np.array([features(texts[i]) for i in rows])
-        family, sure = self.family.predict(x)
-        for f, machines in enumerate(self.inside):
-            own = np.flatnonzero(family == f)
-            if len(own):
-                best, inner = machines.predict(x[own])
-                for i, b, p in zip(own, best, inner * sure[own], strict=True):
-                    langs[rows[i]], scores[rows[i]] = machines.classes[b], p
+        for at in range(0, len(rows), ROWS):
+            part = rows[at : at + ROWS]
+            x = np.array([features(texts[i]) for i in part])
+            family, sure = self.family.predict(x)
+            for f, machines in enumerate(self.inside):
+                own = np.flatnonzero(family == f)
+                if len(own):
+                    best, inner = machines.predict(x[own])
+                    for i, b, p in zip(own, best, inner * sure[own], strict=True):
+                        langs[part[i]], scores[part[i]] = machines.classes[b], p
         return langs, scores
 
 

@@ -39,7 +39,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's tokenizer cuts a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: White space before white space: only there can a token of this vocabulary's pattern hold more of it
 #: than one leading space. A comma or full stop after a letter begins a token.
 CROSSING, STOPS = re.compile(r"\s\s"), ",."
