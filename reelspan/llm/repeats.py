@@ -269,7 +269,8 @@ def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, fl
     units, dtype = (word_units, np.uint64) if words else (byte_units, np.uint8)
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     lists = store(slim.select("doc_id", "th", "text").mapInArrow(_gram_lists(units, size, k), "doc_id long, th long, check long, n int, grams binary"), folder, "grams")
-    texts = lists.groupBy("th", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    # a table of its own, so that the join below may split the rows of a text with very many copies
+    texts = store(lists.groupBy("th", "check").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), folder, "texts")
     copies = store(lists.join(texts, ["th", "check"]).filter("doc_id > lo").select("doc_id", "th", F.lit(0).alias("s"), F.col("n").alias("e")), folder, "copies")
     grams = lists.select("doc_id", "th", "grams").mapInArrow(_explode_grams, "g long, doc_id long, th long")
     counted = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
