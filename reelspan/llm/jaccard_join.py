@@ -227,7 +227,7 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
     ids = ["f1", "f2", "n"]
     reps = sets.filter("n > 0").groupBy(*ids).agg(F.min("doc_id").alias("rep"))
     chosen = reps.withColumn("doc_id", F.col("rep")).filter("rep IS NOT NULL")
-    nodes = store(sets.join(chosen, [*ids, "doc_id"]).select("rep", "n", "vec", "names").dropDuplicates(["rep", "n", "names"]), folder, "nodes")
+    nodes = store(sets.join(chosen, [*ids, "doc_id"]).dropDuplicates([*ids, "doc_id"]).select("rep", "n", "vec", "names"), folder, "nodes")
     named = nodes.select("rep", "names").mapInArrow(_explode_names, "name long, rep long")
     shared = store(named.groupBy("name").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("name", "lo"), folder, "shared")
     members = store(named.join(shared.hint("shuffle_hash"), "name").select("name", "rep", "lo"), folder, "members")
