@@ -134,3 +134,42 @@ def split_points(smoothed: DataFrame, distance: int = 8, prominence: float = 0.0
         return pd.DataFrame({"episode": own["episode"].iloc[0], "points": [found]})
 
     return smoothed.select("episode", "frame_idx", "smooth").groupBy("episode").applyInPandas(run, "episode long, points array<int>")
+
+
+def pchip(at: np.ndarray, values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Monotone cubic interpolation: slopes are weighted harmonic means of the neighbouring secants."""
+    h, d = np.diff(at).astype(float), np.diff(values) / np.diff(at)
+    if len(at) == 2:
+        return np.interp(where, at, values)
+    slope = np.zeros(len(at))
+    same = d[:-1] * d[1:] > 0
+    a, b = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+    slope[1:-1][same] = ((a + b)[same]) / (a[same] / d[:-1][same] + b[same] / d[1:][same])
+
+    def end(h0: float, h1: float, d0: float, d1: float) -> float:
+        s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        if s * d0 <= 0:
+            return 0.0
+        return 3 * d0 if d0 * d1 < 0 and abs(s) > 3 * abs(d0) else s
+
+    slope[0], slope[-1] = end(h[0], h[1], d[0], d[1]), end(h[-1], h[-2], d[-1], d[-2])
+    i = np.clip(np.searchsorted(at, where, side="right") - 1, 0, len(h) - 1)
+    t = (where - at[i]) / h[i]
+    return values[i] * (1 + 2 * t) * (1 - t) ** 2 + h[i] * slope[i] * t * (1 - t) ** 2 + values[i + 1] * t * t * (3 - 2 * t) + h[i] * slope[i + 1] * t * t * (t - 1)
+
+
+def interpolated_monotone(frames: DataFrame, known: Column) -> DataFrame:
+    """episode, frame_idx and filled: monotone cubic between known frames, null outside the first and last."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("frame_idx")
+        at, keep = own["frame_idx"].to_numpy(float), own["known"].fillna(False).to_numpy(bool)
+        filled = np.full(len(own), np.nan)
+        if keep.sum() >= 2:
+            inside = (at >= at[keep][0]) & (at <= at[keep][-1])
+            filled[inside] = pchip(at[keep], own["signal"].to_numpy(float)[keep], at[inside])
+        filled[keep] = own["signal"].to_numpy(float)[keep]
+        return pd.DataFrame({"episode": own["episode"], "frame_idx": own["frame_idx"], "filled": pd.Series(filled, index=own.index, dtype=object).where(~np.isnan(filled), None)})
+
+    rows = frames.select("episode", F.col("frame_idx").cast("long").alias("frame_idx"), "signal", known.alias("known"))
+    return rows.groupBy("episode").applyInPandas(run, "episode long, frame_idx long, filled double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.operators import draws, episodes, sampling, scenes
+from reelspan.operators import draws, episodes, sampling, scenes, vocabulary
 from reelspan.plans.queries import FRAMES, WORDS, frames, query, words
 from reelspan.sources.tables import table
 
@@ -224,3 +224,17 @@ def wrist_path(spark, sf):
     kept = frames(spark, sf).filter("event_type <> 'error'")
     moved = kept.withColumn("_d", F.abs(F.col("signal") - F.lag("signal").over(episodes.by_frame())))
     return moved.groupBy("episode").agg(F.round(F.sum("_d"), 4).alias("path"))
+
+
+@query(f"""WITH {WORDS}, d AS (SELECT DISTINCT word AS w FROM words)
+SELECT x.w AS a, y.w AS b FROM d x JOIN d y ON x.w < y.w WHERE (length(x.w) > 4 AND length(y.w) > 4 AND left(x.w, 4) = left(y.w, 4))
+  OR (abs(length(x.w) - length(y.w)) <= 2 AND len([i for i in range(1, least(length(x.w), length(y.w)) + 1) if x.w[i] <> y.w[i]]) <= 2)""")
+def near_duplicate_words(spark, sf):
+    return vocabulary.near_pairs(words(spark, sf), "word")
+
+
+@query("SELECT p_partkey, 'take the ' || p_name || ' and put it on the ' || split_part(p_name, ' ', 2) || ' box' AS instruction FROM part")
+def filled_templates(spark, sf):
+    slots = F.create_map(F.lit("noun"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("adjective"), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    text = F.lit("take the {adjective} {noun} and put it on the {missing} {noun} box")
+    return table(spark, sf, "part").select("p_partkey", vocabulary.fill(text, slots).alias("instruction"))

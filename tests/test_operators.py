@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelspan.functions import geometry as g
 from reelspan.functions import text
-from reelspan.operators import corpus, episodes, sampling, vectors
+from reelspan.operators import corpus, episodes, sampling, vectors, vocabulary
 from reelspan.sources import tables
 from reelspan.streaming import jobs
 
@@ -120,3 +120,29 @@ def test_failure_budget(spark):
     except RuntimeError:
         return
     raise AssertionError("the budget was passed over")
+
+
+def near(a, b):
+    return (len(a) > 4 and len(b) > 4 and a[:4] == b[:4]) or (abs(len(a) - len(b)) <= 2 and sum(x != y for x, y in zip(a, b, strict=False)) <= 2)
+
+
+def test_near_words_and_ordered_acceptance(spark):
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(70)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {tuple(r) for r in vocabulary.near_pairs(df, "word").collect()} == {(a, b) for a in words for b in words if a < b and near(a, b)}
+    taken = []
+    for w in words:
+        if not any(near(t, w) for t in taken):
+            taken.append(w)
+    assert sorted(r.word for r in vocabulary.accepted(df, "word").collect()) == taken
+
+
+def test_monotone_interpolation(spark):
+    at, values = np.array([0.0, 2.0, 5.0, 6.0]), np.array([0.0, 1.0, 1.0, 4.0])
+    where = np.linspace(0, 6, 61)
+    y = episodes.pchip(at, values, where)
+    assert np.all(np.diff(y) >= -1e-12) and np.allclose(episodes.pchip(at, values, at), values)
+    df = spark.createDataFrame([(1, i, float(i), i in (1, 3, 6)) for i in range(8)], "episode long, frame_idx long, signal double, k boolean")
+    got = [r.filled for r in episodes.interpolated_monotone(df, F.col("k")).orderBy("frame_idx").collect()]
+    assert got[0] is None and got[7] is None and np.allclose(got[1:7], [1, 2, 3, 4, 5, 6])
