@@ -26,7 +26,7 @@ SAMPLE = 400
 DIMS, ROUNDS, RIDGE, STEEPNESS = 4096, 150, 1e-4, 4.0
 #: Rows whose features a worker holds at a time.
 ROWS = 500
-UNKNOWN, MIN_SCORE = "und", 0.5
+UNKNOWN, MIN_SCORE = "und", 0.2
 # Language families by ISO 639-1 code; a code not listed is a family of its own.
 FAMILIES = {
     "romance": "ca es fr gl it pt ro",
