@@ -1,8 +1,8 @@
 """WARC archives: written with Spark's text writer, read back by boundary-chain verification.
 
 Writing. A payload is a string, so a record is one too, and the four bytes that end a record are the
-writer's line separator: files come from Spark's own writer, on any file system that Spark reaches,
-and failed tasks leave nothing behind. The first page (by page_id) of each payload is a `response`
+writer's line separator: files (gzipped whole) come from Spark's own writer, on any file system that Spark
+reaches, and failed tasks leave nothing behind. The first page (by page_id) of each payload is a `response`
 with an HTTP block; others are `revisit` records with the HTTP headers only. The join that tells them
 apart is on the payload's digest; adaptive execution may split the pages of a hot payload.
 
@@ -19,6 +19,7 @@ responses too. A null page_id comes after all others; a null url leaves its head
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -77,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records: int
     shared = rows.filter(F.col("_bytes") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     shared = shared.filter("_n > 1 AND _first IS NOT NULL").drop("_n")
     typed = rows.join(shared, "_sha1", "left").withColumn("_revisits", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
-    typed.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(path)
+    typed.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarray:
@@ -111,7 +112,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for content in batch.column(0):
-            data = content.as_py()
+            data = gzip.decompress(content.as_py())
             found = []
             for m in re.finditer(re.escape(MAGIC), data):
                 body = data.find(b"\r\n\r\n", m.start()) + 4
