@@ -4,8 +4,11 @@ A text is cut into sentences twice, with line ends as boundaries and as spaces (
 often wrapped). Sentences are normalised (lower case, runs of other than letters and digits become
 one space) and looked up among the known ones; what remains of a text is a short string of
 identifiers such as <3><4><5>. A rule matches where its identifiers come in their order, with
-anything between. All of it is one projection over the documents: nothing is shuffled, so neither
-hot sources nor copies matter, and memory is one row's.
+anything between. Texts that can hold a licence in its published layout are cut a third time, into
+clauses: at sentence ends, ':', ';', lines without a letter or digit, copyright lines and list
+letters, with wrapped lines joined; more sentences and rules hold for that cut alone. All of it is
+one projection over the documents: nothing is shuffled, so neither hot sources nor copies matter,
+and memory is one row's.
 
 Defined results: null or empty text has no sentences and no licences. Each row stands for itself.
 """
@@ -55,8 +58,40 @@ RULES = {
     "CC-BY-NC-4.0": ((19,),),
     "CC-BY-4.0": ((20,), (21,)),
 }
+# Sentences as the clause cut of published texts gives them, numbered on from SENTENCES.
+CLAUSES = (
+    "you may obtain a copy of the license at",
+    "the asf licenses this file to you under the apache license version 2 0 the license",
+    "apache license version 2 0 january 2004 http www apache org licenses",
+    "terms and conditions for use reproduction and distribution",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "this program is distributed in the hope that it will be useful but without any warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gnu general public license version 3 29 june 2007",
+    "gnu general public license version 2 june 1991",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this program is free software",
+    "apache license version 2 0 january 2004 https www apache org licenses",
+)
+_I = len(SENTENCES)
+#: Clauses that also count at the end of a longer one: a holder's name or address comes before them.
+TAILS = (CLAUSES[10], CLAUSES[11])
+CLAUSE_RULES = {
+    "Apache-2.0": ((7, 8, _I + 1), (_I + 2, 8, _I + 1), (_I + 2, 10), (_I + 3, _I + 4), (_I + 14, _I + 4)),
+    "GPL-3.0": ((_I + 13, _I + 5, _I + 7, _I + 8), (_I + 9, _I + 11)),
+    "GPL-2.0-or-later": ((_I + 13, _I + 6, _I + 7, _I + 8),),
+    "BSD-3-Clause": ((15, 16, 17, _I + 12),),
+    "GPL-2.0": ((_I + 10, _I + 11),),
+}
 MARK = "\x01"
 ENDS = r"[.!?]+(\s+|$)"
+#: Every rule has a sentence that holds one of these; other texts need no clauses.
+HINT = r"(?i)licen[sc]e|permission|redistribut|cc\W+by"
+LETTERED = r"(^|\n)[ \t]*(?:dnl|rem)(?=\s)"  # comment prefixes that are letters
+CLAUSE_ENDS = r"[.!?]+(\s+|$)|(?<=[\p{L}\p{N}\x22')”])[:;](\s+|$)|\n[^\p{L}\p{N}]*\n|(?<=\n)[^\p{L}\p{N}\n]*\(?[a-z0-9]{1,2}\)\s|all rights reserved"
+COPYRIGHT = r"(^|\n)([^\p{L}\p{N}\n]*(?:copyright[ \t]+[(©<\[12]|\(c\)[ \t]+copyright|©)[^\n]*)(\n|$)"
 
 
 def sentences(text: Column, lines: bool) -> Column:
@@ -66,9 +101,24 @@ def sentences(text: Column, lines: bool) -> Column:
     return F.filter(F.transform(F.split(plain, MARK), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def identifiers(found: Column) -> Column:
+def clauses(text: Column) -> Column:
+    """Normalised clauses of a text in a licence's published layout, with or without comment signs."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n"), LETTERED, "$1")
+    marked = F.regexp_replace(F.regexp_replace(bare, COPYRIGHT, f"$1{MARK}$2{MARK}\n"), CLAUSE_ENDS, MARK)
+    plain = F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
+
+    def named(s: Column) -> Column:
+        out = F.trim(s)
+        for tail in TAILS:
+            out = F.when(F.endswith(F.trim(s), F.lit(" " + tail)), F.lit(tail)).otherwise(out)
+        return out
+
+    return F.when(text.rlike(HINT), F.filter(F.transform(F.split(plain, MARK), named), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+
+
+def identifiers(found: Column, sentences_: tuple[str, ...] = SENTENCES) -> Column:
     """The known sentences as a string of <identifier>s."""
-    known = F.array(*map(F.lit, SENTENCES))
+    known = F.array(*map(F.lit, sentences_))
     numbers = F.filter(F.transform(found, lambda s: F.array_position(known, s)), lambda i: i > 0)
     return F.concat_ws("", F.transform(numbers, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
 
@@ -81,17 +131,24 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """`docs` with n_sentences, line_ids, sentence_ids and license_ids in one struct `_licenses`."""
     by_line = docs.withColumn("_s", sentences(F.col("text"), lines=True))
     found = by_line.withColumn("_n", F.size("_s").cast("long")).withColumn("_a", identifiers(F.col("_s"))).withColumn("_b", identifiers(sentences(F.col("text"), lines=False)))
-    hits = []
-    for name, rules in RULES.items():
+    found = found.withColumn("_c", identifiers(clauses(F.col("text")), SENTENCES + CLAUSES))
+
+    def matches(name: str) -> Column:
         match = F.lit(False)
-        for rule in rules:
-            match = match | follows(F.col("_a"), rule) | follows(F.col("_b"), rule)
+        for rule in RULES.get(name, ()):
+            match = match | follows(F.col("_a"), rule) | follows(F.col("_b"), rule) | follows(F.col("_c"), rule)
+        for rule in CLAUSE_RULES.get(name, ()):
+            match = match | follows(F.col("_c"), rule)
+        return match
+
+    hits = []
+    for name in dict.fromkeys([*RULES, *CLAUSE_RULES]):
+        match = matches(name)
         if name == "BSD-2-Clause":  # its sentences begin those of the three-clause licence
-            longer = RULES["BSD-3-Clause"][0]
-            match = match & ~follows(F.col("_a"), longer) & ~follows(F.col("_b"), longer)
+            match = match & ~matches("BSD-3-Clause")
         hits.append(F.when(match, F.lit(name)))
     out = F.struct(F.col("_n").alias("n_sentences"), F.col("_a").alias("line_ids"), F.col("_b").alias("sentence_ids"), F.concat_ws(",", *hits).alias("license_ids"))
-    return found.withColumn("_licenses", out).drop("_s", "_n", "_a", "_b")
+    return found.withColumn("_licenses", out).drop("_s", "_n", "_a", "_b", "_c")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

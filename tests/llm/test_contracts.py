@@ -178,6 +178,95 @@ def test_licences_in_order(spark):
     assert found == {1: "MIT", 2: "", 3: "MIT", 4: "", 5: "", 6: "MIT", None: "MIT"}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+APACHE_TEXT = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD2_TEXT = """Copyright (c) 2019, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_TEXT = BSD2_TEXT + """3. Neither the name of Example Inc. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+GPL3_TEXT = """Copyright (C) 2020  Jane Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL2_TEXT = GPL3_TEXT.replace("software:", "software;").replace("version 3", "version 2")
+
+
+@pytest.mark.parametrize(("text", "name"), [(MIT_TEXT, "MIT"), (APACHE_TEXT, "Apache-2.0"), (BSD2_TEXT, "BSD-2-Clause"), (BSD3_TEXT, "BSD-3-Clause"), (GPL3_TEXT, "GPL-3.0"), (GPL2_TEXT, "GPL-2.0-or-later")])
+def test_published_licences(spark, text, name):
+    def commented(sign):
+        return "import x\n" + "\n".join(f"{sign} {line}".rstrip() for line in text.splitlines()) + "\n\ncode = 1\n"
+
+    forms = [text, text.replace("\n", "\r\n"), "x = 1\n\n" + text + "\n\nmore", "/*\n" + commented(" *") + " */", *map(commented, ("#", "//", "--", ";;", "dnl", "REM", '.\\"'))]
+    forms += [text.replace("1. R", "* R").replace("2. R", "* R").replace("3. N", "* N"), text.replace("1. R", "(a) R").replace("2. R", "(b) R").replace("3. N", "(c) N")]
+    forms += [text.replace("Jane Doe\n\n", "Jane Doe\n"), text.replace("reserved.\n\n", "reserved\n")]
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    found = [r.license_ids for r in licenses.scan_licenses(docs).select("doc_id", "_licenses.license_ids").orderBy("doc_id").collect()]
+    assert found == [name] * len(forms)
+
+
+def test_licence_clauses_need_their_hint():
+    import re
+
+    known = licenses.SENTENCES + licenses.CLAUSES
+    for rules in (licenses.RULES, licenses.CLAUSE_RULES):
+        for rule in (r for own in rules.values() for r in own):
+            assert any(re.search(licenses.HINT, known[i - 1]) for i in rule)
+
+
 def test_contaminations_on_awkward_rows(spark):
     item = " ".join(f"q{i}" for i in range(57))
     changed = item.replace("q30 ", "zz ")
