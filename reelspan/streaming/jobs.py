@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from reelspan.sources.folders import scratch
 
 
-def replay(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """A Parquet table as a stream with a timestamp column `ts`."""
+def replay(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table as a stream with a timestamp column `ts`.
+
+    All files come in one batch of an availableNow run: files may be in any order of time, and a
+    watermark set by an earlier batch would drop rows of later ones as late.
+    """
     folder, _, name = path.rstrip("/").rpartition("/")
     # as a pattern, a stream's path may be one file as well as a folder of files
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{name}}}")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/{{{name}}}")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

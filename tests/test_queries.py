@@ -16,6 +16,14 @@ def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
 
 
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_dedupe", "stream_join"])
+def test_streams_of_shuffled_files(spark, sf, name, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list(tmp_path.glob("events.parquet/part-*"))) == 20
+    same_rows(QUERIES[name](spark, str(tmp_path)), duck(sf), ORACLE_SQL[name])
+
+
 def test_entry(spark):
     import __spark_entry__
 
