@@ -36,6 +36,8 @@ from reelspan.llm.common import store, table, workspace
 CAPACITY, END, GROUPS, SMALL = 1024, 2, 256, 256
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids (tests compare them), some ten times as fast.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Fixed value: the added tokens of byte_bpe_50k.json and their ids; in a text they stand for themselves.
+ADDED = {"<|endoftext|>": 50256}
 # Fixed value: the pattern by which this vocabulary's tokenizer cuts a text before merging bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a Python worker remembers.
@@ -43,6 +45,7 @@ REMEMBERED = 300_000
 #: White space before white space: only there can a token of this vocabulary's pattern hold more of it
 #: than one leading space. A comma or full stop after a letter begins a token.
 CROSSING, STOPS = re.compile(r"\s\s"), ",."
+ADDED_TOKEN = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 _workers: dict[str, Tokens] = {}
 
 
@@ -83,7 +86,15 @@ class Tokens:
     def _ids(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes() if text else b""
 
+    def document(self, text: str) -> bytes:
+        """The ids of a text in which added tokens count: they end the text on either side of them."""
+        if not any(token in text for token in ADDED):
+            return self.encode(text)
+        parts = ADDED_TOKEN.split(text)
+        return b"".join(np.array([ADDED[x]], "<u4").tobytes() if x in ADDED else self.encode(x) for x in parts if x)
+
     def encode(self, text: str) -> bytes:
+        """The ids of ordinary text."""
         if CROSSING.search(text):
             return self._ids(text)
         lines, later = [], self.later.__getitem__
@@ -102,7 +113,7 @@ def _pieces(path: str, capacity: int):
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = tokens.encode(text.as_py() or "") + end
+                    ids = tokens.document(text.as_py() or "") + end
                     n = len(ids) // 4
                     first = n if n <= capacity else n % capacity or capacity
                     start, stop, piece = 0, first, 0

@@ -355,6 +355,22 @@ def test_tokens_of_odd_spacing():
             assert np.frombuffer(tokens.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert {x.content: i for i, x in reference.get_added_tokens_decoder().items()} == packing.ADDED
+    end = "<|endoftext|>"
+    texts = [f"a {end} x", end, f"{end}{end}", f"a  {end}  b\n{end}\n", f" {end}", f"<|endoftext|{end}", "<|endoftext |>", f"it's{end}'s", f"one\ntwo {end}. b", f"word {end} " * 700, "plain"]
+    ids = {i: [*reference.encode(text, add_special_tokens=False).ids, 2] for i, text in enumerate(texts)}
+    assert ids[0][:-1] == [64, 220, 50256, 2124]
+    out = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), workspace(spark, "t"), packing.vocabulary_path()).toPandas()
+    assert out.groupby("doc_id")["length"].sum().to_dict() == {k: len(v) for k, v in ids.items()}
+    for r in out.itertuples():
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
 def test_plan_places_every_piece():
     rng = random.Random(4)
     counts: dict[int, int] = {}
