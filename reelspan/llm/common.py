@@ -15,18 +15,27 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Frees a job's shuffle files when the job ends instead of when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bounds what a Python worker is given at once: very long texts come in batches of fewer rows.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: A key that holds more than one row in SHARE is joined by broadcast: there can be SHARE such keys at most.
+SHARE = 1000
 
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables under the shared folder of spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is set.
+    Without that setting a local session (as in tests) gets a temporary folder; on a cluster it is an
+    error, since a folder of one machine would lose rows. Also bounds the bytes of the batches that
+    Python workers get in this session.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-reelspan-")
         sc.setCheckpointDir(base)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,6 +57,19 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """Left join of `rows` with `shared` (one row a key), whose column `copies` counts the rows of `rows` with that key.
+
+    Keys with more than total / SHARE rows number SHARE at most, so they may be broadcast whatever the
+    table's size; any other key has too few rows to matter to the task that gets it.
+    """
+    hot = F.col(copies) * SHARE > total
+    often, seldom = shared.filter(hot).drop(copies), shared.filter(~hot).drop(copies)
+    first = rows.join(F.broadcast(often), keys, "inner")
+    rest = rows.join(F.broadcast(often.select(keys)), keys, "left_anti").join(seldom, keys, "left")
+    return first.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

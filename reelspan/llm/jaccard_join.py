@@ -2,8 +2,9 @@
 
 Shingle hashes fall into groups, and a document is the point of its groups' counts. The overlap of
 two documents is at most the sum, over groups, of the smaller count; a pair whose sum is too small
-for the threshold can't link. The points are indexed by trees of boxes (leaves of similar points
-with their upper corners), and pairs that survive the bound are verified on the shingles.
+for the threshold can't link. Points are indexed by trees of boxes with several levels (a box knows
+its upper corner, its sizes and its components); a query descends where a box passes the bound, and
+pairs that survive at the points are verified on the shingles.
 
 One tree over the whole corpus can't prune: unrelated long documents have near-equal counts in every
 coordinate of a coarse grouping, so a box of many points covers them all. The same groups give the
@@ -12,11 +13,13 @@ than d groups some whole groups agree, in count and in content. Every document n
 largest groups (by count, then hash: an order all share), and two that link share a name. A tree is
 built over the documents that share one.
 
-1. Sets with equal content are one node. Nodes name their groups; names of one node only drop out.
-2. A node is tried with the least nodes of its names, `STARS` of them at most. The pairs that pass the
-   bound are verified, and links are joined into components.
-3. Names whose nodes are not in one component yet get their tree, and pairs across components that
-   pass the bound are verified. Names with over `SHARD` nodes spread their queries over shards.
+1. Sets with equal content are one node, combined on the map side. Nodes name their groups; names of
+   one node only drop out.
+2. Each node is tried with the first node of its trees, `STARS` of them at most: pairs that pass the
+   bound are verified, and links are joined into components. Most trees are then of one component.
+3. In the others, nodes outside the tree's most common component ask the tree. Asking nodes and held
+   nodes are dealt into blocks of about `BLOCK`, so a task holds one block of either at a time,
+   however many share a name. Pairs across components that pass the bound are verified.
    No link between components can be missed; links inside one don't change it.
 
 Defined results: texts without words have an empty set, link with nothing and are components of
@@ -35,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import store, table, workspace
+from reelspan.llm.common import join_shared, store, table, workspace
 from reelspan.llm.components import components
 
 WIDTH, THRESHOLD = 4, 85
-#: Coordinates of the count vectors, points of a leaf, nodes of a name from which queries are spread, and
-#: stars that a node is tried with before trees are built.
-GROUPS, LEAF, SHARD, STARS = 256, 32, 2000, 4
+#: Coordinates of the count vectors, children of a box, nodes of a block, and trees' first nodes that a node is tried with.
+GROUPS, FAN, BLOCK, STARS = 256, 16, 1024, 4
+#: Pairs whose vectors are compared at once, and pairs that are held before they are handed on.
+CHUNK, HELD = 4096, 100_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -89,8 +93,24 @@ def group_names(h: np.ndarray, threshold: int) -> np.ndarray:
     return np.concatenate(names)
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
-    return np.bincount((mixed(h) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(h: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type that holds them; its width follows from the length."""
+    counts = np.bincount((mixed(h) & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def points_of(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as rows of the widest type among them."""
+    widths = np.array([len(v) // GROUPS for v in vectors])
+    out = np.empty((len(vectors), GROUPS), f"u{widths.max(initial=1)}")
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        out[at] = np.frombuffer(b"".join(vectors[i] for i in at), f"u{width}").reshape(-1, GROUPS)
+    return out
+
+
+def least_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(1, dtype=np.int64)
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
@@ -112,7 +132,7 @@ def _sets(width: int, threshold: int):
                 h = shingle_set(text.as_py() or b"", width)
                 if len(h):
                     f1, f2 = (int(np.bitwise_xor.reduce(mixed(h, K2)).view(np.int64)), int(mixed(h, K3).sum().view(np.int64)))
-                    rows.append((doc, len(h), f1, f2, count_vector(h).tobytes(), group_names(h, threshold).tobytes()))
+                    rows.append((doc, len(h), f1, f2, count_vector(h), group_names(h, threshold).tobytes()))
                 else:
                     rows.append((doc, 0, 0, 0, b"", b""))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -130,59 +150,98 @@ def _explode_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([pa.array(names[i : i + (1 << 18)]), batch.column(0).take(at)], names=["name", "rep"])
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, queries: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Pairs (query, point) of different components whose summed least counts reach the threshold."""
-    order = np.lexsort((points[:, 1], points[:, 0] // 4, sizes))  # leaves: runs of similar size, then coordinates
-    out: list[tuple[int, int]] = []
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    corners = np.array([points[x].max(0) for x in leaves])
-    low, high = np.array([sizes[x].min() for x in leaves]), np.array([sizes[x].max() for x in leaves])
-    for q in queries:
-        n = sizes[q]
-        near = (high * 100 >= n * threshold) & (low * threshold <= n * 100)
-        near &= np.minimum(corners, points[q]).sum(1) >= overlap_needed(n, low, threshold)
-        for i in np.flatnonzero(near):
-            own = leaves[i]
-            own = own[(comp[own] != comp[q]) & (own != q)]
-            if len(own):
-                out += [(q, p) for p in own[np.minimum(points[own], points[q]).sum(1) >= overlap_needed(n, sizes[own], threshold)]]
-    return out
+class Trees:
+    """Box trees over the points of many keys at once; a box has FAN children at most, all of its key."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, key: np.ndarray):
+        """`key` numbers the trees from 0."""
+        band = (np.log(np.maximum(sizes, 1)) / np.log(1.1)).astype(np.int64)  # points in one box are alike in size, then in where their counts lie
+        parts = points.reshape(len(points), 4, -1).sum(2, dtype=np.int64) // np.maximum(np.sqrt(sizes).astype(np.int64) // 2, 1)[:, None]
+        self.order = np.lexsort((parts[:, 2], parts[:, 1], parts[:, 0], band, key))
+        p, n, c, k = points[self.order], sizes[self.order], comp[self.order], key[self.order]
+        self.points, self.sizes, self.comp = p, n, c
+        self.levels: list[tuple[np.ndarray, ...]] = []  # by level: first child, end, corner, least and greatest size, least and greatest component
+        corner, low, high, cmin, cmax = p, n, n, c, c
+        while True:
+            within = np.arange(len(k)) - np.searchsorted(k, k)
+            first = np.flatnonzero(within % FAN == 0)
+            corner, low, high = np.maximum.reduceat(corner, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            cmin, cmax = np.minimum.reduceat(cmin, first), np.maximum.reduceat(cmax, first)
+            self.levels.append((first, np.append(first[1:], len(k)), corner, low, high, cmin, cmax))
+            k = k[first]
+            if len(np.unique(k)) == len(k):
+                self.roots = k  # ascending: a root a key
+                return
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, comp: np.ndarray, key: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of queries and of points of other components, in their key's tree, that pass the bound."""
+        step = max(1, (1 << 18) // max(len(self.points), 1))
+        for at in range(0, len(points), max(step, 64)):
+            q = np.arange(at, min(at + max(step, 64), len(points)))
+            node = np.searchsorted(self.roots, key[q])
+            there = (node < len(self.roots)) & (self.roots[np.minimum(node, len(self.roots) - 1)] == key[q])
+            q, node = q[there], node[there]
+            for first, end, corner, low, high, cmin, cmax in reversed(self.levels):
+                near = (high[node] * 100 >= sizes[q] * threshold) & (low[node] * threshold <= sizes[q] * 100) & ((cmin[node] != comp[q]) | (cmax[node] != comp[q]))
+                q, node = self._bounded(q[near], node[near], points, corner, overlap_needed(sizes[q[near]], low[node[near]], threshold))
+                many = end[node] - first[node]
+                q, start = np.repeat(q, many), np.repeat(first[node] - np.cumsum(many) + many, many)
+                node = start + np.arange(len(start))
+            near = (self.comp[node] != comp[q]) & (self.sizes[node] * 100 >= sizes[q] * threshold) & (self.sizes[node] * threshold <= sizes[q] * 100)
+            q, node = q[near], node[near]
+            q, node = self._bounded(q, node, points, self.points, overlap_needed(sizes[q], self.sizes[node], threshold))
+            yield q, self.order[node]
+
+    @staticmethod
+    def _bounded(q: np.ndarray, node: np.ndarray, points: np.ndarray, corner: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        passed = [np.flatnonzero(least_sums(points[q[i : i + CHUNK]], corner[node[i : i + CHUNK]]) >= need[i : i + CHUNK]) + i for i in range(0, len(q), CHUNK)]
+        at = np.concatenate(passed) if passed else np.empty(0, int)
+        return q[at], node[at]
 
 
 def _crossing(threshold: int):
-    """From rows sorted by (name, shard): distinct surviving pairs of nodes, by group."""
+    """From rows sorted by (name, q, h): surviving pairs of nodes. Holds whole keys, which are bounded, of one batch."""
 
-    def settle(t: pa.Table) -> tuple[list[int], list[int]]:
+    def settle(t: pa.Table, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        points = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.int32).reshape(-1, GROUPS)
-        pairs = tree_pairs(points, n, comp, np.flatnonzero(t.column("asks").to_numpy(zero_copy_only=False)), threshold)
-        return [int(min(rep[q], rep[p])) for q, p in pairs], [int(max(rep[q], rep[p])) for q, p in pairs]
+        points, asks = points_of(t.column("vec").to_pylist()), t.column("asks").to_numpy(zero_copy_only=False)
+        q, h = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if len(q) and len(h):
+            for a, b in Trees(points[h], n[h], comp[h], key[h]).search(points[q], n[q], comp[q], key[q], threshold):
+                x, y = rep[q[a]], rep[h[b]]
+                yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[pa.Table]:
-            held: list[pa.Table] = []
-            for batch in batches:
-                t = pa.Table.from_batches([batch])
-                key = np.stack([t.column("name").to_numpy(), t.column("shard").to_numpy().astype(np.int64)])
-                cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    part = t.slice(a, b - a)
-                    if held and (held[0].column("name")[0], held[0].column("shard")[0]) != (part.column("name")[0], part.column("shard")[0]):
-                        yield pa.concat_tables(held)
-                        held = []
-                    held.append(part)
-            if held:
-                yield pa.concat_tables(held)
-
-        found: set[tuple[int, int]] = set()
-        for t in groups():
-            if t.num_rows > 1:
-                found.update(zip(*settle(t), strict=True))
-            if len(found) > 100_000:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-                found.clear()
+        found: list[np.ndarray] = []
+
+        def handed() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            found.clear()
+            return pa.record_batch([np.ascontiguousarray(pairs[0]), np.ascontiguousarray(pairs[1])], names=["a", "b"])
+
+        def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("name", "q", "h")])
+            key = np.cumsum(np.append(False, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            for a, b in settle(t, key):
+                if len(a):
+                    found.append(np.stack([a, b]))
+                    if sum(x.shape[1] for x in found) > HELD:
+                        yield handed()
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = t.num_rows - 1
+            whole = np.logical_or.reduce([t.column(c).to_numpy() != t.column(c)[last].as_py() for c in ("name", "q", "h")])
+            cut = int(np.flatnonzero(whole)[-1]) + 1 if whole.any() else 0
+            if cut:
+                yield from settled(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from settled(rest)
         if found:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            yield handed()
 
     return run
 
@@ -212,8 +271,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(va: pd.Series, na: pd.Series, vb: pd.Series, nb: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(v), np.int32).reshape(-1, GROUPS) for v in (va, vb))
-        return pd.Series(np.minimum(a, b).sum(1) >= overlap_needed(na.to_numpy(), nb.to_numpy(), threshold))
+        return pd.Series(least_sums(points_of(list(va)), points_of(list(vb))) >= overlap_needed(na.to_numpy(), nb.to_numpy(), threshold))
 
     slim = nodes.select("rep", "n", "vec")
     out = pairs.join(slim.withColumnsRenamed({"rep": "a", "n": "_na", "vec": "_va"}), "a").join(slim.withColumnsRenamed({"rep": "b", "n": "_nb", "vec": "_vb"}), "b")
@@ -225,9 +283,8 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     sets = store(source.mapInArrow(_sets(width, threshold), "doc_id long, n long, f1 long, f2 long, vec binary, names binary"), folder, "sets")
     ids = ["f1", "f2", "n"]
-    reps = sets.filter("n > 0").groupBy(*ids).agg(F.min("doc_id").alias("rep"))
-    chosen = reps.withColumn("doc_id", F.col("rep")).filter("rep IS NOT NULL")
-    nodes = store(sets.join(chosen, [*ids, "doc_id"]).dropDuplicates([*ids, "doc_id"]).select("rep", "n", "vec", "names"), folder, "nodes")
+    alike = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*ids).agg(F.min_by(F.struct("doc_id", "vec", "names"), "doc_id").alias("_first"), F.count("*").alias("copies"))
+    nodes = store(alike.select(*ids, "copies", F.col("_first.doc_id").alias("rep"), "_first.vec", "_first.names"), folder, "nodes")
     named = nodes.select("rep", "names").mapInArrow(_explode_names, "name long, rep long")
     shared = store(named.groupBy("name").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("name", "lo"), folder, "shared")
     members = store(named.join(shared.hint("shuffle_hash"), "name").select("name", "rep", "lo"), folder, "members")
@@ -240,21 +297,32 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
 
     placed = members.join(labels, members["rep"] == labels["node"], "left").select("name", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = store(placed, folder, "placed")
-    open_names = placed.groupBy("name").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_k")).filter("_lo < _hi")
-    open_names = open_names.select("name", F.ceil(F.col("_k") / SHARD).cast("int").alias("shards"))
+    by_comp = placed.groupBy("name", "comp").agg(F.count("*").alias("_c"))
+    open_names = by_comp.groupBy("name").agg(F.sum("_c").alias("_k"), F.max(F.struct("_c", "comp")).alias("_main")).filter(F.col("_k") > F.col("_main._c"))
+    open_names = open_names.select("name", F.col("_main.comp").alias("main"), F.ceil((F.col("_k") - F.col("_main._c")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("_k") / BLOCK).cast("int").alias("hs"))
     rows = placed.join(open_names, "name").join(nodes.select("rep", "n", "vec"), "rep")
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("shards"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.select("name", "shard", "rep", "comp", "n", "vec", (F.col("shard") == F.col("_own")).alias("asks"))
-    crossing = rows.repartition("name", "shard").sortWithinPartitions("name", "shard").mapInArrow(_crossing(threshold), "a long, b long").distinct()
+    own, every = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.filter("comp <> main").select("*", F.pmod(own, F.col("qs")).cast("int").alias("q"), every("hs").alias("h"), F.lit(True).alias("asks"))
+    held = rows.select("*", every("qs").alias("q"), F.pmod(own, F.col("hs")).cast("int").alias("h"), F.lit(False).alias("asks"))
+    keys = ["name", "q", "h"]
+    dealt = asking.unionByName(held).select(*keys, "rep", "comp", "n", "vec", "asks").repartition(*keys).sortWithinPartitions(*keys)
+    crossing = dealt.mapInArrow(_crossing(threshold), "a long, b long").distinct()
     crossing = store(crossing.join(tried, ["a", "b"], "left_anti"), folder, "crossing")
     more = store(_verified(crossing, docs, width, threshold), folder, "more")
-    if more.limit(1).count():
-        labels = components(links.union(more), folder, "second")
 
-    own = sets.select("doc_id", "n", "f1", "f2").join(reps, ids, "left")
-    own = own.join(labels, own["rep"] == labels["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    # a doc_id of several texts: its texts' nodes are one
+    total, copied = sets.count(), nodes.filter("copies > 1").select(*ids, "rep", "copies")
+    held_by = join_shared(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", *ids), copied, ids, "copies", total)
+    again = held_by.filter("rep <> doc_id").select("doc_id", "rep").join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    joined = store(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), folder, "joined")
+    if more.limit(1).count() or joined.limit(1).count():
+        labels = components(links.union(more).union(joined), folder, "second")
+
+    of_copies = copied.join(labels, copied["rep"] == labels["node"], "left").select(*ids, "copies", F.coalesce("component", "rep").alias("_shared"))
+    own = join_shared(sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", *ids), of_copies, ids, "copies", total)
+    own = own.join(labels, own["doc_id"] == labels["node"], "left").select("doc_id", "n", F.coalesce("_shared", "component", "doc_id").alias("component_id"))
+    alone = sets.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return own.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,15 +129,47 @@ def test_components_match_brute_force(spark):
         assert all(r.n_shingles == len(sets[r.doc_id][0]) for r in found)
 
 
-def test_crossing_pairs_are_found_by_the_tree():
+def test_crossing_pairs_are_found_by_the_trees():
     rng = np.random.default_rng(5)
-    points = rng.poisson(3, (300, jaccard_join.GROUPS)).astype(np.int32)
-    points[150:] = points[:150] + rng.integers(0, 2, (150, jaccard_join.GROUPS))
-    sizes, comp = points.sum(1), np.arange(300)
-    found = {tuple(sorted(p)) for p in jaccard_join.tree_pairs(points, sizes, comp, np.arange(300), 85)}
-    expected = {(a, b) for a in range(300) for b in range(a + 1, 300) if np.minimum(points[a], points[b]).sum() >= -(-(sizes[a] + sizes[b]) * 85 // 185)}
-    fits = {(a, b) for a, b in expected if 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])}
-    assert fits <= found <= expected
+    points = rng.poisson(3, (900, jaccard_join.GROUPS)).astype(np.uint16)
+    points[450:] = points[:450] + rng.integers(0, 2, (450, jaccard_join.GROUPS))
+    points[7] *= 200
+    points[457] *= 200
+    sizes, comp, key = points.sum(1, dtype=np.int64), np.arange(900) // 2, np.arange(900) // 3 % 3
+    trees = jaccard_join.Trees(points, sizes, comp, key)
+    assert len(trees.levels) > 1
+    found = {(int(a), int(b)) for q, p in trees.search(points, sizes, comp, key, 85) for a, b in zip(q, p, strict=True)}
+    expected = set()
+    for a in range(900):
+        reach = np.minimum(points[a], points).sum(1, dtype=np.int64) >= -(-(sizes[a] + sizes) * 85 // 185)
+        reach &= (key == key[a]) & (comp != comp[a]) & (100 * np.minimum(sizes[a], sizes) >= 85 * np.maximum(sizes[a], sizes))
+        expected |= {(a, int(b)) for b in np.flatnonzero(reach)}
+    assert found == expected and len(found) > 300
+
+
+def test_count_vectors_of_any_width():
+    wide = [np.zeros(jaccard_join.GROUPS, t) for t in (np.uint8, np.uint16, np.uint32)]
+    for i, v in enumerate(wide):
+        v[i] = np.iinfo(v.dtype).max
+    assert [r.max() for r in jaccard_join.points_of([v.tobytes() for v in wide])] == [255, 65535, 4294967295]
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 3])
+def test_open_trees_in_blocks(spark, monkeypatch, block):
+    """A chain of near copies whose ends don't link, and outsiders that share most of the text."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(200)]
+    for i in range(80):
+        words = list(base)
+        for j in range(i % 40):
+            words[(j * 5) % 200] = f"v{j}" if i < 60 else f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(5, " ".join(f"z{i}" for i in range(50))), (90, " ".join(f"z{i}" for i in range(50)))]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark, "t"), 4, 85).collect()
+    expected, _ = brute_components(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert len(found) == len(rows)
 
 
 def test_components_on_awkward_rows(spark):
