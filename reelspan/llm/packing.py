@@ -2,13 +2,16 @@
 
 Lengths are whole numbers of at most `capacity`, so all planning needs is their histogram: at most
 `capacity` counts, whatever the corpus holds. On it the driver
-1. sorts the large lengths and cuts them into groups of equal cardinality, each rounded up to its
-   longest member;
-2. builds configurations of the few rounded sizes: the largest size left, topped up by a bounded
-   knapsack, used as often as its sizes last;
+1. sorts the large lengths and cuts them into a few groups of equal cardinality, each rounded up to
+   its longest member;
+2. optimises the configurations of these few sizes: the linear program that covers all groups by the
+   fewest sequences, with columns made by a knapsack on its dual prices; whole numbers of each
+   configuration are taken, and the few documents left over are topped up one sequence at a time;
 3. substitutes actual documents for rounded slots, longest first, which gives runs of sequences
    with the same space left;
 4. gives the small lengths, longest first, to the sequences with the least space that still fits.
+Plans with several numbers of groups and limits of what is large are made; the one with the fewest
+sequences counts.
 The plan is a list of rank ranges: the pieces of length l with ranks lo to hi-1 go to the sequences
 from seq0 on, one each. Spark ranks the pieces within their length (by salted buckets, whose offsets
 come from their counts), joins the plan, and sets offsets by a window over each sequence.
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 
 from reelspan.llm.common import store, table, workspace
 
-CAPACITY, END, GROUPS, SMALL = 1024, 2, 256, 256
+CAPACITY, END = 1024, 2
+#: Numbers of groups, and shares of the capacity from which a length is large, that plans are made with.
+GROUPS, LARGE = (16, 32, 64), (1 / 4, 1 / 3, 7 / 16)
 #: The vocabulary of byte_bpe_50k.json as ranks: the same ids (tests compare them), some ten times as fast.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the added tokens of byte_bpe_50k.json and their ids; in a text they stand for themselves.
@@ -141,39 +146,68 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """The largest size left, topped up by the fullest choice of what else is left; times used, by size."""
-    first = next(i for i, n in enumerate(left) if n)
-    room = capacity - sizes[first]
-    took = np.full((len(sizes) + 1, room + 1), -1)
-    reach = np.zeros(room + 1, bool)
-    reach[0] = True
-    for i, size in enumerate(sizes):
-        most = min(left[i] - (i == first), room // size)
-        for n in range(1, most + 1):
-            new = np.zeros_like(reach)
-            new[size * n :] = reach[: room + 1 - size * n]
-            new &= (took[i] < 0) & ~took_before(took, i, room)
-            took[i][new] = n
-        reach |= took[i] > 0
-    used, at = [0] * len(sizes), int(np.flatnonzero(reach)[-1])
-    while at:
-        i = int(np.flatnonzero(took[:, at] > 0)[0])
-        used[i] += took[i, at]
-        at -= sizes[i] * took[i, at]
-    used[first] += 1
-    return [int(n) for n in used]
-
-
-def took_before(took: np.ndarray, i: int, room: int) -> np.ndarray:
-    """Sums already reached with the sizes before size i."""
-    out = (took[:i] > 0).any(axis=0) if i else np.zeros(room + 1, bool)
-    out[0] = True
-    return out
+def fullest(sizes: list[int], most: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The most valuable choice of sizes that fits, with at most `most` of each."""
+    best, took = np.zeros(capacity + 1), []
+    for size, n, value in zip(sizes, most, values, strict=True):
+        rows = [best]
+        for k in range(1, min(n, capacity // size) + 1):
+            row = np.full(capacity + 1, -np.inf)
+            row[size * k :] = best[: capacity + 1 - size * k] + k * value
+            rows.append(row)
+        stack = np.array(rows)
+        took.append(stack.argmax(0))
+        best = stack.max(0)
+    at, used = capacity, [0] * len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):
+        used[i] = int(took[i][at])
+        at -= sizes[i] * used[i]
+    return float(best[capacity]), used
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
+    """Configurations and how often the linear program uses them: the fewest sequences that cover `demand`."""
+    n = len(sizes)
+    basis = np.diag([float(min(capacity // s, max(d, 1))) for s, d in zip(sizes, demand, strict=True)])
+    amount = np.array(demand, float)
+    for _ in range(50 * n):  # ends far earlier: each round lowers the number of sequences or changes the basis
+        inverse = np.linalg.inv(basis)
+        prices = inverse.sum(0)
+        value, column = fullest(sizes, demand, prices, capacity)
+        if value <= 1 + 1e-9:
+            break
+        x, d = inverse @ amount, inverse @ np.array(column, float)
+        ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
+        basis[:, int(ratio.argmin())] = column
+    x = np.maximum(np.linalg.inv(basis) @ amount, 0)
+    return [([int(round(v)) for v in basis[:, j]], float(x[j])) for j in range(n)]
+
+
+def sequences_of(sizes: list[int], demand: list[int], capacity: int) -> Iterator[tuple[list[int], int]]:
+    """Configurations with whole numbers of uses that place all of `demand` exactly."""
+    left = list(demand)
+    for use, x in sorted(configurations(sizes, demand, capacity), key=lambda c: -c[1]) if any(demand) else ():
+        times = min([int(x + 1e-9), *(left[i] // k for i, k in enumerate(use) if k)])
+        if times:
+            left = [a - k * times for a, k in zip(left, use, strict=True)]
+            yield use, times
+    while any(left):  # what rounding down left over: the largest size with the fullest rest
+        first = next(i for i, k in enumerate(left) if k)
+        most = [k - (i == first) for i, k in enumerate(left)]
+        _, use = fullest(sizes, most, np.array(sizes, float), capacity - sizes[first])
+        use[first] += 1
+        times = min(left[i] // k for i, k in enumerate(use) if k)
+        left = [a - k * times for a, k in zip(left, use, strict=True)]
+        yield use, times
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, large: tuple[float, ...] = LARGE) -> list[tuple[int, int, int, int]]:
+    """Rank ranges (length, lo, hi, seq0) that place every piece of the histogram."""
+    return min((plan_of(counts, capacity, n, int(capacity * share)) for n in groups for share in large), key=lambda p: p[0])[1]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> list[tuple[int, int, int, int]]:
-    """Rank ranges (length, lo, hi, seq0) that place every piece of the histogram."""
+def plan_of(counts: dict[int, int], capacity: int, groups: int, small: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Sequences and rank ranges of the plan with that many groups."""
     out: list[tuple[int, int, int, int]] = []
     used: dict[int, int] = dict.fromkeys(counts, 0)
     spaces: list[tuple[int, int, int]] = []  # (space left, seq0, sequences), by space
@@ -185,10 +219,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 
     queues = grouped({k: n for k, n in counts.items() if k >= small and n}, groups)
     sizes = [q[0][0] for q in queues]
-    left = [sum(n for _, n in q) for q in queues]
-    while any(left):
-        use = configuration(sizes, left, capacity)
-        times = min(left[i] // n for i, n in enumerate(use) if n)
+    for use, times in sequences_of(sizes, [sum(n for _, n in q) for q in queues], capacity):
         slots = [i for i, n in enumerate(use) for _ in range(n)]
         edges = {0, times}
         runs = []
@@ -205,7 +236,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
                 at += take
                 edges.add(at)
             runs.append(own)
-            left[i] -= times
         cuts = sorted(edges)
         for a, b in zip(cuts, cuts[1:], strict=False):
             filled = sum(next(length for s, e, length in own if s <= a < e) for own in runs)
@@ -229,7 +259,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
                 insort(spaces, (space, seq0 + take, many - take))
             if space > length:
                 insort(spaces, (space - length, seq0, take))
-    return out
+    return sequences, out
 
 
 def packed(docs: DataFrame, folder: str, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -364,7 +364,6 @@ def test_packing_is_whole_and_tight(spark):
     docs = awkward(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
     out = packing.packed(docs, workspace(spark, "t"), packing.vocabulary_path()).toPandas()
     reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     ids = {r.doc_id: [*reference.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.select("doc_id", "text").collect()}
     assert out.groupby("doc_id")["length"].sum().to_dict() == {k: len(v) for k, v in ids.items()}
     for r in out.itertuples():
@@ -375,16 +374,25 @@ def test_packing_is_whole_and_tight(spark):
     assert out["sequence_id"].nunique() <= 1.03 * out["length"].sum() / 1024 + 1
 
 
+def test_packing_of_rows_without_or_with_one_doc_id(spark):
+    """Rows with a null doc_id and rows that share one are packed each."""
+    docs = awkward(spark)
+    out = packing.packed(docs, workspace(spark, "t"), packing.vocabulary_path()).toPandas()
+    assert (out["piece"] == 0).sum() == docs.count()
+    assert out[out["doc_id"].isna()]["piece"].eq(0).sum() == docs.filter("doc_id IS NULL").count()
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert own["length"].sum() <= 1024 and (own["offset"] == own["length"].cumsum() - own["length"]).all()
+
+
 def test_tokens_of_odd_spacing():
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     tokens = packing.Tokens.of(packing.vocabulary_path())
     for text in ["a  b", "a \n b", "x\n\ny", "tab\tx y", "end ", "end\n", "", "\n", " lead", "don't stop, it's 5.5. ok", "é, ü.", "<|endoftext|> x", "a\n\n", " \n ", "a.,b., c.", "x\r\ny", "1, 2. b", "a ,b"]:
         for _ in range(2):
-            assert np.frombuffer(tokens.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(tokens.document(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
 def test_added_tokens_keep_their_ids(spark):
@@ -419,6 +427,45 @@ def test_plan_places_every_piece():
     assert len(fill) <= 1.01 * sum(k * n for k, n in counts.items()) / 1024 + 1
 
 
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all ways for a few documents."""
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= lengths[i] and room not in rooms[:j]:
+                go(i + 1, [*rooms[:j], room - lengths[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    rng = random.Random(9)
+    over = 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(60, 1000) for _ in range(rng.randrange(1, 10))), reverse=True)
+        counts = {n: lengths.count(n) for n in lengths}
+        used = len({seq0 + i for _, lo, hi, seq0 in packing.plan(counts) for i in range(hi - lo)})
+        assert fewest(lengths, 1024) <= used <= fewest(lengths, 1024) + 1
+        over += used - fewest(lengths, 1024)
+    assert over <= 6
+
+
+def test_configurations_reach_the_linear_optimum():
+    # by hand: 600 needs a sequence each, two of 400 fit beside nothing else but one 400 beside a 600
+    assert sum(x for _, x in packing.configurations([600, 400], [10, 30], 1024)) == pytest.approx(20)
+    assert sum(x for _, x in packing.configurations([512, 300], [4, 6], 1024)) == pytest.approx(4)
+    assert sum(n for _, n in packing.sequences_of([600, 400], [10, 30], 1024)) == 20
+
+
 def test_empty_documents_table(spark):
     empty = awkward(spark).limit(0)
     folder = workspace(spark, "t")
