@@ -4,6 +4,10 @@ Features are hashed byte trigrams of the whole text (A-Z lowered), square-rooted
 The machines are fitted on the driver from at most `SAMPLE` labelled documents of each language
 (a bounded sample, taken by hash over all labelled documents); everything else sees every document.
 
+Beside the language stands `known`: the share of the text's trigrams that are among the commonest of
+that language, those that make up `MASS` of its sample. `keep_identified` rejects texts whose share lies
+less than a quarter of the way (`BETWEEN`) from what chance gives to the sample's median: other languages and scripts, codes, symbol noise.
+
 Defined results: text that is null or has no letter is `und` with score 0. Rows without lang or
 doc_id are predicted but never learned from, and a null doc_id is not held out. With no labelled
 rows everything is `und`; with one language everything with a letter is that language.
@@ -19,14 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import table
+from reelspan.llm.common import free_name, table
 
 #: Labelled documents of one language that the classifiers are fitted on, at most.
 SAMPLE = 400
 DIMS, ROUNDS, RIDGE, STEEPNESS = 4096, 150, 1e-4, 4.0
 #: Rows whose features a worker holds at a time.
 ROWS = 500
-UNKNOWN, MIN_SCORE = "und", 0.2
+UNKNOWN = "und"
+#: Share of a language's trigrams that its known ones make up, and where between chance and a sample's share the limit lies.
+MASS, BETWEEN = 0.98, 0.25
 # Language families by ISO 639-1 code; a code not listed is a family of its own.
 FAMILIES = {
     "romance": "ca es fr gl it pt ro",
@@ -106,9 +112,19 @@ class LanguageModel:
         families = np.array([FAMILY_OF.get(x, x) for x in langs])
         self.family = Machines(x, families)
         self.inside = [Machines(x[families == f], langs[families == f]) for f in self.family.classes]
-
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        self.known, self.limits = {}, {}
+        for lang in sorted(set(langs)):
+            shares = x[langs == lang] ** 2  # of each trigram in its text
+            mean = shares.mean(0)
+            order = np.argsort(-mean, kind="stable")
+            common = order[: int(np.searchsorted(np.cumsum(mean[order]), MASS * mean.sum())) + 1]
+            self.known[lang] = np.isin(np.arange(x.shape[1]), common)
+            usual, chance = float(np.median(shares[:, common].sum(1))), len(common) / x.shape[1]
+            self.limits[lang] = chance + BETWEEN * max(usual - chance, 0)
+
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and known share less its limit, by text."""
+        langs, scores, beyond = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -1.0)
         rows = [i for i, t in enumerate(texts) if t and has_letter(t.decode("utf-8", "replace"))]
         for at in range(0, len(rows), ROWS):
             part = rows[at : at + ROWS]
@@ -119,8 +135,10 @@ class LanguageModel:
                 if len(own):
                     best, inner = machines.predict(x[own])
                     for i, b, p in zip(own, best, inner * sure[own], strict=True):
-                        langs[part[i]], scores[part[i]] = machines.classes[b], p
-        return langs, scores
+                        lang = str(machines.classes[b])
+                        langs[part[i]], scores[part[i]] = lang, p
+                        beyond[part[i]] = float((x[i][self.known[lang]] ** 2).sum()) - self.limits[lang]
+        return langs, scores, beyond
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
@@ -143,18 +161,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     return LanguageModel(x, np.array([r["lang"] for r in got]))
 
 
-def predicted(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """`docs` with `_lang`: lang_pred and score."""
+def predicted(docs: DataFrame, model: LanguageModel | None, as_name: str = "_lang") -> DataFrame:
+    """`docs` with a struct `as_name`: lang_pred, score, and beyond (known share less its limit)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
+    @F.pandas_udf("struct<lang_pred: string, score: double, beyond: double>")
     def guess(text: pd.Series) -> pd.DataFrame:
         if shared.value is None:
-            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(text), "score": 0.0})
-        langs, scores = shared.value.predict(list(text))
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(text), "score": 0.0, "beyond": -1.0})
+        langs, scores, beyond = shared.value.predict(list(text))
+        return pd.DataFrame({"lang_pred": langs, "score": scores, "beyond": beyond})
 
-    return docs.withColumn("_lang", guess(F.col("text").cast("binary")))
+    return docs.withColumn(as_name, guess(F.col("text").cast("binary")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +183,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a language; those without letters, or whose best guess scores under MIN_SCORE, go."""
-    out = predicted(docs, fit(docs.select("doc_id", "text", "lang")))
-    return out.filter((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= MIN_SCORE)).select(docs.columns)
+    """The documents whose language can be told; a null lang becomes the predicted one.
+
+    Texts without a letter, and those with too few of the predicted language's trigrams, go.
+    """
+    found = free_name(docs, "_lang")
+    out = predicted(docs, fit(docs.select("doc_id", "text", "lang")), found).filter((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.beyond") >= 0))
+    return out.withColumn("lang", F.coalesce("lang", F.col(f"{found}.lang_pred"))).select(docs.columns)

@@ -357,6 +357,30 @@ def test_language_on_awkward_rows(spark):
     assert language_id.keep_identified(spark, docs).columns == docs.columns
 
 
+def test_texts_of_no_learned_language_go(spark):
+    """Held-out clean documents stay and get a lang; other scripts, random letters and codes go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    rng = random.Random(2)
+    odd = ["Это простой русский текст о погоде и книгах.", "αυτό είναι ένα ελληνικό κείμενο", "".join(rng.choice("qxzjkvwp ") for _ in range(400)), "这是一个中文句子", "0x1f 0x2e a1b2c3d4e5f60718 99ff00aa11bb 7788aabbccddeeff", "12 34 -- 56", None]
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", 1) for i, t in enumerate(odd)], DOCS)
+    given = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), None).otherwise(F.col("lang"))).unionByName(extra).withColumn("_lang", F.lit(1))
+    kept = language_id.keep_identified(spark, given)
+    assert kept.columns == given.columns and kept.filter("lang IS NULL OR _lang <> 1").count() == 0
+    assert kept.filter(F.col("doc_id") >= 10**6).count() == 0
+    held = docs.join(clean, "doc_id").filter(language_id.held_out(F.col("doc_id")))
+    assert held.count() > 50 and held.join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_only_text_counts_for_a_prediction(spark):
+    """lang, source and doc_id of a row don't change its prediction."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    mixed = docs.select("text", (F.col("doc_id") * 7 + 3).alias("doc_id"), F.lit("zz").alias("lang"), F.lit("other").alias("source"))
+    a, b = ([tuple(r) for r in language_id.predicted(x, model).select("text", "_lang.lang_pred", "_lang.score").collect()] for x in (docs, mixed))
+    assert sorted(a, key=str) == sorted(b, key=str)
+
+
 def test_packing_is_whole_and_tight(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -493,7 +517,8 @@ def test_pipeline_stages(spark, sf):
         out.write.parquet(f"{folder}/{i}")
         kept = spark.read.parquet(f"{folder}/{i}")
         if name == "language_id":
-            assert kept.count() == docs.count()
+            clean = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+            assert docs.join(clean, "doc_id").join(kept, "doc_id", "left_anti").count() == 0
         if name == "ngram_jaccard_join":
             parts, _ = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80)
             assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parts.values()))
