@@ -2,20 +2,26 @@
 
 Documents arrive in batches of ascending doc_id. A batch takes the first holder of each of its
 line keys, anti-joins those keys against the runs written so far, and adds what is new as a run of
-its own, sorted by hash. When a level holds `fanout` runs they are merged into one run of the next
-level. Every key thus stands in exactly one run, with the smallest doc_id that holds it, and a line
-stays if its document is that holder.
+its own. When a level holds `fanout` runs they are merged into one run of the next level. Every key
+thus stands in exactly one run, with the smallest doc_id that holds it, and a line stays if its
+document is that holder.
+
+A run is a table bucketed and sorted by (h1, h2). All runs have as many buckets as a batch's
+aggregation has partitions, so an anti-join is a merge of a batch's partition with a run's bucket,
+and a compaction a merge of equal buckets: neither shuffles a run again. Batches grow with the
+cluster (`ROWS` documents a core), so their number follows from the corpus; there are `BATCHES` at
+least.
 
 Only (hash, first doc_id) pairs are shuffled, after a combine on the map side, so a line that a
 third of all documents hold costs one row a task. The text moves once, to meet its own kept keys.
 
 Defined results: a null or empty text is one empty line. Rows that share a doc_id are one document.
-A null doc_id comes after every other. Keys under `min_chars` code points always stay.
+Rows with a null doc_id hold no key and lose no line. Keys under `min_chars` code points always stay.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import ASCII_SPACE, store, table, with_text, workspace
+from reelspan.llm.common import ASCII_SPACE, free_name, short_lived_shuffles, table, with_text, workspace
 
 MIN_CHARS = 10
-BATCHES, FANOUT = 4, 2
+#: Batches at least, documents of a batch for each core, runs of a level that are merged into one of the next.
+BATCHES, ROWS, FANOUT = 4, 200_000, 2
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -62,11 +69,11 @@ def _keys_of(min_chars: int):
 
 def _kept(min_chars: int):
     @F.pandas_udf("struct<n_lines: long, n_dropped: long, kept: string>")
-    def run(text: pd.Series, kept: pd.Series) -> pd.DataFrame:
+    def run(text: pd.Series, kept: pd.Series, nameless: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, mine in zip(text, kept, strict=True):
+        for t, mine, all_stay in zip(text, kept, nameless, strict=True):
             lines = (t or b"").split(b"\n")
-            keys = [line_key(x, min_chars) for x in lines]
+            keys = [None if all_stay else line_key(x, min_chars) for x in lines]
             h = hashed([k for k in keys if k is not None])[:, 0] if any(keys) else np.empty(0, np.int64)
             own, stays = iter(np.isin(h, mine if mine is not None else [])), []
             for line, key in zip(lines, keys, strict=True):
@@ -79,25 +86,29 @@ def _kept(min_chars: int):
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, first doc_id) in levels; keys of different runs are disjoint."""
+    """Sorted runs of (h1, h2, first_id) in levels; keys of different runs are disjoint."""
 
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout, self.written = spark, folder, fanout, 0
+        self.spark, self.folder, self.fanout = spark, folder, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def _write(self, keys: DataFrame) -> DataFrame:
-        self.written += 1
-        return store(keys.sortWithinPartitions("h1", "h2"), self.folder, f"run-{self.written}")
+        """Only the session's catalog knows of buckets, so a run is an external table there until it is read."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        with short_lived_shuffles(self.spark):
+            keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # its files stay
+        return run
 
     def add(self, firsts: DataFrame) -> None:
-        """Merge-anti-joins a batch's keys with all runs and adds the rest as a run of level 0."""
-        old = self.runs()
-        if old:
-            seen = reduce(DataFrame.unionByName, old).select("h1", "h2")
-            firsts = firsts.join(seen, ["h1", "h2"], "left_anti")
+        """Merge-anti-joins a batch's keys with each run and adds the rest as a run of level 0."""
+        for run in self.runs():
+            firsts = firsts.join(run.hint("merge"), ["h1", "h2"], "left_anti")
         new, level = self._write(firsts), 0
         while True:
             if level == len(self.levels):
@@ -105,30 +116,43 @@ class LineRuns:
             self.levels[level].append(new)
             if len(self.levels[level]) < self.fanout:
                 return
-            # the runs' keys are disjoint, so compaction only re-sorts by ranges of the hash
-            merged = reduce(DataFrame.unionByName, self.levels[level])
-            new = self._write(merged.repartitionByRange(self.spark.sparkContext.defaultParallelism, "h1"))
+            new = self._write(reduce(self._merged, self.levels[level]))
             self.levels[level], level = [], level + 1
 
+    @staticmethod
+    def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs of disjoint keys, merged bucket by bucket."""
+        both = a.join(b.withColumnRenamed("first_id", "_other").hint("merge"), ["h1", "h2"], "full_outer")
+        return both.select("h1", "h2", F.coalesce("first_id", "_other").alias("first_id"))
+
+
+def edges_of(docs: DataFrame, batches: int) -> list[int]:
+    """Inner bounds of `batches` ranges of doc_id with about as many documents each; 0: by the corpus and the cluster."""
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    batches = batches or max(BATCHES, -(-ids.count() // (ROWS * docs.sparkSession.sparkContext.defaultParallelism)))
+    if batches == 1:
+        return []
+    return sorted({int(x) for x in ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.2 / batches)})
+
 
-def dedup_lines(docs: DataFrame, folder: str, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """All rows of `docs` beside n_lines, n_dropped and kept_text in one struct column `_lines`."""
+def dedup_lines(docs: DataFrame, folder: str, min_chars: int = MIN_CHARS, batches: int = 0, fanout: int = FANOUT) -> DataFrame:
+    """All rows of `docs` beside n_lines, n_dropped and kept in one struct column `_lines` (see `free_name`, as for all names here)."""
     spark = docs.sparkSession
-    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    bounds = sorted({int(x) for x in docs.select("doc_id").dropna().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.001)})
-    edges = [None, *bounds, None]
+    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL")
+    edges = [None, *edges_of(docs, batches), None]
     state = LineRuns(spark, folder, fanout)
-    for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-        part, last = slim, i == len(edges) - 2
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = slim
         if low is not None:
-            part = part.filter((F.col("doc_id") > low) | F.col("doc_id").isNull() if last else F.col("doc_id") > low)
+            part = part.filter(F.col("doc_id") > low)
         if high is not None:
             part = part.filter(F.col("doc_id") <= high)
         keys = part.mapInArrow(_keys_of(min_chars), "doc_id long, h1 long, h2 long")
         state.add(keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")))
-    kept = reduce(DataFrame.unionByName, state.runs()).groupBy("first_id").agg(F.collect_list("h1").alias("_kept"))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["first_id"]), "left").drop("first_id")
-    return joined.withColumn("_lines", _kept(min_chars)(F.col("text").cast("binary"), "_kept")).drop("_kept")
+    first, mine, out = (free_name(docs, x) for x in ("_first_id", "_kept", "_lines"))
+    kept = reduce(DataFrame.unionByName, state.runs()).groupBy(F.col("first_id").alias(first)).agg(F.collect_list("h1").alias(mine))
+    joined = docs.join(kept, docs["doc_id"] == kept[first], "left").drop(first)
+    return joined.withColumn(out, _kept(min_chars)(F.col("text").cast("binary"), mine, F.col("doc_id").isNull())).drop(mine)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +163,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines gone; no document goes."""
-    out = dedup_lines(docs, workspace(spark, "lines"))
-    return with_text(out, F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("_lines.kept"))).select(docs.columns)
+    out, lines = dedup_lines(docs, workspace(spark, "lines")), free_name(docs, "_lines")
+    return with_text(out, F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col(f"{lines}.kept"))).select(docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -71,24 +71,37 @@ def test_least_grams_depend_on_the_window_alone():
         assert all(repeats.least_grams(x[p : p + 50], 50, k)[0] == least[p] for p in (0, 17, 200, 350))
 
 
-def test_lines_on_awkward_rows(spark):
+@pytest.mark.parametrize("batches", [0, 1, 9])
+def test_lines_on_awkward_rows(spark, batches):
     docs = awkward(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     first = {}
     for i, t in rows:
         for line in (t or "").encode().split(b"\n"):
             key = line_dedup.line_key(line)
-            order = (i is None, i or 0)
-            if key is not None:
-                first[key] = min(order, first.get(key, order))
+            if key is not None and i is not None:
+                first[key] = min(i, first.get(key, i))
     expected = []
     for i, t in rows:
         lines = (t or "").encode().split(b"\n")
-        kept = [x for x in lines if line_dedup.line_key(x) is None or first[line_dedup.line_key(x)] == (i is None, i or 0)]
+        kept = [x for x in lines if i is None or line_dedup.line_key(x) is None or first[line_dedup.line_key(x)] == i]
         expected.append((i, len(lines), len(lines) - len(kept), b"\n".join(kept).decode()))
-    out = line_dedup.dedup_lines(docs, workspace(spark, "t")).select("doc_id", "_lines.n_lines", "_lines.n_dropped", "_lines.kept")
+    out = line_dedup.dedup_lines(docs, workspace(spark, "t"), batches=batches).select("doc_id", "_lines.n_lines", "_lines.n_dropped", "_lines.kept")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
-    assert line_dedup.drop_repeated_lines(spark, docs).columns == docs.columns
+    clashing = docs.withColumn("_lines", F.lit(3)).withColumn("_kept", F.lit(4)).withColumn("_first_id", F.lit(5))
+    cut = line_dedup.drop_repeated_lines(spark, clashing)
+    assert cut.columns == clashing.columns and cut.count() == len(rows) and cut.filter("_lines <> 3 OR _kept <> 4 OR _first_id <> 5").count() == 0
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    state = line_dedup.LineRuns(spark, workspace(spark, "t"))
+    for i in range(5):
+        state.add(spark.range(i * 50, i * 50 + 100).selectExpr("id AS h1", "id * 3 AS h2", "id AS first_id").groupBy("h1", "h2").agg(F.min("first_id").alias("first_id")))
+    assert [len(level) for level in state.levels] == [1, 0, 1]
+    assert sorted(r.first_id for run in state.runs() for r in run.collect()) == list(range(300))
+    a, b = state.runs()
+    plan = a.join(b.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def brute_components(rows, width, threshold):
