@@ -323,6 +323,26 @@ def test_contaminations_on_awkward_rows(spark):
     assert decontaminate.drop_contaminated(spark, docs, items).count() == docs.count()
 
 
+def test_short_items_are_found_whole(spark, sf):
+    rows = [(1, "one Two three four five six"), (2, "two three"), (3, "two  \n three two three"), (4, "four"), (5, ""), (6, None), (7, "six one two three four")]
+    items = [(1, "two three"), (2, "FOUR"), (3, "one two three four"), (4, "one two three four five"), (5, ""), (6, "six six"), (7, "two three"), (7, "four")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duck(sf)
+    given, known = docs.toPandas(), bench.toPandas()
+    con.register("given", given)
+    con.register("known", known)
+    sql = f"WITH {decontaminate.oracle_pairs('given', 'known')} SELECT doc_id, item_id, start, similarity FROM leaks WHERE r = 1"
+    same_rows(decontaminate.contaminations(docs, bench, workspace(spark, "t")).drop("th"), con, sql)
+    assert len(con.execute(sql).fetchall()) == 15
+
+
+def test_fingerprints_of_very_long_items(spark):
+    """More shingles of one kind than 16-bit counters hold."""
+    df = spark.createDataFrame([(1, [5] * 140_000 + [9] * 3), (2, [5])], "k long, sh array<long>")
+    a, b = (r.fp for r in decontaminate.fingerprints(df, ["k"]).orderBy("k").collect())
+    assert a == b == 5
+
+
 def test_fingerprint_blocks_cover_the_bits():
     cuts = decontaminate.blocks(decontaminate.RADIUS)
     assert len(cuts) == decontaminate.RADIUS + 1 and sum(w for _, w in cuts) == 64
