@@ -19,7 +19,8 @@ built over the documents that share one.
    bound are verified, and links are joined into components. Most trees are then of one component.
 3. In the others, nodes outside the tree's most common component ask the tree. Asking nodes and held
    nodes are dealt into blocks of about `BLOCK`, so a task holds one block of either at a time,
-   however many share a name. Pairs across components that pass the bound are verified.
+   however many share a name. A pair is given by the tree of the least open name that both have, and
+   pairs across components that pass the bound are verified.
    No link between components can be missed; links inside one don't change it.
 
 Defined results: texts without words have an empty set, link with nothing and are components of
@@ -203,12 +204,19 @@ def _crossing(threshold: int):
     """From rows sorted by (name, q, h): surviving pairs of nodes. Holds whole keys, which are bounded, of one batch."""
 
     def settle(t: pa.Table, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = t.column("names").combine_chunks()
+        edge, names, name = own.offsets.to_numpy(), own.values.to_numpy(), t.column("name").to_numpy()
+
+        def least(x: int, y: int) -> bool:
+            return np.intersect1d(names[edge[x] : edge[x + 1]], names[edge[y] : edge[y + 1]], assume_unique=True)[0] == name[x]
+
         rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
         points, asks = points_of(t.column("vec").to_pylist()), t.column("asks").to_numpy(zero_copy_only=False)
         q, h = np.flatnonzero(asks), np.flatnonzero(~asks)
         if len(q) and len(h):
             for a, b in Trees(points[h], n[h], comp[h], key[h]).search(points[q], n[q], comp[q], key[q], threshold):
-                x, y = rep[q[a]], rep[h[b]]
+                first = np.fromiter((least(x, y) for x, y in zip(q[a], h[b], strict=True)), bool, len(a))
+                x, y = rep[q[a[first]]], rep[h[b[first]]]
                 yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +230,7 @@ def _crossing(threshold: int):
         def settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("name", "q", "h")])
             key = np.cumsum(np.append(False, (keys[:, 1:] != keys[:, :-1]).any(0)))
-            for a, b in settle(t, key):
+            for a, b in settle(t.combine_chunks(), key):
                 if len(a):
                     found.append(np.stack([a, b]))
                     if sum(x.shape[1] for x in found) > HELD:
@@ -300,12 +308,14 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
     by_comp = placed.groupBy("name", "comp").agg(F.count("*").alias("_c"))
     open_names = by_comp.groupBy("name").agg(F.sum("_c").alias("_k"), F.max(F.struct("_c", "comp")).alias("_main")).filter(F.col("_k") > F.col("_main._c"))
     open_names = open_names.select("name", F.col("_main.comp").alias("main"), F.ceil((F.col("_k") - F.col("_main._c")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("_k") / BLOCK).cast("int").alias("hs"))
-    rows = placed.join(open_names, "name").join(nodes.select("rep", "n", "vec"), "rep")
+    opened = placed.join(open_names, "name").groupBy("rep", "comp").agg(F.collect_list(F.struct("name", "main", "qs", "hs")).alias("_open"))
+    opened = opened.join(nodes.select("rep", "n", "vec"), "rep").withColumn("names", F.sort_array(F.transform("_open", lambda x: x["name"])))
+    rows = opened.select("rep", "comp", "n", "vec", "names", F.explode("_open").alias("_o")).select("*", "_o.*").drop("_o")
     own, every = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = rows.filter("comp <> main").select("*", F.pmod(own, F.col("qs")).cast("int").alias("q"), every("hs").alias("h"), F.lit(True).alias("asks"))
     held = rows.select("*", every("qs").alias("q"), F.pmod(own, F.col("hs")).cast("int").alias("h"), F.lit(False).alias("asks"))
     keys = ["name", "q", "h"]
-    dealt = asking.unionByName(held).select(*keys, "rep", "comp", "n", "vec", "asks").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = asking.unionByName(held).select(*keys, "rep", "comp", "n", "vec", "names", "asks").repartition(*keys).sortWithinPartitions(*keys)
     crossing = dealt.mapInArrow(_crossing(threshold), "a long, b long").distinct()
     crossing = store(crossing.join(tried, ["a", "b"], "left_anti"), folder, "crossing")
     more = store(_verified(crossing, docs, width, threshold), folder, "more")
