@@ -354,7 +354,7 @@ def test_search_finds_most_neighbours(spark):
     x = rng.normal(size=(4000, 24)).astype(np.float32)
     x[1000:1400] = x[1000]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("vector", F.lit(1))
-    found = ann.search(df, F.col("vec_id") % 20 == 0, workspace(spark, "t"), probes=26).toPandas()
+    found = ann.search(df, F.col("vec_id") % 20 == 0, workspace(spark, "t")).toPandas()
     scores = x[::20].astype(float) @ x.T.astype(float)
     scores[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
     hits = []
@@ -366,6 +366,37 @@ def test_search_finds_most_neighbours(spark):
     assert len(hits) == 200 and np.mean(hits) >= 0.9
 
 
+def test_recall_on_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").toPandas()
+    x = np.array(rows["embedding"].to_list(), np.float64)
+    router, probes = ann.fit(x[np.random.default_rng(3).permutation(len(x))].astype(np.float32))
+    parts = router.logits(x[:1].astype(np.float32)).shape[1]
+    assert parts >= 16 and probes < parts  # partitions are used, at this size too
+    found = QUERIES["op7_ann"](spark, "/root/testdata/sf0.1").toPandas()
+    at = np.flatnonzero(rows["vec_id"] % 20 == 0)
+    scores = x[at] @ x.T
+    scores[np.arange(len(at)), at] = -np.inf
+    best = {int(rows["vec_id"][q]): set(rows["vec_id"][np.argsort(-s, kind="stable")[:20]]) for q, s in zip(at, scores, strict=True)}
+    own = found.groupby("query_id")["vec_id"].agg(set).to_dict()
+    assert own.keys() == best.keys() and (found.groupby("query_id")["rank"].max() == 20).all()
+    assert np.mean([len(own[q] & best[q]) / 20 for q in best]) >= 0.9
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    """Copies beyond the k + 1 smallest ids never rank; query rows of one id have a list each; extra columns don't clash."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.5]) for i in range(400)] + [(1000 + i, rng.normal(size=2).tolist()) for i in range(300)] + [(20, [0.0, 1.0]), (20, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vh", F.lit(1)).withColumn("part", F.lit(2)).withColumn("vector", F.lit(3))
+    out = ann.search(df, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 60), workspace(spark, "t"), k=5).collect()
+    assert len(out) == 20  # ids 0, 40, and both vectors of 20
+    scores = np.array([np.dot(v, [1.0, 0.5]) for _, v in rows])
+    mine = sorted((r.rank, r.vec_id) for r in out if r.query_id == 40)
+    expected = sorted((-s, i) for s, (i, _) in zip(scores.astype(np.float32), rows, strict=True) if i != 40)[:5]
+    assert [i for _, i in mine] == [i for _, i in expected]
+    assert len({r.vec_id for r in out if r.query_id == 20}) > 5
+
+
 def test_search_on_awkward_vectors(spark):
     rows = [(1, [1.0, 0.0]), (20, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
