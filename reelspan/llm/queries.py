@@ -22,4 +22,6 @@ ORACLE_SQL = {
     "op3_warc": warc.ORACLE_SQL,
     "op4_license_scan": licenses.ORACLE_SQL,
     "op5_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op6_suffix_array_dedup": suffix_array.ORACLE_SQL,
+    "op8_substring_dedup": suffix_trees.ORACLE_SQL,
 }

@@ -9,9 +9,9 @@ every position, so it is done in steps that each keep every match:
 2. Grams that only one document has are left out (one aggregation with a combine on the map side,
    then a join back that adaptive execution may split).
 3. Exact copies of an earlier document go whole. Of the others, the runs of windows behind the other grams, with their units, go to the group of their gram.
-   Where a gram is in over `hot` documents its windows go one by one, each to the group of its
-   whole content: a longer prefix for a crowded group. Runs that an earlier document in the same
-   batch holds unit for unit are settled before the shuffle.
+   Runs that an earlier document in the same batch holds unit for unit are settled before the shuffle.
+   Where a gram is in over `hot` documents its windows go by the 128-bit hash of their whole content,
+   as (hash, least document) combined on the map side: no task gets the copies of one passage.
 4. A group compares its windows exactly (`flags`), by the method of the operator.
 5. The covered spans meet their documents once, on (doc_id, hash of the text).
 
@@ -27,12 +27,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import store
+from reelspan.llm.common import free_name, join_shared, store
 
-HOT = 20_000
+#: Documents that share a gram from which its windows are settled by their hashes: a group's units stay within a few MB.
+HOT = 2_000
 #: Windows of one run that travel together, and bytes of units that a task compares at once.
 RUN, CHUNK = 64, 6 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -138,22 +139,38 @@ def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 RUN_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("units", pa.binary())])
 
 
+def _kept_runs(text: bytes, grams: list[int], units: Units, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units of a text, and gram, start and length of its runs behind `grams`."""
+    own = units(text)
+    least = least_grams(own, size, k)
+    first, lengths = runs_of(least)
+    keys = least[first].view(np.int64)
+    at = np.flatnonzero(np.isin(keys, np.array(grams, np.int64)))
+    return own, keys[at], first[at], lengths[at]
+
+
+def _hot_windows(units: Units, size: int, k: int):
+    """Windows behind crowded grams: h1, h2 (hash of the content), doc_id, th, start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, th, text, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, _, first, lengths = _kept_runs(text, hot, units, size, k)
+                starts = np.concatenate([np.arange(s, s + n) for s, n in zip(first, lengths, strict=True)])
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(own[s : s + size].tobytes()) for s in starts), "<i8").reshape(-1, 2)
+                same = np.full(len(starts), doc, np.int64), np.full(len(starts), th, np.int64)
+                yield pa.record_batch([h[:, 0].copy(), h[:, 1].copy(), *same, starts.astype(np.int32)], names=["h1", "h2", "doc_id", "th", "start"])
+
+    return run
+
+
 def _shared_runs(units: Units, size: int, k: int):
     """Runs of windows behind shared grams; those settled in the batch come without units."""
 
-    def of(text: bytes, grams: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-        own = units(text)
-        least = least_grams(own, size, k)
-        first, lengths = runs_of(least)
-        keys = least[first].view(np.int64)
-        for i in np.flatnonzero(np.isin(keys, grams)):
-            start, n = int(first[i]), int(lengths[i])
-            if keys[i] in hot:
-                for s in range(start, start + n):
-                    content = own[s : s + size].tobytes()
-                    yield xxhash.xxh3_64_intdigest(content) - (1 << 63), s, 1, content
-            else:
-                yield int(keys[i]), start, n, own[start : start + n - 1 + size].tobytes()
+    def of(text: bytes, grams: list[int]) -> Iterator[tuple[int, int, int, bytes]]:
+        own, keys, first, lengths = _kept_runs(text, grams, units, size, k)
+        for key, start, n in zip(keys.tolist(), first.tolist(), lengths.tolist(), strict=True):
+            yield key, start, n, own[start : start + n - 1 + size].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +178,9 @@ def _shared_runs(units: Units, size: int, k: int):
             seen: dict[bytes, int] = {}
             out: list[tuple] = []
             held = 0
-            for doc, th, text, grams, hot in rows:
+            for doc, th, text, grams in rows:
                 last = -1  # place in `out` of this document's last settled run
-                for key, start, n, content in of(text, np.array(grams, np.int64), set(hot)):
+                for key, start, n, content in of(text, grams):
                     if seen.setdefault(content, doc) < doc:
                         if last >= 0 and out[last][3] + out[last][4] == start:
                             out[last] = (*out[last][:4], out[last][4] + n, None)
@@ -265,7 +282,7 @@ def _cut(words: bool):
 
 
 def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, flags: Flags, hot: int = HOT) -> DataFrame:
-    """All rows of `docs` with one more column `_cut`: n, n_removed, n_spans and the kept bytes."""
+    """All rows of `docs` with one more column `_cut` (see `free_name`): n, n_removed, n_spans and the kept bytes."""
     units, dtype = (word_units, np.uint64) if words else (byte_units, np.uint8)
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     lists = store(slim.select("doc_id", "th", "text").mapInArrow(_gram_lists(units, size, k), "doc_id long, th long, check long, n int, grams binary"), folder, "grams")
@@ -276,10 +293,18 @@ def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, fl
     counted = grams.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     shared = store(counted.filter("lo < hi").select("g", (F.col("n") > hot).alias("crowded")), folder, "shared")
     found = grams.join(shared.hint("shuffle_hash"), "g")
-    per_doc = store(found.groupBy("doc_id", "th").agg(F.collect_list("g").alias("grams"), F.collect_list(F.when(F.col("crowded"), F.col("g"))).alias("hot")), folder, "found")
-    runs = slim.join(per_doc.join(copies, ["doc_id", "th"], "left_anti"), ["doc_id", "th"]).select("doc_id", "th", "text", "grams", "hot").mapInArrow(_shared_runs(units, size, k), "key long, doc_id long, th long, start int, n int, units binary")
-    spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_matched(flags, size, dtype), "doc_id long, th long, s int, e int")
-    spans = store(spans.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans")), folder, "spans")
-    keyed = docs.withColumn("_th", F.xxhash64(F.col("text").cast("binary")))
-    joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_doc", "th": "_own"}), (F.col("doc_id") == F.col("_doc")) & (F.col("_th") == F.col("_own")), "left")
-    return joined.withColumn("_cut", _cut(words)(F.col("text").cast("binary"), "_spans")).drop("_th", "_doc", "_own", "_spans")
+    listed = F.collect_list(F.when(~F.col("crowded"), F.col("g"))).alias("grams"), F.collect_list(F.when(F.col("crowded"), F.col("g"))).alias("hot")
+    per_doc = store(found.groupBy("doc_id", "th").agg(*listed), folder, "found").join(copies, ["doc_id", "th"], "left_anti")
+    runs = slim.join(per_doc.filter(F.size("grams") > 0), ["doc_id", "th"]).select("doc_id", "th", "text", "grams").mapInArrow(_shared_runs(units, size, k), "key long, doc_id long, th long, start int, n int, units binary")
+    spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_matched(flags, size, dtype), "doc_id long, th long, s int, e int").unionByName(copies)
+    crowded = slim.join(per_doc.filter(F.size("hot") > 0), ["doc_id", "th"]).select("doc_id", "th", "text", "hot")
+    hot_windows = store(crowded.mapInArrow(_hot_windows(units, size, k), "h1 long, h2 long, doc_id long, th long, start int"), folder, "hot")
+    firsts = hot_windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).filter("_first < _last").drop("_last")
+    later = join_shared(hot_windows, store(firsts, folder, "firsts"), ["h1", "h2"], "_n", hot_windows.count()).filter("doc_id > _first")
+    islands = later.withColumn("_i", F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("start")))
+    islands = islands.groupBy("doc_id", "th", "_i").agg(F.min("start").alias("s"), (F.max("start") + size).alias("e")).drop("_i")
+    spans = store(spans.unionByName(islands).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans")), folder, "spans")
+    th, doc, own, mine, out = (free_name(docs, x) for x in ("_th", "_doc", "_own", "_spans", "_cut"))
+    keyed = docs.withColumn(th, F.xxhash64(F.col("text").cast("binary")))
+    joined = keyed.join(spans.withColumnsRenamed({"doc_id": doc, "th": own, "_spans": mine}), (F.col("doc_id") == F.col(doc)) & (F.col(th) == F.col(own)), "left")
+    return joined.withColumn(out, _cut(words)(F.col("text").cast("binary"), mine)).drop(th, doc, own, mine)

@@ -62,6 +62,23 @@ def test_windows_match_brute_force(spark, sf, words, hot):
         assert sorted(map(tuple, found), key=str) == brute_windows([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 50, words)
 
 
+def test_longest_previous_factors_match_brute_force():
+    rng = np.random.default_rng(8)
+    for letters in (1, 2, 3):
+        units = rng.integers(0, letters, 600).astype(np.uint8)
+        starts, size = np.arange(0, 580), 11
+        docs = np.sort(rng.integers(0, 40, 580)) if letters == 2 else rng.integers(0, 40, 580)
+        found = suffix_array.longest_previous(units, starts, docs, size)
+        for i in range(580):
+            best = 0
+            for j in np.flatnonzero(docs < docs[i]):
+                same = units[starts[i] : starts[i] + size] == units[starts[j] : starts[j] + size]
+                best = max(best, size if same.all() else int(same.argmin()))
+            assert (found[i] >= size) == (best >= size) and best <= size
+    rows = np.array([[1, 2], [1, 2], [1, 3 << 56], [1 << 40, 0]], np.uint64)
+    assert suffix_array.common_prefixes(rows, 14).tolist() == [0, 14, 8, 2]
+
+
 def test_least_grams_depend_on_the_window_alone():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 4, 400).astype(np.uint8)
