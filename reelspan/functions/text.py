@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Verbs that may lead an instruction, verbs that need a direction, and directions.
-LEADING_VERBS = "pick grab grasp hold lift move push pull slide place put open close pour wipe use turn press rotate stack touch tap shake fold"
-DIRECTED_VERBS = "move push pull slide"
-DIRECTIONS = "left right forward forwards backward backwards up down toward towards away to from into onto across closer"
-DESTINATIONS = "on onto in into inside under beside behind next to near at"
-COLOURS = "red green blue yellow orange purple pink brown black white gray grey silver gold beige cyan magenta teal navy maroon olive violet indigo turquoise tan cream golden crimson"
+# Verbs that may begin an instruction, prepositions of place, words of direction beside them, and colours.
+VERBS = "pick grasp place push pull slide open close rotate turn lift lower press tap move align insert remove unscrew screw flip twist unfold fold"
+PREPOSITIONS = "on, onto, in, into, inside, near, next to, beside, by, between, to the left of, to the right of, above, below, against, at, over, under, in front of, behind, around, top of"
+DIRECTIONS = "toward, towards, away from, closer to, farther from, to the left, to the right, leftward, rightward, forward, backward, aside, across"
+COLOURS = "red green blue yellow orange purple pink black white gray grey brown cyan magenta gold silver beige maroon violet indigo turquoise navy olive teal lime ivory bluish reddish"
 
 
 def alternatives(words: str) -> str:
-    return "(" + "|".join(words.split()) + ")"
+    """A group of the words, or of the phrases where commas part them."""
+    return "(?:" + "|".join(words.split(", ") if "," in words else words.split()) + ")"
+
+
+PLACED = rf"\bplace\b.+\b{alternatives(PREPOSITIONS)}\b"
+DIRECTED = rf"\b{alternatives(PREPOSITIONS + ', ' + DIRECTIONS)}\b"
 
 
 def normalise(text: Column) -> Column:
@@ -23,12 +27,19 @@ def normalise(text: Column) -> Column:
 
 
 def is_valid_instruction(text: Column) -> Column:
-    """Long enough, no hyphenated compound, a known leading verb, and what that verb needs."""
-    t = normalise(text)
-    verb = F.regexp_extract(t, r"^([a-z]+)", 1)
-    directed = ~verb.isin(DIRECTED_VERBS.split()) | t.rlike(rf"\b{alternatives(DIRECTIONS)}\b")
-    placed = ~verb.isin("place", "put") | t.rlike(rf"\b{alternatives(DESTINATIONS)}\b")
-    return (F.length(t) >= 8) & ~t.rlike(r"[a-z]-[a-z]") & verb.isin(LEADING_VERBS.split()) & directed & placed
+    """At least eight characters, no '-then-place', a known verb first, and what place and the moving verbs need.
+
+    place needs a preposition of place after it; move, push, pull and slide need such a
+    preposition or a word of direction anywhere.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+    def has(pattern: str) -> Column:
+        return t.rlike("(?i)" + pattern)
+
+    placed = ~has(r"\bplace\b") | has(PLACED)
+    directed = ~has(r"\b(?:move|push|pull|slide)\b") | has(DIRECTED)
+    return (F.length(t) >= 8) & ~has(r"\b(?:pick|grasp)-then-place\b") & has(rf"^{alternatives(VERBS)}\b") & placed & directed
 
 
 def format_hands(left: Column, right: Column) -> Column:
@@ -53,10 +64,22 @@ def has_colour(text: Column) -> Column:
 
 
 def swap_sides(text: Column) -> Column:
-    """left and right exchanged as whole words; upright and leftover stay."""
-    marked = F.regexp_replace(F.regexp_replace(text, r"\bleft\b", "\u0001"), r"\bLeft\b", "\u0002")
-    turned = F.regexp_replace(F.regexp_replace(marked, r"\bright\b", "left"), r"\bRight\b", "Left")
-    return F.replace(F.replace(turned, F.lit("\u0001"), F.lit("right")), F.lit("\u0002"), F.lit("Right"))
+    """A mirrored instruction: left and right exchanged wherever they stand but in upright and leftover.
+
+    The left hand's clause then comes first again, and what stood before both clauses goes. A text
+    without one of the clauses is only exchanged.
+    """
+    out = text
+    for old, new in (("upright", "\u0001"), ("leftover", "\u0002"), ("Left", "\u0003"), ("Right", "Left"), ("\u0003", "Right"), ("left", "\u0003"), ("right", "left"), ("\u0003", "right")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    left, right = F.instr(out, "Left hand:"), F.instr(out, "Right hand:")
+
+    def clause(first: Column, then: Column) -> Column:
+        part = F.when(first < then, F.substring(out, first, then - first)).otherwise(F.substring(out, first, F.length(out)))
+        return F.regexp_replace(part, r"^\s+|\s+$", "")
+
+    ordered = F.when((left > 0) & (right > 0), F.concat_ws(" ", clause(left, right), clause(right, left))).otherwise(out)
+    return F.replace(F.replace(ordered, F.lit("\u0001"), F.lit("upright")), F.lit("\u0002"), F.lit("leftover"))
 
 
 def merge_lists(*parts: Column) -> Column:

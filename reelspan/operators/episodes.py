@@ -13,9 +13,10 @@ def by_frame() -> WindowSpec:
 
 
 def frames_of(events: DataFrame, episode: str, order: list[str], signal: Column) -> DataFrame:
-    """episode, frame_idx, signal of an event table."""
+    """episode, frame_idx, signal of an event table, and the other columns of `events`."""
     w = Window.partitionBy(episode).orderBy(*order)
-    return events.select(F.col(episode).alias("episode"), (F.row_number().over(w) - 1).alias("frame_idx"), signal.alias("signal"), *order)
+    others = [c for c in events.columns if c != episode]
+    return events.select(F.col(episode).alias("episode"), (F.row_number().over(w) - 1).alias("frame_idx"), signal.alias("signal"), *others)
 
 
 def frame_index(frames: DataFrame) -> DataFrame:
@@ -53,6 +54,24 @@ def speeds(frames: DataFrame, width: int = 5) -> DataFrame:
     return moved.withColumn("smooth", F.sum("speed").over(by_frame().rowsBetween(-half, half)) / width)
 
 
+def hand_summary(frames: DataFrame, sides: dict[str, Column]) -> DataFrame:
+    """avg_speed and anno_type of each episode, from the frames where either hand (left, right) is valid.
+
+    A hand's speed is its path over its valid frames, whatever lies between two of them, by the
+    episode's frames less one; the faster hand counts. The type is the hand with more valid frames,
+    both for equally many, none without any.
+    """
+    for side, valid in sides.items():
+        value = F.when(valid, F.col("signal"))
+        before = F.last(value, ignorenulls=True).over(by_frame().rowsBetween(Window.unboundedPreceding, -1))
+        frames = frames.withColumn(f"_{side}", F.abs(value - before)).withColumn(f"_n_{side}", valid.cast("long"))
+    sums = [F.sum(f"_n_{side}").alias(side) for side in sides] + [F.coalesce(F.sum(f"_{side}"), F.lit(0.0)).alias(f"_{side}") for side in sides]
+    out = frames.groupBy("episode").agg(F.count("*").alias("frames"), *sums)
+    kind = F.when(F.col("left") > F.col("right"), "left").when(F.col("right") > F.col("left"), "right").when(F.col("left") > 0, "both").otherwise("none")
+    speed = F.greatest("_left", "_right") / F.greatest(F.col("frames") - 1, F.lit(1))
+    return out.select("episode", "frames", F.col("left").alias("left_frames"), F.col("right").alias("right_frames"), speed.alias("avg_speed"), kind.alias("anno_type"))
+
+
 def step_actions(frames: DataFrame, kept: Column) -> DataFrame:
     """delta to the next frame where both are kept, else 0."""
     marked = frames.withColumn("_k", kept)
@@ -77,13 +96,15 @@ def runs(frames: DataFrame, mask: Column) -> DataFrame:
 def interpolated(frames: DataFrame, known: Column) -> DataFrame:
     """filled: the signal where known, else linear between the nearest known frames (none outside them)."""
     at, value = F.when(known, F.col("frame_idx")), F.when(known, F.col("signal"))
-    before, after = by_frame().rowsBetween(Window.unboundedPreceding, 0), by_frame().rowsBetween(0, Window.unboundedFollowing)
+    before = by_frame().rowsBetween(Window.unboundedPreceding, 0)
+    # backwards, so that this frame grows row by row as well instead of being read again for each
+    after = Window.partitionBy("episode").orderBy(F.desc("frame_idx")).rowsBetween(Window.unboundedPreceding, 0)
     ends = frames.withColumns(
         {
             "_a": F.last(at, ignorenulls=True).over(before),
             "_x": F.last(value, ignorenulls=True).over(before),
-            "_b": F.first(at, ignorenulls=True).over(after),
-            "_y": F.first(value, ignorenulls=True).over(after),
+            "_b": F.last(at, ignorenulls=True).over(after),
+            "_y": F.last(value, ignorenulls=True).over(after),
         }
     )
     share = (F.col("frame_idx") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0))

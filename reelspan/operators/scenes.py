@@ -30,13 +30,36 @@ def rests_on(inner: str, outer: str, margin: float = 35, share: float = 0.2) ->
     return inside("x", "w") & inside("y", "h") & (shared_area(inner, outer) >= share * field(inner, "w") * field(inner, "h"))
 
 
-def gap(a: str, b: str) -> Column:
-    """The larger of the distances along x and y; 0 where they overlap."""
+def gaps(a: str, b: str) -> tuple[Column, Column]:
+    """The distances of two boxes along x and along y; 0 where they overlap on that axis."""
 
     def along(p: str, q: str) -> Column:
         return F.greatest(field(a, p) - field(b, p) - field(b, q), field(b, p) - field(a, p) - field(a, q), F.lit(0.0))
 
-    return F.greatest(along("x", "w"), along("y", "h"))
+    return along("x", "w"), along("y", "h")
+
+
+def adjacent(a: str, b: str, near: float = 90, share: float = 0.15) -> Column:
+    """The smaller gap under `near`, and at most `share` of the smaller box overlapped."""
+
+    def area(box: str) -> Column:
+        return F.greatest(field(box, "w"), F.lit(0.0)) * F.greatest(field(box, "h"), F.lit(0.0))
+
+    return (F.least(*gaps(a, b)) < near) & (shared_area(a, b) <= share * F.least(area(a), area(b)))
+
+
+def feasibility(facts: dict[str, Column]) -> Column:
+    """Points of an instruction for a scene, from what is known of both (boolean columns).
+
+    both_hands: valid for two hands; holding: a hand of the scene holds something; grasps_held: grasps
+    what is held; operates_held: works with it; uses: its verb is use; puts_down: puts something down;
+    primary_held, involves_held: its first, any object is held; lays: its verb is one of putting down;
+    two_objects: of that kind.
+    """
+    held = F.when(facts["grasps_held"], -100).when(facts["operates_held"], 40 + F.when(facts["uses"], 20).otherwise(0))
+    held = held.when(facts["puts_down"] & facts["primary_held"], 18).when(facts["primary_held"], 8).when(facts["involves_held"], 4).otherwise(-100)
+    scene = F.when(facts["holding"], held).when(facts["lays"], 4).otherwise(0)
+    return F.when(facts["both_hands"], 50).otherwise(0) + scene + F.when(facts["two_objects"], 3).otherwise(0)
 
 
 def without_known(suggested: DataFrame, known: DataFrame, scene: str, key: str, order: str) -> DataFrame:

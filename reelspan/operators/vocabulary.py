@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def accepted(words: DataFrame, word: str) -> DataFrame:
     A round takes the words without an undecided earlier neighbour and drops what is near them.
     """
     spark = words.sparkSession
-    folder = scratch(spark, f"accepted-{words.semanticHash() & 0xFFFFFFFF:x}-{id(words):x}")
+    folder = scratch(spark, f"accepted-{uuid.uuid4().hex}")
     pairs = near_pairs(words, word)
     pairs.write.mode("overwrite").parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")

@@ -37,11 +37,12 @@ def resting_on(spark, sf):
     return box_pairs(spark, sf).filter(scenes.rests_on("a", "b")).select("scene", "n1", "k1", "n2", "k2")
 
 
-@query(f"""WITH {PAIRS} SELECT scene, n1, k1, n2, k2, greatest(ax - qx - qw, qx - ax - aw, ay - qy - qh, qy - ay - ah, 0) AS gap FROM pairs
-WHERE greatest(ax - qx - qw, qx - ax - aw, ay - qy - qh, qy - ay - ah, 0) < 90""")
+@query(f"""WITH {PAIRS}, g AS (SELECT *, greatest(ax - qx - qw, qx - ax - aw, 0) AS hg, greatest(ay - qy - qh, qy - ay - ah, 0) AS vg,
+  greatest(least(ax + aw, qx + qw) - greatest(ax, qx), 0) * greatest(least(ay + ah, qy + qh) - greatest(ay, qy), 0) AS shared FROM pairs)
+SELECT scene, n1, k1, n2, k2, least(hg, vg) AS gap FROM g WHERE least(hg, vg) < 90 AND shared <= 0.15 * least(aw * ah, qw * qh)""")
 def adjacent_objects(spark, sf):
-    near = box_pairs(spark, sf).withColumn("gap", scenes.gap("a", "b")).filter("gap < 90")
-    return near.select("scene", "n1", "k1", "n2", "k2", "gap")
+    near = box_pairs(spark, sf).filter(scenes.adjacent("a", "b"))
+    return near.select("scene", "n1", "k1", "n2", "k2", F.least(*scenes.gaps("a", "b")).alias("gap"))
 
 
 OBJECTS = """objects AS (SELECT l_orderkey AS scene, l_linenumber AS n, l_partkey AS k, split_part(p_name, ' ', 2) AS noun,
@@ -68,10 +69,19 @@ def catalogue_union(spark, sf):
     return scenes.distinct_by_class(scene_objects(spark, sf), "scene", "noun", "class", "k").select("scene", "noun", "class", "k")
 
 
-@query(f"""WITH {OBJECTS} SELECT scene, count(*) AS objects, sum(CASE WHEN class = 0 THEN 3 ELSE 0 END + CASE WHEN n = 1 THEN 2 ELSE 0 END - CASE WHEN class = 2 THEN 1 ELSE 0 END)::BIGINT AS score FROM objects GROUP BY scene""")
+FACTS = {
+    "both_hands": "l_tax >= 0.04", "holding": "l_returnflag <> 'N'", "grasps_held": "l_quantity <= 5", "operates_held": "l_quantity <= 20", "uses": "l_linestatus = 'F'",
+    "puts_down": "l_partkey % 2 = 0", "primary_held": "l_quantity <= 35", "involves_held": "l_quantity <= 42", "lays": "l_suppkey % 3 = 0", "two_objects": "l_linenumber % 2 = 0",
+}
+
+
+@query(f"""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"{v} AS {k}" for k, v in FACTS.items())} FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN both_hands THEN 50 ELSE 0 END + CASE WHEN two_objects THEN 3 ELSE 0 END
+  + CASE WHEN NOT holding AND lays THEN 4 WHEN NOT holding THEN 0 WHEN grasps_held THEN -100 WHEN operates_held AND uses THEN 60 WHEN operates_held THEN 40
+         WHEN puts_down AND primary_held THEN 18 WHEN primary_held THEN 8 WHEN involves_held THEN 4 ELSE -100 END AS score FROM f""")
 def feasibility_score(spark, sf):
-    points = F.when(F.col("class") == 0, 3).otherwise(0) + F.when(F.col("n") == 1, 2).otherwise(0) - F.when(F.col("class") == 2, 1).otherwise(0)
-    return scene_objects(spark, sf).groupBy("scene").agg(F.count("*").alias("objects"), F.sum(points).alias("score"))
+    score = scenes.feasibility({k: F.expr(v) for k, v in FACTS.items()})
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", score.alias("score"))
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE {sql_draw('o_orderkey')} < {int(0.3 * (1 << 32))}")
@@ -218,6 +228,15 @@ def first_detection_per_hand(spark, sf):
     return own.groupBy("episode", "bucket", "event_type").agg(F.min("frame_idx").alias("frame_idx"))
 
 
+@query(f"""WITH {FRAMES}, k AS (SELECT episode, frame_idx, CASE WHEN event_type <> 'error' THEN signal END AS s FROM frames),
+d AS (SELECT episode, sum(abs(s - p)) AS path FROM (SELECT episode, s, lag(s) OVER (PARTITION BY episode ORDER BY frame_idx) AS p FROM k WHERE s IS NOT NULL) GROUP BY episode),
+n AS (SELECT episode, count(*) AS frames FROM k GROUP BY episode)
+SELECT episode, round(coalesce(path, 0) / greatest(frames - 1, 1), 6) AS wrist_speed FROM n LEFT JOIN d USING (episode)""")
+def wrist_speed(spark, sf):
+    out = episodes.hand_summary(frames(spark, sf), {"left": F.col("event_type") != "error", "right": F.lit(False)})
+    return out.select("episode", F.round("avg_speed", 6).alias("wrist_speed"))
+
+
 @query(f"""WITH {FRAMES}, k AS (SELECT episode, frame_idx, CASE WHEN event_type <> 'error' THEN signal END AS s FROM frames)
 SELECT episode, round(sum(abs(s - p)), 4) AS path FROM (SELECT episode, s, lag(s) OVER (PARTITION BY episode ORDER BY frame_idx) AS p FROM k WHERE s IS NOT NULL) GROUP BY episode""")
 def wrist_path(spark, sf):

@@ -41,8 +41,7 @@ WORDS = """words AS (
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    out = episodes.frames_of(events, "user_id", ["ts", "event_id"], F.col("value"))
-    return out.join(events.select("event_id", "event_type"), "event_id")
+    return episodes.frames_of(events, "user_id", ["ts", "event_id"], F.col("value"))
 
 
 FRAMES = """frames AS (
@@ -102,29 +101,35 @@ def instruction_dedupe(spark, sf):
     return corpus.first_of_each(docs, F.col("_h"), "doc_id").select("doc_id", "copies")
 
 
-INSTRUCTION = """made AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'pick up the ' || p_name WHEN 1 THEN 'Push the ' || p_name
-  WHEN 2 THEN 'push the ' || p_name || ' to the left' WHEN 3 THEN 'place the ' || p_name WHEN 4 THEN 'place the ' || p_name || ' on the tray'
-  ELSE 'hand-hold the ' || p_name END AS instruction FROM part)"""
+FORMS = ["pick up the {}", "Push the {}", "push the {} to the left", "place the {}", "Place the {} on the tray", "pick-then-place the {} on the tray", "hand-lift the {}", "lift-up the {} ", "move the {} near the box", "grab the {}"]
+INSTRUCTION = f"""made AS (SELECT p_partkey, CASE p_partkey % {len(FORMS)} {" ".join(f"WHEN {i} THEN '" + x.replace("{}", "' || p_name || '") + "'" for i, x in enumerate(FORMS))} END AS instruction FROM part)"""
 
 
 def instructions(spark, sf):
-    name, kind = F.col("p_name"), F.col("p_partkey") % 6
-    made = F.when(kind == 0, F.concat(F.lit("pick up the "), name)).when(kind == 1, F.concat(F.lit("Push the "), name))
-    made = made.when(kind == 2, F.concat(F.lit("push the "), name, F.lit(" to the left"))).when(kind == 3, F.concat(F.lit("place the "), name))
-    made = made.when(kind == 4, F.concat(F.lit("place the "), name, F.lit(" on the tray"))).otherwise(F.concat(F.lit("hand-hold the "), name))
+    made = F.lit(None).cast("string")
+    for i, form in enumerate(FORMS):
+        start, end = form.split("{}")
+        made = F.when(F.col("p_partkey") % len(FORMS) == i, F.concat(F.lit(start), F.col("p_name"), F.lit(end))).otherwise(made)
     return table(spark, sf, "part").select("p_partkey", made.alias("instruction"))
 
 
-@query(rf"""WITH {INSTRUCTION}, t AS (SELECT *, trim(regexp_replace(lower(instruction), '\s+', ' ', 'g')) AS x FROM made),
-v AS (SELECT *, regexp_extract(x, '^([a-z]+)', 1) AS verb FROM t)
-SELECT p_partkey, instruction FROM v WHERE length(x) >= 8 AND NOT regexp_matches(x, '[a-z]-[a-z]')
-  AND verb IN ({", ".join(f"'{w}'" for w in text.LEADING_VERBS.split())})
-  AND (verb NOT IN ('move', 'push', 'pull', 'slide') OR regexp_matches(x, '\b{text.alternatives(text.DIRECTIONS)}\b'))
-  AND (verb NOT IN ('place', 'put') OR regexp_matches(x, '\b{text.alternatives(text.DESTINATIONS)}\b'))""")
+VALID = rf"""length(x) >= 8 AND NOT regexp_matches(x, '\b(pick|grasp)-then-place\b', 'i') AND regexp_matches(x, '^{text.alternatives(text.VERBS)}\b', 'i')
+  AND (NOT regexp_matches(x, '\bplace\b', 'i') OR regexp_matches(x, '{text.PLACED}', 'i'))
+  AND (NOT regexp_matches(x, '\b(move|push|pull|slide)\b', 'i') OR regexp_matches(x, '{text.DIRECTED}', 'i'))"""
+
+
+@query(f"WITH {INSTRUCTION}, t AS (SELECT *, trim(instruction) AS x FROM made) SELECT p_partkey, instruction FROM t WHERE {VALID}")
 def valid_instructions(spark, sf):
     return instructions(spark, sf).filter(text.is_valid_instruction(F.col("instruction")))
 
 
+@query(rf"""WITH {INSTRUCTION}, t AS (SELECT *, trim(instruction) AS x, trim(regexp_replace(lower(instruction), '\s+', ' ', 'g')) AS k FROM made)
+SELECT p_partkey, copies FROM (SELECT p_partkey, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY k) AS copies FROM t WHERE {VALID}) WHERE r = 1""")
+def valid_distinct_instructions(spark, sf):
+    valid = instructions(spark, sf).filter(text.is_valid_instruction(F.col("instruction")))
+    return corpus.first_of_each(valid, text.normalise(F.col("instruction")), "p_partkey").select("p_partkey", "copies")
+
+
 @query(r"""SELECT doc_id, regexp_matches(lower(text), '\b""" + text.alternatives(text.COLOURS) + r"""\b') AS has_colour FROM documents""")
 def colour_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.has_colour(F.col("text")).alias("has_colour"))
@@ -167,6 +172,24 @@ def answered(spark, sf):
     return asked.join(answers, ["conv_id", "turn"], "left").select("conv_id", "turn", text.format_hands(F.col("l"), F.col("r")).alias("instruction"))
 
 
+SWAPPED = ["upright", chr(1), "leftover", chr(2), "Left", chr(3), "Right", "Left", chr(3), "Right", "left", chr(3), "right", "left", chr(3), "right"]
+
+
+def swapped_sql(x: str) -> str:
+    for old, new in zip(SWAPPED[::2], SWAPPED[1::2], strict=True):
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+@query(rf"""WITH {ANSWERED}, s AS (SELECT conv_id, turn, {swapped_sql('instruction')} AS x FROM answered),
+p AS (SELECT *, instr(x, 'Left hand:') AS l, instr(x, 'Right hand:') AS r FROM s),
+c AS (SELECT conv_id, turn, regexp_replace(CASE WHEN l < r THEN substr(x, l, r - l) ELSE substr(x, l) END, '^\s+|\s+$', '', 'g') || ' ' ||
+  regexp_replace(CASE WHEN r < l THEN substr(x, r, l - r) ELSE substr(x, r) END, '^\s+|\s+$', '', 'g') AS y FROM p)
+SELECT conv_id, turn, replace(replace(y, chr(1), 'upright'), chr(2), 'leftover') AS mirrored FROM c""")
+def mirrored_hand_turns(spark, sf):
+    return answered(spark, sf).select("conv_id", "turn", text.swap_sides(F.col("instruction")).alias("mirrored"))
+
+
 @query(f"WITH {ANSWERED} SELECT conv_id, turn, instruction FROM answered")
 def format_hand_turns(spark, sf):
     return answered(spark, sf)
@@ -283,13 +306,17 @@ def speed_and_smooth(spark, sf):
     return episodes.speeds(frames(spark, sf)).select("episode", "frame_idx", F.round("speed", 6).alias("speed"), F.round("smooth", 6).alias("smooth"))
 
 
-@query(f"""WITH {SPEED}, e AS (SELECT episode, count(*) AS frames, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS kept, sum(speed) AS path FROM smoothed GROUP BY episode)
-SELECT episode, frames, kept, round(path / greatest(frames - 1, 1), 6) AS avg_speed, CASE WHEN kept * 5 >= frames * 4 THEN 'tracked' ELSE 'sparse' END AS anno_type FROM e""")
+@query(f"""WITH {FRAMES}, s AS (SELECT *, event_type IN ('view', 'signup') AS l, event_type IN ('click', 'purchase') AS r FROM frames),
+steps AS (SELECT episode, abs(signal - lag(signal) OVER (PARTITION BY episode ORDER BY frame_idx)) AS d, true AS l FROM s WHERE l
+  UNION ALL SELECT episode, abs(signal - lag(signal) OVER (PARTITION BY episode ORDER BY frame_idx)), false FROM s WHERE r),
+paths AS (SELECT episode, coalesce(sum(d) FILTER (l), 0) AS lp, coalesce(sum(d) FILTER (NOT l), 0) AS rp FROM steps GROUP BY episode),
+n AS (SELECT episode, count(*) AS frames, count(*) FILTER (l) AS left_frames, count(*) FILTER (r) AS right_frames FROM s GROUP BY episode)
+SELECT episode, frames, left_frames, right_frames, round(greatest(coalesce(lp, 0), coalesce(rp, 0)) / greatest(frames - 1, 1), 6) AS avg_speed,
+  CASE WHEN left_frames > right_frames THEN 'left' WHEN right_frames > left_frames THEN 'right' WHEN left_frames > 0 THEN 'both' ELSE 'none' END AS anno_type
+FROM n LEFT JOIN paths USING (episode)""")
 def episode_summary(spark, sf):
-    moved = episodes.speeds(frames(spark, sf))
-    out = moved.groupBy("episode").agg(F.count("*").alias("frames"), F.count_if(F.col("event_type") != "error").alias("kept"), F.sum("speed").alias("_p"))
-    kind = F.when(F.col("kept") * 5 >= F.col("frames") * 4, "tracked").otherwise("sparse")
-    return out.select("episode", "frames", "kept", F.round(F.col("_p") / F.greatest(F.col("frames") - 1, F.lit(1)), 6).alias("avg_speed"), kind.alias("anno_type"))
+    sides = {"left": F.col("event_type").isin("view", "signup"), "right": F.col("event_type").isin("click", "purchase")}
+    return episodes.hand_summary(frames(spark, sf), sides).withColumn("avg_speed", F.round("avg_speed", 6))
 
 
 STEPS = f"""{FRAMES}, k AS (SELECT *, event_type <> 'error' AS kept FROM frames),
@@ -333,10 +360,18 @@ def linear_interpolation(spark, sf):
     return episodes.interpolated(frames(spark, sf), F.col("event_type") != "error").select("episode", "frame_idx", F.round("filled", 6).alias("filled"))
 
 
+SIGNAL_SCALE = 2_000.0
+
+
 @query()
 def split_points(spark, sf):
-    """Slow minima of smoothed speed: order-dependent, so tested against brute force."""
-    return episodes.split_points(episodes.speeds(frames(spark, sf)), prominence=1.0, limit=1e9)
+    """Slow minima of smoothed speed: order-dependent, so tested against brute force.
+
+    `value` moves some thousands of times as much in a step as a wrist does in metres, so both
+    limits of the operator are scaled by that.
+    """
+    scaled = frames(spark, sf).withColumn("signal", F.col("signal") / SIGNAL_SCALE)
+    return episodes.split_points(episodes.speeds(scaled))
 
 
 STATS = """stats AS (SELECT label, i - 1 AS dim, avg(x) AS mean, stddev_pop(x) AS std, count(x) AS num_rows

@@ -5,11 +5,12 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reelspan.functions import geometry as g
 from reelspan.functions import text
-from reelspan.operators import corpus, episodes, sampling, vectors, vocabulary
+from reelspan.operators import corpus, episodes, sampling, scenes, vectors, vocabulary
 from reelspan.sources import tables
 from reelspan.streaming import jobs
 
@@ -30,6 +31,71 @@ def test_text_columns(spark):
     assert swapped == "Right of the upright left leftover" and labels == "a, b, c, d" and safe == "a_b_c-d_e" and json.loads(found) == {"a": 1}
 
 
+@pytest.mark.parametrize(
+    ("instruction", "valid"),
+    [
+        ("pick up the cup", True), ("Grasp the cup", True), ("grab the cup", False), ("put the cup on it", False), ("the cup, pick it", False),
+        ("fold it", False), ("  fold it ", False), ("fold it up", True), ("pickup the cup", False), (None, False), ("", False),
+        ("pick-then-place the cup on the tray", False), ("pick up the cup, grasp-then-place on it", False), ("lift-up the cup", True),
+        ("place the cup", False), ("place on the tray", True), ("place it on the tray", True), ("PLACE it NEXT TO the tray", True), ("pick it and place it", False), ("pick it and place it inside", True),
+        ("move the cup", False), ("move the cup aside", True), ("push the cup", False), ("push the cup to the left", True), ("slide the cup near it", True), ("pull the cup forward", True), ("pull the cup forwards", False),
+        ("open the move box", False), ("align the cups", True), ("unscrew the lid", True), ("twist the lid", True), ("insert the key", True), ("remove the lid", True),
+    ],
+)
+def test_instruction_rules(spark, instruction, valid):
+    assert one(spark, a=text.is_valid_instruction(F.lit(instruction).cast("string"))) == [valid]
+
+
+def test_colour_words(spark):
+    found = one(spark, a=text.has_colour(F.lit("a Lime cup")), b=text.has_colour(F.lit("ivory, reddish")), c=text.has_colour(F.lit("a tan, cream, golden or crimson cup")), d=text.has_colour(F.lit("bored")))
+    assert found == [True, True, False, False]
+
+
+def test_mirrored_texts(spark):
+    both = "Left hand: Hold the leftmost upright cup. Right hand: Turn Right to the bright leftovers."
+    turned = "Left hand: Turn Left to the bleft leftovers. Right hand: Hold the rightmost upright cup."
+    found = one(spark, a=text.swap_sides(F.lit(both)), b=text.swap_sides(F.lit("Note. Right hand: a left one. Left hand: None.")), c=text.swap_sides(F.lit("none")), d=text.swap_sides(F.lit(None).cast("string")))
+    assert found == [turned, "Left hand: a right one. Right hand: None.", "none", None]
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "near"),
+    [
+        ((0, 0, 10, 10), (99, 0, 10, 10), True),  # 0 apart along y
+        ((0, 0, 10, 10), (99, 99, 10, 10), True),  # 89 apart along both
+        ((0, 0, 10, 10), (100, 100, 10, 10), False),  # 90 apart along both
+        ((0, 0, 10, 10), (500, 50, 10, 10), True),  # the smaller gap counts
+        ((0, 0, 10, 10), (8, 2, 10, 10), False),  # 16 % of the smaller box overlapped
+        ((0, 0, 10, 10), (8.5, 0, 10, 10), True),  # 15 % are still next to each other
+        ((0, 0, 100, 100), (10, 10, 5, 5), False),
+    ],
+)
+def test_adjacent_boxes(spark, a, b, near):
+    boxes = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip("xywh", x, strict=True)]) for x in (a, b)]
+    assert spark.range(1).select(boxes[0].alias("a"), boxes[1].alias("b")).select(scenes.adjacent("a", "b")).first()[0] is near
+
+
+@pytest.mark.parametrize(
+    ("true", "score"),
+    [
+        ("", 0), ("both_hands", 50), ("two_objects", 3), ("lays", 4), ("holding", -100), ("holding lays", -100), ("holding grasps_held operates_held", -100),
+        ("holding operates_held puts_down primary_held", 40), ("holding operates_held uses both_hands two_objects", 113), ("holding puts_down primary_held", 18),
+        ("holding puts_down", -100), ("holding primary_held involves_held", 8), ("holding involves_held", 4), ("uses primary_held", 0),
+    ],
+)
+def test_feasibility(spark, true, score):
+    names = "both_hands holding grasps_held operates_held uses puts_down primary_held involves_held lays two_objects".split()
+    assert one(spark, a=scenes.feasibility({n: F.lit(n in true.split()) for n in names})) == [score]
+
+
+def test_hand_summary(spark):
+    # episode 1: left valid at 0, 3 and 4, right at 2; 2: as many each; 3: none valid; 4: one frame
+    rows = [(1, 0, 1.0, "l"), (1, 1, 50.0, "-"), (1, 2, 9.0, "r"), (1, 3, 4.0, "l"), (1, 4, 2.0, "l"), (2, 0, 0.0, "l"), (2, 1, 7.0, "r"), (3, 0, 1.0, "-"), (3, 1, 2.0, "-"), (4, 0, 5.0, "r")]
+    frames = spark.createDataFrame(rows, "episode long, frame_idx long, signal double, hand string")
+    got = episodes.hand_summary(frames, {"left": F.col("hand") == "l", "right": F.col("hand") == "r"}).orderBy("episode").collect()
+    assert [tuple(r) for r in got] == [(1, 5, 3, 1, 5 / 4, "left"), (2, 2, 1, 1, 0.0, "both"), (3, 2, 0, 0, 0.0, "none"), (4, 1, 0, 1, 0.0, "right")]
+
+
 def test_rotations(spark):
     e = F.array(F.lit(0.3), F.lit(-0.7), F.lit(1.1))
     m = g.from_euler(e)
