@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from reelspan.llm.common import free_name, join_shared, store
 
 #: Documents that share a gram from which its windows are settled by their hashes: a group's units stay within a few MB.
-HOT = 2_000
+HOT = 20_000
 #: Windows of one run that travel together, and bytes of units that a task compares at once.
 RUN, CHUNK = 64, 6 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
