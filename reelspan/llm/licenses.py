@@ -15,10 +15,13 @@ Defined results: null or empty text has no sentences and no licences. Each row s
 
 from __future__ import annotations
 
+import re
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import table
+from reelspan.llm.common import free_name, table
 
 # Licence sentences in normal form; a sentence's identifier is its place, from 1.
 SENTENCES = (
@@ -46,6 +49,17 @@ SENTENCES = (
     "spdx license identifier mit",
     "spdx license identifier apache 2 0",
     "spdx license identifier gpl 3 0 or later",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "this is free and unencumbered software released into the public domain",
+    "boost software license version 1 0 august 17th 2003",
+    "this software is provided as is without any express or implied warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software",
+    "this source code form is subject to the terms of the mozilla public license v",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license",
 )
 # Licences and the sentences, in order, that name them (alternatives in one licence).
 RULES = {
@@ -57,7 +71,21 @@ RULES = {
     "BSD-2-Clause": ((15, 16, 17),),
     "CC-BY-NC-4.0": ((19,),),
     "CC-BY-4.0": ((20,), (21,)),
+    "ISC": ((25,),),
+    "0BSD": ((26,),),
+    "Unlicense": ((27,),),
+    "BSL-1.0": ((28,),),
+    "Zlib": ((29, 30),),
+    "MPL-2.0": ((31,),),
+    "LGPL-2.1-or-later": ((32,),),
+    "LGPL-3.0-or-later": ((33,),),
+    "AGPL-3.0-or-later": ((34,),),
+    "CC-BY-SA-4.0": ((35,),),
 }
+# Further licence names that may stand in an SPDX line.
+NAMED = "BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 ISC 0BSD Unlicense BSL-1.0 Zlib MPL-2.0 LGPL-2.1-or-later LGPL-3.0-or-later AGPL-3.0-or-later GPL-2.0-or-later".split()
+RULES = {k: v + (((len(SENTENCES) + 1 + NAMED.index(k),),) if k in NAMED else ()) for k, v in RULES.items()}
+SENTENCES += tuple("spdx license identifier " + re.sub("[^a-z0-9]+", " ", k.lower()) for k in NAMED)
 # Sentences as the clause cut of published texts gives them, numbered on from SENTENCES.
 CLAUSES = (
     "you may obtain a copy of the license at",
@@ -88,7 +116,7 @@ CLAUSE_RULES = {
 MARK = "\x01"
 ENDS = r"[.!?]+(\s+|$)"
 #: Every rule has a sentence that holds one of these; other texts need no clauses.
-HINT = r"(?i)licen[sc]e|permission|redistribut|cc\W+by"
+HINT = r"(?i)licen[sc]e|permission|redistribut|cc\W+by|unencumbered|liable"
 LETTERED = r"(^|\n)[ \t]*(?:dnl|rem)(?=\s)"  # comment prefixes that are letters
 CLAUSE_ENDS = r"[.!?]+(\s+|$)|(?<=[\p{L}\p{N}\x22')”])[:;](\s+|$)|\n[^\p{L}\p{N}]*\n|(?<=\n)[^\p{L}\p{N}\n]*\(?[a-z0-9]{1,2}\)\s|all rights reserved"
 COPYRIGHT = r"(^|\n)([^\p{L}\p{N}\n]*(?:copyright[ \t]+[(©<\[12]|\(c\)[ \t]+copyright|©)[^\n]*)(\n|$)"
@@ -116,39 +144,64 @@ def clauses(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.filter(F.transform(F.split(plain, MARK), named), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
 
 
+#: Known sentences are looked up in the one of this many lists that their hash names.
+LISTS = 64
+
+
 def identifiers(found: Column, sentences_: tuple[str, ...] = SENTENCES) -> Column:
     """The known sentences as a string of <identifier>s."""
-    known = F.array(*map(F.lit, sentences_))
-    numbers = F.filter(F.transform(found, lambda s: F.array_position(known, s)), lambda i: i > 0)
-    return F.concat_ws("", F.transform(numbers, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
+    lists: list[list[int]] = [[] for _ in range(LISTS)]
+    for i, s in enumerate(sentences_, 1):
+        lists[xxhash.xxh64_intdigest(s, 42) % LISTS].append(i)  # what xxhash64 gives in Spark
+    texts = F.array(*[F.array(*[F.lit(sentences_[i - 1]) for i in own]).cast("array<string>") for own in lists])
+    numbers = F.array(*[F.array(*map(F.lit, own)).cast("array<int>") for own in lists])
+
+    def number(s: Column) -> Column:
+        at = F.xxhash64(s).bitwiseAND(F.lit(LISTS - 1)).cast("int")
+        return F.get(F.get(numbers, at), F.array_position(F.get(texts, at), s).cast("int") - 1)
+
+    known = F.filter(F.transform(found, number), lambda i: i.isNotNull())
+    return F.concat_ws("", F.transform(known, lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))))
 
 
 def follows(ids: Column, rule: tuple[int, ...]) -> Column:
     return ids.like("%" + "%".join(f"<{i}>" for i in rule) + "%")
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """`docs` with n_sentences, line_ids, sentence_ids and license_ids in one struct `_licenses`."""
-    by_line = docs.withColumn("_s", sentences(F.col("text"), lines=True))
-    found = by_line.withColumn("_n", F.size("_s").cast("long")).withColumn("_a", identifiers(F.col("_s"))).withColumn("_b", identifiers(sentences(F.col("text"), lines=False)))
-    found = found.withColumn("_c", identifiers(clauses(F.col("text")), SENTENCES + CLAUSES))
+#: Identifiers other than the first of the BSD sentences.
+OTHERS = r"(?:<(?:[0-9]|1[0-46-9]|[2-9][0-9]|[0-9]{3,})>)*"
+
+
+def bsd_three(last: int) -> str:
+    """A pattern for the sentences of one three-clause licence, whose first three are those of the two-clause one."""
+    return OTHERS.join(f"<{i}>" for i in (15, 16, 17, last))
 
-    def matches(name: str) -> Column:
+
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """`docs` with n_sentences, line_ids, sentence_ids and license_ids in one struct `_licenses` (see `free_name`)."""
+    line, count, a, b, c, out_name = (free_name(docs, x) for x in ("_s", "_n", "_a", "_b", "_c", "_licenses"))
+    by_line = docs.withColumn(line, sentences(F.col("text"), lines=True))
+    found = by_line.withColumn(count, F.size(line).cast("long")).withColumn(a, identifiers(F.col(line))).withColumn(b, identifiers(sentences(F.col("text"), lines=False)))
+    found = found.withColumn(c, identifiers(clauses(F.col("text")), SENTENCES + CLAUSES))
+    cuts = [F.col(a), F.col(b), F.col(c)]
+
+    def matches(name: str, ids: list[Column]) -> Column:
         match = F.lit(False)
         for rule in RULES.get(name, ()):
-            match = match | follows(F.col("_a"), rule) | follows(F.col("_b"), rule) | follows(F.col("_c"), rule)
+            for own in ids:
+                match = match | follows(own, rule)
         for rule in CLAUSE_RULES.get(name, ()):
-            match = match | follows(F.col("_c"), rule)
+            match = match | follows(ids[2], rule)
         return match
 
     hits = []
     for name in dict.fromkeys([*RULES, *CLAUSE_RULES]):
-        match = matches(name)
-        if name == "BSD-2-Clause":  # its sentences begin those of the three-clause licence
-            match = match & ~matches("BSD-3-Clause")
-        hits.append(F.when(match, F.lit(name)))
-    out = F.struct(F.col("_n").alias("n_sentences"), F.col("_a").alias("line_ids"), F.col("_b").alias("sentence_ids"), F.concat_ws(",", *hits).alias("license_ids"))
-    return found.withColumn("_licenses", out).drop("_s", "_n", "_a", "_b", "_c")
+        ids = cuts
+        if name == "BSD-2-Clause":  # its sentences begin those of the three-clause licence, which are taken out
+            ids = [F.regexp_replace(F.regexp_replace(x, bsd_three(18), ""), bsd_three(_I + 12), "") for x in cuts]
+        hits.append(F.when(matches(name, ids), F.lit(name)))
+    out = F.struct(F.col(count).alias("n_sentences"), F.col(a).alias("line_ids"), F.col(b).alias("sentence_ids"), F.concat_ws(",", *hits).alias("license_ids"))
+    return found.withColumn(out_name, out).drop(line, count, a, b, c)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +227,8 @@ def _oracle() -> str:
     for name, rules in RULES.items():
         test = "(" + " OR ".join(map(like, rules)) + ")"
         if name == "BSD-2-Clause":
-            test += f" AND NOT {like(RULES['BSD-3-Clause'][0])}"
+            for x in ("line_ids", "sentence_ids"):
+                test = test.replace(x, f"regexp_replace({x}, '{bsd_three(18)}', '', 'g')")
         hits.append(f"CASE WHEN {test} THEN '{name}' END")
     lines = cut(r"|\n")
     return f"""

@@ -240,6 +240,33 @@ def test_licences_in_order(spark):
     assert found == {1: "MIT", 2: "", 3: "MIT", 4: "", 5: "", 6: "MIT", None: "MIT"}
 
 
+def test_licences_beside_each_other(spark):
+    def text(*ids):
+        return "\n".join(licenses.SENTENCES[i - 1] + "." for i in ids)
+
+    rows = [(1, text(15, 16, 17)), (2, text(15, 16, 17, 18)), (3, text(15, 16, 17, 4, 15, 16, 17, 18)), (4, text(15, 16, 17, 18, 2, 15, 16, 17)), (5, text(25)), (6, text(29, 30)), (7, "SPDX-License-Identifier: MPL-2.0\nx"), (8, "a\nSPDX-License-Identifier: LGPL-2.1-or-later")]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    for name in ("_s", "_n", "_A", "_b", "_c", "_licenses"):
+        df = df.withColumn(name, F.lit(7))
+    out = licenses.scan_licenses(df)
+    assert out.columns == [*df.columns, "_licenses_"] and out.filter("_s + _n + _A + _b + _c + _licenses <> 42").count() == 0
+    both = "BSD-3-Clause,BSD-2-Clause"
+    expected = {1: "BSD-2-Clause", 2: "BSD-3-Clause", 3: both, 4: "MIT," + both, 5: "ISC", 6: "Zlib", 7: "MPL-2.0", 8: "LGPL-2.1-or-later"}
+    assert {r.doc_id: r.license_ids for r in out.select("doc_id", "_licenses_.license_ids").collect()} == expected and out.count() == 9
+
+
+def test_every_known_sentence_is_found(spark):
+    known = licenses.SENTENCES + licenses.CLAUSES
+    rows = spark.createDataFrame([(i, [s, s + " x", ""]) for i, s in enumerate(known, 1)], "i long, found array<string>")
+    assert all(r.ids == f"<{r.i}>" for r in rows.select("i", licenses.identifiers(F.col("found"), known).alias("ids")).collect())
+
+
+def test_licences_in_very_long_texts(spark):
+    long = "word and more words. " * 60_000 + "\n" + licenses.SENTENCES[0] + ".\n" + "x" * 200_000
+    (r,) = licenses.scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string")).select("_licenses.*").collect()
+    assert r.license_ids == "MIT" and r.n_sentences > 60_000
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2021 Jane Doe
