@@ -135,30 +135,6 @@ def colour_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.has_colour(F.col("text")).alias("has_colour"))
 
 
-TURNS = r"""turns AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN split_part(text, chr(10), 1) END) AS l,
-  max(CASE WHEN turn = 1 THEN split_part(text, chr(10), 1) END) AS r FROM conversations GROUP BY conv_id),
-hands AS (SELECT conv_id, 'Left hand: ' || coalesce(nullif(trim(regexp_replace(trim(l), '[.]+$', '')), ''), 'None')
-  || '. Right hand: ' || coalesce(nullif(trim(regexp_replace(trim(r), '[.]+$', '')), ''), 'None') || '.' AS instruction FROM turns)"""
-
-
-def hands(spark, sf):
-    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
-    sides = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, first)).alias("l"), F.max(F.when(F.col("turn") == 1, first)).alias("r"))
-    return sides.select("conv_id", text.format_hands(F.col("l"), F.col("r")).alias("instruction"))
-
-
-@query(f"WITH {TURNS} SELECT conv_id, instruction FROM hands")
-def format_hand_instruction(spark, sf):
-    return hands(spark, sf)
-
-
-@query(rf"""WITH {TURNS}, p AS (SELECT conv_id, trim(regexp_extract(instruction, '(?is)left hand:\s*(.*?)\.?\s*(?:right hand:|$)', 1)) AS a,
-  trim(regexp_extract(instruction, '(?is)right hand:\s*(.*?)\.?\s*$', 1)) AS b FROM hands)
-SELECT conv_id, CASE WHEN a <> '' AND lower(a) <> 'none' THEN a END AS left_hand, CASE WHEN b <> '' AND lower(b) <> 'none' THEN b END AS right_hand FROM p""")
-def parse_hand_instruction(spark, sf):
-    return hands(spark, sf).select("conv_id", text.parse_hand(F.col("instruction"), "left").alias("left_hand"), text.parse_hand(F.col("instruction"), "right").alias("right_hand"))
-
-
 ANSWERED = r"""answered AS (SELECT u.conv_id, u.turn, 'Left hand: ' || coalesce(nullif(trim(regexp_replace(trim(u.text), '[.]+$', '')), ''), 'None')
   || '. Right hand: ' || coalesce(nullif(trim(regexp_replace(trim(a.text), '[.]+$', '')), ''), 'None') || '.' AS instruction
   FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
@@ -191,14 +167,14 @@ def mirrored_hand_turns(spark, sf):
 
 
 @query(f"WITH {ANSWERED} SELECT conv_id, turn, instruction FROM answered")
-def format_hand_turns(spark, sf):
+def format_hand_instruction(spark, sf):
     return answered(spark, sf)
 
 
 @query(rf"""WITH {ANSWERED}, p AS (SELECT conv_id, turn, trim(regexp_extract(instruction, '(?is)left hand:\s*(.*?)\.?\s*(?:right hand:|$)', 1)) AS a,
   trim(regexp_extract(instruction, '(?is)right hand:\s*(.*?)\.?\s*$', 1)) AS b FROM answered)
 SELECT conv_id, turn, CASE WHEN a <> '' AND lower(a) <> 'none' THEN a END AS left_hand, CASE WHEN b <> '' AND lower(b) <> 'none' THEN b END AS right_hand FROM p""")
-def parse_hand_turns(spark, sf):
+def parse_hand_instruction(spark, sf):
     return answered(spark, sf).select("conv_id", "turn", text.parse_hand(F.col("instruction"), "left").alias("left_hand"), text.parse_hand(F.col("instruction"), "right").alias("right_hand"))
 
 
@@ -375,12 +351,15 @@ def split_points(spark, sf):
 
 
 STATS = """stats AS (SELECT label, i - 1 AS dim, avg(x) AS mean, stddev_pop(x) AS std, count(x) AS num_rows
-  FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY label, i)"""
+  FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+    WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) GROUP BY label, i)"""
 
 
 def _stats(spark, sf):
+    """By label and dimension over every vector whose values are all finite."""
     rows = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return vectors.masked_statistics(rows, "embedding", F.col("vec_id") % 3 != 0, ["label"])
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return vectors.masked_statistics(rows, "embedding", finite, ["label"])
 
 
 @query(f"WITH {STATS} SELECT label, dim, round(mean, 6) AS mean, round(std, 6) AS std, num_rows FROM stats")
@@ -393,8 +372,8 @@ def merge_statistics(spark, sf):
     return vectors.merged_statistics(_stats(spark, sf), F.col("num_rows")).select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("""SELECT i - 1 AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std
-FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY i""")
+@query("""SELECT i - 1 AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
+FROM embeddings WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) GROUP BY i""")
 def pooled_statistics(spark, sf):
     return vectors.merged_statistics(_stats(spark, sf), F.col("num_rows"), "pooled").select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -408,41 +387,6 @@ def normalise_vectors(spark, sf):
     return z.select("vec_id", F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.array_max("z"), 4).alias("largest"))
 
 
-FINITE_STATS = STATS.replace("stats AS", "finite_stats AS").replace("vec_id % 3 <> 0", "len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0")
-
-
-def _finite_stats(spark, sf):
-    """By label and dimension over every vector whose values are all finite."""
-    rows = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.masked_statistics(rows, "embedding", finite, ["label"])
-
-
-@query(f"WITH {FINITE_STATS} SELECT label, dim, round(mean, 6) AS mean, round(std, 6) AS std, num_rows FROM finite_stats")
-def finite_statistics(spark, sf):
-    return _finite_stats(spark, sf).select("label", "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "num_rows")
-
-
-@query(f"WITH {FINITE_STATS} SELECT dim, round(sum(num_rows * mean) / sum(num_rows), 6) AS mean, round(sum(num_rows * std) / sum(num_rows), 6) AS std FROM finite_stats GROUP BY dim")
-def merge_finite_statistics(spark, sf):
-    return vectors.merged_statistics(_finite_stats(spark, sf), F.col("num_rows")).select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-@query("""SELECT i - 1 AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
-FROM embeddings WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) GROUP BY i""")
-def pooled_finite_statistics(spark, sf):
-    return vectors.merged_statistics(_finite_stats(spark, sf), F.col("num_rows"), "pooled").select("dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-
-
-@query(f"""WITH {FINITE_STATS}, e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT vec_id, round(sum((x - mean) / (std + 1e-7)), 4) AS total, round(max((x - mean) / (std + 1e-7)), 4) AS largest FROM e JOIN finite_stats USING (label, dim) GROUP BY vec_id""")
-def normalise_by_finite_statistics(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    joined = rows.join(F.broadcast(vectors.as_arrays(_finite_stats(spark, sf), ["label"])), "label")  # a row a label
-    z = joined.select("vec_id", geometry.normalised(F.col("x"), F.col("means"), F.col("stds")).alias("z"))
-    return z.select("vec_id", F.round(F.aggregate("z", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.array_max("z"), 4).alias("largest"))
-
-
 @query("""SELECT vec_id, 96 AS width, round(list_sum([CASE WHEN (i + vec_id) % 4 <> 0 THEN embedding[i + 1]::DOUBLE ELSE 0 END for i in range(64)]), 6) AS total FROM embeddings""")
 def pad_and_mask(spark, sf):
     x = F.col("embedding").cast("array<double>")

@@ -27,7 +27,7 @@ def test_streams_of_shuffled_files(spark, sf, name, tmp_path):
 def test_hand_turns_are_whole(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").toPandas()
     answers = {(r.conv_id, r.turn): r.text for r in turns.itertuples() if r.role == "assistant"}
-    found = {(r.conv_id, r.turn): r for r in QUERIES["parse_hand_turns"](spark, sf).collect()}
+    found = {(r.conv_id, r.turn): r for r in QUERIES["parse_hand_instruction"](spark, sf).collect()}
     asked = [r for r in turns.itertuples() if r.role == "user"]
     assert len(found) == len(asked) and any("\n" in r.text for r in asked) and any(r.turn > 1 for r in asked)
     for r in asked:
@@ -40,7 +40,7 @@ def test_statistics_take_every_finite_vector(spark, sf, tmp_path):
     counts = {r.label: r["count"] for r in vectors.groupBy("label").count().collect()}
     bad = spark.createDataFrame([(-1, [float("nan")] * 64, 0), (-2, [float("inf")] + [0.0] * 63, 0), (-3, [None] + [0.0] * 63, 0), (-4, None, 0)], vectors.schema)
     vectors.unionByName(bad).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = QUERIES["finite_statistics"](spark, str(tmp_path)).collect()
+    found = QUERIES["masked_statistics"](spark, str(tmp_path)).collect()
     assert {(r.label, r.num_rows) for r in found} == set(counts.items())
 
 
