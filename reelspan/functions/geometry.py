@@ -56,8 +56,103 @@ def transposed(m: Column) -> Column:
 
 
 def angle(m: Column) -> Column:
-    """Rotation angle of a matrix, in radians."""
-    return F.acos(clamp((cell(m, 0, 0) + cell(m, 1, 1) + cell(m, 2, 2) - 1) / 2, -1.0, 1.0))
+    """Rotation angle of a matrix, in radians: from sine and cosine together, so exact near zero as well."""
+    x, y, z = cell(m, 2, 1) - cell(m, 1, 2), cell(m, 0, 2) - cell(m, 2, 0), cell(m, 1, 0) - cell(m, 0, 1)
+    return F.atan2(F.sqrt(x * x + y * y + z * z), cell(m, 0, 0) + cell(m, 1, 1) + cell(m, 2, 2) - 1)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def identity() -> Column:
+    return F.array(*[F.lit(float(r == c)) for r in range(3) for c in range(3)])
+
+
+def homogeneous(m: Column, t: Column) -> Column:
+    """Sixteen numbers by rows from a rotation and a translation."""
+    rows = [F.concat(F.slice(m, 3 * r + 1, 3), F.slice(t, r + 1, 1)) for r in range(3)]
+    return F.concat(*rows, F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+
+
+def changed_view(m: Column, view: Column, mirror: Column) -> Column:
+    """A rotation seen from another view, mirrored: view . m . mirror."""
+    return product(product(view, m), mirror)
+
+
+def changed_step(m: Column, view: Column) -> Column:
+    """A relative rotation seen from another view: view . m . view transposed."""
+    return product(product(view, m), transposed(view))
+
+
+def swapped_halves(x: Column, flip: Column) -> Column:
+    """A vector of left and right halves, exchanged where `flip` holds; of odd lengths the right half is longer."""
+    half = F.floor(F.size(x) / 2).cast("int")
+    return F.when(flip, F.concat(F.slice(x, half + 1, F.size(x) - half), F.slice(x, F.lit(1), half))).otherwise(x)
+
+
+def projected(point: Column, intrinsics: Column, height: Column, width: Column, nearest: float = 0.05) -> Column:
+    """Pixel (u, v) of a point in camera space under normalised intrinsics; depth is at least `nearest`."""
+    z = F.greatest(F.get(point, 2), F.lit(nearest))
+    ray = F.array(F.get(point, 0) / z, F.get(point, 1) / z, F.lit(1.0))
+    at = rotate(intrinsics, ray)
+    return F.struct(F.bround(F.get(at, 0) * width, 0).cast("int").alias("u"), F.bround(F.get(at, 1) * height, 0).cast("int").alias("v"))
+
+
+def camera(fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    zero = F.lit(0.0)
+    return F.array(fx.cast("double"), zero, cx.cast("double"), zero, fy.cast("double"), cy.cast("double"), zero, zero, F.lit(1.0))
+
+
+def cropped_camera(k: Column, size: Column, crop: Column, resized: Column) -> Column:
+    """Intrinsics after a centred square crop, then a resize."""
+    shift, scale = (size - crop) / 2, resized / crop
+    return camera(cell(k, 0, 0) * scale, cell(k, 1, 1) * scale, (cell(k, 0, 2) - shift) * scale, (cell(k, 1, 2) - shift) * scale)
+
+
+def resized_camera(k: Column, height: Column, width: Column) -> Column:
+    """Intrinsics of an image whose centre is the principal point, after a resize."""
+    x, y = width / (2 * cell(k, 0, 2)), height / (2 * cell(k, 1, 2))
+    return camera(cell(k, 0, 0) * x, cell(k, 1, 1) * y, cell(k, 0, 2) * x, cell(k, 1, 2) * y)
+
+
+def normalised_camera(k: Column) -> Column:
+    """Intrinsics in shares of the image, whose centre is the principal point."""
+    x, y = cell(k, 0, 2) * 2, cell(k, 1, 2) * 2
+    return F.array(*[cell(k, 0, c) / x for c in range(3)], *[cell(k, 1, c) / y for c in range(3)], *[cell(k, 2, c) for c in range(3)])
+
+
+def coordinate(v: Column, size: Column, other: Column) -> Column:
+    """A model's coordinate as a pixel: a share where it and the other axis are at most 1, else on the grid, else a pixel."""
+    most = F.greatest(F.abs(v), F.abs(other))
+    at = F.when(most <= 1, v * size).when(most <= GRID, v / GRID * size).otherwise(v)
+    return F.bround(F.greatest(F.lit(0.0), F.least(size - 1.0, at)), 0).cast("int")
+
+
+def share_box_pixels(box: Column, width: Column, height: Column) -> Column:
+    """Pixel corners of a box given in shares of the image (four numbers, any order); null without an area or with fewer numbers."""
+    x0, y0, x1, y1 = (F.get(box, i) for i in range(4))
+    left, top = (F.least(x0, x1) * width).cast("int"), (F.least(y0, y1) * height).cast("int")
+    right, bottom = (F.greatest(x0, x1) * width).cast("int"), (F.greatest(y0, y1) * height).cast("int")
+    ok = (F.size(box) >= 4) & (right > left) & (bottom > top)
+    return F.when(ok, F.struct(left.alias("x1"), top.alias("y1"), right.alias("x2"), bottom.alias("y2")))
+
+
+def fitted_box(left: Column, top: Column, width: Column, height: Column, image_width: Column, image_height: Column, least: int) -> Column:
+    """A box of at least `least` pixels a side moved into the image; null if it is larger than the image."""
+    w, h = F.greatest(F.lit(least), width.cast("int")), F.greatest(F.lit(least), height.cast("int"))
+    x = F.greatest(F.lit(0), F.least(left.cast("int"), image_width - w))
+    y = F.greatest(F.lit(0), F.least(top.cast("int"), image_height - h))
+    fits = (w <= image_width) & (h <= image_height)
+    return F.when(fits, F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2")))
 
 
 def to_euler(m: Column) -> Column:

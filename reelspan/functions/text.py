@@ -11,6 +11,27 @@ PREPOSITIONS = "on, onto, in, into, inside, near, next to, beside, by, between,
 DIRECTIONS = "toward, towards, away from, closer to, farther from, to the left, to the right, leftward, rightward, forward, backward, aside, across"
 COLOURS = "red green blue yellow orange purple pink black white gray grey brown cyan magenta gold silver beige maroon violet indigo turquoise navy olive teal lime ivory bluish reddish"
 
+# Words that are no slot words, endings of nouns, food and surface nouns, and openings of augmented texts.
+STOPWORDS = """a an the it its is am are was were be on in at to by of and or but not no do did has had have can may will shall
+this that then than from with into onto for near beside next between under over above below up down out off away back here there where
+each every some any all both other another"""
+NOUN_ENDINGS = "tion ness ment ity ure age ance ence er or ist ian ism dom ship hood"
+FOODS = "food vegetable fruit cheese bread meat substance ingredient onion tomato carrot herb"
+FOOD_MARKS = "food substance ingredient sliceable"
+SURFACES = "cutting_board board plate bowl dish tray mat"
+OPENINGS = [
+    "双手从画面下方伸入画面[。.]?",
+    "人物使用双手协同完成动作[：:]",
+    "右手从画面右下角伸入画面[。.]?",
+    "左手从画面左下角伸入画面[。.]?",
+    "人物仅使用右手完成动作[：:]",
+    "人物仅使用左手完成动作[：:]",
+    "(?i:Both hands enter from the bottom of the frame)[.]?",
+    "(?i:The person uses both hands cooperatively)[：:]",
+    "(?i:The (?:RIGHT|LEFT) hand enters from the bottom-(?:right|left) of the frame)[.]?",
+    "(?i:Only the (?:RIGHT|LEFT) hand is used)[：:]",
+]
+
 
 def alternatives(words: str) -> str:
     """A group of the words, or of the phrases where commas part them."""
@@ -96,3 +117,117 @@ def json_in(text: Column) -> Column:
     """JSON text in a model's answer: without fences, else the first braced part."""
     bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
     return F.when(bare.startswith("{"), bare).otherwise(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit("")))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def leading_verbs(text: Column) -> Column:
+    """The known verbs that the parts of an instruction begin with, in order; parts are joined by 'then'."""
+    parts = F.split(F.lower(stripped(F.coalesce(text, F.lit("")))), r"\s+then\s+")
+    return F.filter(F.transform(parts, lambda p: F.regexp_extract(stripped(p), f"^({VERBS.replace(' ', '|')})\\b", 1)), lambda v: v != "")
+
+
+def words_of(many: Column, one: Column, lower: bool = False) -> Column:
+    """A list field, or else its older single-valued form, as trimmed words without empty ones; never null."""
+    held = F.coalesce(many, F.when(one.isNotNull() & (one != ""), F.array(one)), F.array().cast("array<string>"))
+    clean = F.filter(F.transform(held, lambda w: stripped(w)), lambda w: w != "")
+    return F.transform(clean, lambda w: F.lower(w)) if lower else clean
+
+
+def primary_object(shared: Column, left: Column, nouns: Column) -> Column:
+    """The shared object, else the left hand's first noun, else the first noun, in lower case; empty without any."""
+    found = F.coalesce(F.nullif(stripped(shared), F.lit("")), F.get(left, 0), F.get(nouns, 0), F.lit(""))
+    return F.lower(stripped(found))
+
+
+def stored_fields(task: Column, instruction: Column, verbs: Column, nouns: Column, primary: Column, shared: Column) -> Column:
+    """What a manifest row is stored under: instruction, verbs and primary object by their fallbacks; null without an instruction."""
+    own = stripped(F.coalesce(F.nullif(task, F.lit("")), F.nullif(instruction, F.lit("")), F.lit("")))
+    verb = F.when(F.size(F.coalesce(verbs, F.array().cast("array<string>"))) > 0, verbs).otherwise(leading_verbs(own))
+    thing = F.coalesce(F.nullif(primary, F.lit("")), F.nullif(shared, F.lit("")), F.lower(stripped(F.get(nouns, 0))), F.lit(""))
+    return F.when(own != "", F.struct(own.alias("instruction"), verb.alias("verbs"), thing.alias("primary_object")))
+
+
+def combined_hand(text: Column, hand: str) -> Column:
+    """One hand's part of a combined instruction, as it stands ('None' too), without full stops at its end; empty if missing."""
+    end = r"(?=\s*right hand:|$)" if hand == "left" else r"$"
+    return F.regexp_replace(stripped(F.regexp_extract(text, rf"(?is){hand} hand:\s*(.+?){end}", 1)), r"[.]+$", "")
+
+
+def single_arm_fields(goal: Column, augmented: Column, hand: Column) -> Column:
+    """instruction, task, left, right and augmented text of a task of one hand; only `left` rewrites the augmented text."""
+    bare = F.regexp_replace(stripped(F.coalesce(goal, F.lit(""))), r"[.]+$", "")
+    is_left, none = F.coalesce(hand == "left", F.lit(False)), F.lit("None")
+    left, right = F.when(is_left, bare).otherwise(none), F.when(is_left, none).otherwise(bare)
+    moved = F.coalesce(augmented, F.lit(""))
+    for old, new in (("right hand", "left hand"), ("Right hand", "Left hand"), ("RIGHT hand", "LEFT hand"), ("RIGHT HAND", "LEFT HAND")):
+        moved = F.replace(moved, F.lit(old), F.lit(new))
+    moved = F.when(is_left, moved).otherwise(F.coalesce(augmented, F.lit("")))
+    return F.struct(format_hands(left, right).alias("instruction"), bare.alias("task"), left.alias("left_hand"), right.alias("right_hand"), moved.alias("augmented"))
+
+
+def without_openings(text: Column) -> Column:
+    """A text without the fixed sentences it may open with, four rounds of them."""
+    out = stripped(F.coalesce(text, F.lit("")))
+    for _ in range(4):
+        for opening in OPENINGS:
+            out = stripped(F.regexp_replace(out, rf"^{opening}\s*", ""))
+    return out
+
+
+def is_slot_word(word: Column, preposition: Column) -> Column:
+    """Prepositions: up to 30 characters of words; others: 3 to 24 letters and no stopword."""
+    w = F.lower(stripped(word))
+    phrase = w.rlike(r"^[a-z]+(?: [a-z]+)*$") & (F.length(w) <= 30)
+    return F.coalesce(F.when(preposition, phrase).otherwise(w.rlike(r"^[a-z]{3,24}$") & ~w.isin(STOPWORDS.split())), F.lit(False))
+
+
+def is_likely_noun(word: Column) -> Column:
+    """Does it end as nouns do, with at least three letters before the ending?"""
+    return word.rlike(rf"(?s)^.{{3,}}(?:{NOUN_ENDINGS.replace(' ', '|')})$")
+
+
+def noun_key(noun: Column) -> Column:
+    return F.regexp_replace(F.lower(stripped(F.coalesce(noun, F.lit("")))), r"[\s_]+", " ")
+
+
+def object_key(noun: Column, adjective: Column) -> Column:
+    return F.concat(F.lower(F.coalesce(noun, F.lit(""))), F.lit("|"), F.lower(F.coalesce(adjective, F.lit(""))))
+
+
+def is_food(noun: Column, adjective: Column) -> Column:
+    marked = F.lower(F.coalesce(adjective, F.lit(""))).rlike(alternatives(FOOD_MARKS))
+    return F.lower(stripped(F.coalesce(noun, F.lit("")))).isin(FOODS.split()) | marked
+
+
+def is_surface(noun: Column) -> Column:
+    return F.lower(stripped(F.coalesce(noun, F.lit("")))).isin(SURFACES.split())
+
+
+def is_active(hand: Column) -> Column:
+    return ~F.lower(stripped(F.coalesce(hand, F.lit("")))).isin("none", "none.", "")
+
+
+def hand_mode(left: Column, right: Column) -> Column:
+    """bimanual, left or right by the hands that have something to do; right where neither has."""
+    return F.when(is_active(left) & is_active(right), "bimanual").when(is_active(left), "left").otherwise("right")
+
+
+def segment_texts(text: Column, minima: Column) -> Column:
+    """The texts of an episode's segments: two for one minimum, else three, the last one 'return home'."""
+    own = stripped(F.coalesce(text, F.lit("")))
+    parts = F.split(own, " and ", 2)
+    first = F.coalesce(F.nullif(stripped(F.get(parts, 0)), F.lit("")), own)
+    second = F.coalesce(F.nullif(stripped(F.get(parts, 1)), F.lit("")), F.lit("lift it"))
+    second = F.when(F.lower(second).startswith("lift "), "lift it").otherwise(second)
+    home = F.lit("return home")
+    return F.when(minima == 1, F.array(first, home)).otherwise(F.array(first, second, home))
+
+
+def overlay(own: Column, other: Column, hand: Column) -> Column:
+    """'Left: ... | Right: ...' of an episode's captions, of which `own` is its hand's; 'None.' for a missing one."""
+    mine, its = F.coalesce(own, F.lit("None.")), F.coalesce(other, F.lit("None."))
+    right = F.concat(F.lit("Left: "), its, F.lit(" | Right: "), mine)
+    return F.when(hand == "right", right).otherwise(F.concat(F.lit("Left: "), mine, F.lit(" | Right: "), its))

@@ -38,16 +38,24 @@ def lowest(words: DataFrame, n: int) -> DataFrame:
     return words.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def percentile(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """The element floor(n p), at most n - 1, of each key's sorted values.
+def percentile(rows: DataFrame, key: str, value: str, p: float, cuts: int = 256) -> DataFrame:
+    """The element floor(n p), at most n - 1, of each key's sorted values; exact.
 
-    Counts of distinct values are cumulated instead of ordering all rows of a key in one task.
+    Approximate quantiles cut a key's values into ranges, whose counts are cumulated; only the range
+    that holds the element is put in order, by counts of its distinct values.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    held = rows.filter(F.col(value).isNotNull()).select(key, value)
+    marks = held.groupBy(key).agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 10 * cuts).alias("_marks"))
+    cut = held.join(marks, key).withColumn("_range", F.size(F.filter("_marks", lambda m: m < F.col(value)))).drop("_marks")
+    counted = cut.groupBy(key, "_range", value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(key)
-    upto = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_total", F.sum("_n").over(w))
+    ranges = counted.groupBy(key, "_range").agg(F.sum("_n").alias("_size"))
+    upto = ranges.withColumn("_upto", F.sum("_size").over(w.orderBy("_range"))).withColumn("_total", F.sum("_size").over(w))
     place = F.least(F.floor(F.col("_total") * p), F.col("_total") - 1)
-    return upto.filter((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(key, F.col(value).alias("percentile_value"))
+    aimed = upto.withColumn("_place", place - (F.col("_upto") - F.col("_size"))).filter((F.col("_place") >= 0) & (F.col("_place") < F.col("_size")))
+    inside = counted.join(aimed.select(key, "_range", "_place"), [key, "_range"])
+    inside = inside.withColumn("_upto", F.sum("_n").over(w.orderBy(value)))
+    return inside.filter((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_n") <= F.col("_place"))).select(key, F.col(value).alias("percentile_value"))
 
 
 def first_of_each(rows: DataFrame, key: Column, order: str) -> DataFrame:

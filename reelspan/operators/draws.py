@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspan.operators.lookup import rank_by
+
 
 def draw(seed: int, *keys: Column) -> Column:
     """A whole number below 2**32 from the seed and keys."""
@@ -33,7 +35,7 @@ def balanced_picks(words: DataFrame, group: str, level: str, key: str, each: int
 
 
 def epoch_order(rows: DataFrame, dataset: str, key: str, passes: int, seed: int) -> DataFrame:
-    """Every row once a pass, in an order drawn for each dataset and pass."""
+    """Every row once a pass, in an order drawn for each dataset and pass; ranked inside ranges of the draw."""
     many = rows.withColumn("epoch_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    w = Window.partitionBy(dataset, "epoch_pass").orderBy(draw(seed, F.col("epoch_pass"), F.col(key)), key)
-    return many.withColumn("place", F.row_number().over(w) - 1)
+    many = many.withColumn("_group", F.struct(dataset, "epoch_pass")).withColumn("_at", draw(seed, F.col("epoch_pass"), F.col(key)))
+    return rank_by(many, "_group", "_at", key, "place").drop("_group", "_at")

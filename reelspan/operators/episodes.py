@@ -35,10 +35,16 @@ def uniform_picks(frames: DataFrame, k: int) -> DataFrame:
     return many.select("episode", "sample_idx", picked.alias("frame_idx"))
 
 
-def captions_at(frames: DataFrame, captions: DataFrame, closed: bool = False) -> DataFrame:
-    """Frames with the captions (episode, clip_idx, start_frame, end_frame) that hold them."""
+def captions_at(frames: DataFrame, captions: DataFrame, closed: bool = False, width: int = 256) -> DataFrame:
+    """Frames with the captions (episode, clip_idx, start_frame, end_frame) that hold them.
+
+    The join is on the episode and a block of `width` frames, so that a frame meets only captions of its block.
+    """
     end = F.col("frame_idx") <= F.col("end_frame") if closed else F.col("frame_idx") < F.col("end_frame")
-    return frames.join(captions, "episode").filter((F.col("frame_idx") >= F.col("start_frame")) & end)
+    first, last = F.floor(F.col("start_frame") / width), F.floor(F.col("end_frame") / width)
+    blocks = captions.filter("end_frame >= start_frame").withColumn("_block", F.explode(F.sequence(first, last)))
+    found = frames.withColumn("_block", F.floor(F.col("frame_idx") / width)).join(blocks, ["episode", "_block"]).drop("_block")
+    return found.filter((F.col("frame_idx") >= F.col("start_frame")) & end)
 
 
 def segment_of(frames: DataFrame, points: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.plans import more  # noqa: F401  registers its queries
+from reelspan.plans import more, motion, state  # noqa: F401  they register their queries
 from reelspan.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

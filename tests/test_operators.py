@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from reelspan.functions import geometry as g
 from reelspan.functions import text
-from reelspan.operators import corpus, episodes, sampling, scenes, vectors, vocabulary
+from reelspan.operators import corpus, draws, episodes, lookup, motion, sampling, scenes, snapshots, vectors, vocabulary
+from reelspan.registry import QUERIES
 from reelspan.sources import tables
 from reelspan.streaming import jobs
 
@@ -212,3 +213,159 @@ def test_monotone_interpolation(spark):
     df = spark.createDataFrame([(1, i, float(i), i in (1, 3, 6)) for i in range(8)], "episode long, frame_idx long, signal double, k boolean")
     got = [r.filled for r in episodes.interpolated_monotone(df, F.col("k")).orderBy("frame_idx").collect()]
     assert got[0] is None and got[7] is None and np.allclose(got[1:7], [1, 2, 3, 4, 5, 6])
+
+
+def close_to(a, b):
+    return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def rz(a):
+    return [math.cos(a), -math.sin(a), 0.0, math.sin(a), math.cos(a), 0.0, 0.0, 0.0, 1.0]
+
+
+POSE = "episode long, frame_idx long, kept boolean, r array<double>, t array<double>"
+
+
+def test_camera_metrics_and_relative_moves(spark):
+    rows = [(1, i, i != 2, rz(0.1 * i * i), [float(i), 0.0, 0.0]) for i in range(4)] + [(2, 0, True, rz(1.0), [0.0] * 3)]
+    poses = spark.createDataFrame(rows, POSE)
+    found = {r.episode: r for r in motion.camera_metrics(poses).collect()}
+    assert abs(found[1].rotation - 0.9 * 180 / 3.141592653589793) < 1e-9 and found[1].distance == 3.0
+    assert found[2].rotation == 0.0 and found[2].distance == 0.0
+    steps = {r.frame_idx: r for r in motion.relative_steps(poses).filter("episode = 1").collect()}
+    assert [steps[i].valid for i in range(4)] == [True, False, False, False]  # 2 isn't kept, 3 is the last
+    assert close_to(steps[0].turn[2], 0.1) and steps[0].dt == [1.0, 0.0, 0.0] and steps[1].turn == [0.0] * 3
+    far = {(r.anchor, r.frame_idx): r for r in motion.relative_to_anchor(poses, 3).filter("episode = 1").collect()}
+    assert close_to(far[0, 3].turn[2], 0.9) and far[0, 3].valid and not far[0, 2].valid and (3, 4) not in far
+
+
+def test_chunks_rebuild_poses(spark):
+    rows = [(1, i, True, rz(0.2 * i), [float(i * i), 1.0, 0.0]) for i in range(5)]
+    chunks = motion.action_chunks(motion.relative_steps(spark.createDataFrame(rows, POSE)), 3)
+    step = chunks.filter("frame_idx = 1").select(motion.reached(F.col("r"), F.col("t"), F.col("chunk")).alias("p")).first().p
+    assert [round(x.t[0], 9) for x in step] == [1, 4, 9, 16] and close_to(step[-1].r[0], rz(0.8)[0])
+    anchor = chunks.filter("frame_idx = 1").select(motion.reached(F.col("r"), F.col("t"), F.col("chunk"), "anchor").alias("p")).first().p
+    assert [round(x.t[0], 9) for x in anchor] == [1, 4, 6, 8]  # each action from the start
+
+
+def test_world_pose_without_camera_stays(spark):
+    poses = spark.createDataFrame([(1, 0, True, rz(0.0), [1.0, 0.0, 0.0]), (1, 1, True, rz(0.0), [1.0, 0.0, 0.0])], POSE)
+    cameras = spark.createDataFrame([(1, 0, True, rz(3.141592653589793 / 2), [0.0, 0.0, 5.0])], POSE)
+    found = {r.frame_idx: r.t for r in motion.to_world(poses, cameras).collect()}
+    assert [round(x, 9) for x in found[0]] == [0, 1, 5] and found[1] == [1.0, 0.0, 0.0]
+
+
+def test_text_rules_by_case(spark):
+    lit = F.lit
+
+    def value(column):
+        return one(spark, x=column)[0]
+
+    assert value(text.leading_verbs(lit(" Pick the cup then  unscrew it then sing "))) == ["pick", "unscrew"]
+    assert value(text.leading_verbs(lit("picking cups"))) == [] and value(text.leading_verbs(lit(None).cast("string"))) == []
+    assert value(text.without_openings(lit("Only the LEFT hand is used: both hands enter from the bottom of the frame. 右手从画面右下角伸入画面。lifts it"))) == "lifts it"
+    assert value(text.combined_hand(lit("Left hand: pick it.\nRight hand: None."), "left")) == "pick it"
+    assert value(text.combined_hand(lit("Left hand: pick it.\nRight hand: None."), "right")) == "None"
+    assert [value(text.hand_mode(lit(a), lit(b))) for a, b in (("lift", "hold"), ("lift", "None."), ("none", "hold"), (None, ""))] == ["bimanual", "left", "right", "right"]
+    assert value(text.segment_texts(lit("open it and lift the lid"), lit(2))) == ["open it", "lift it", "return home"]
+    assert value(text.segment_texts(lit("open it"), lit(1))) == ["open it", "return home"]
+    assert [value(text.is_slot_word(lit(w), lit(p))) for w, p in (("next to", True), ("next to", False), ("then", False), ("Cup", False), ("ab", False), (None, False))] == [True, False, False, True, False, False]
+    assert [value(text.is_likely_noun(lit(w))) for w in ("station", "nation", "ration", "container", "her")] == [True, False, False, True, False]
+    assert value(text.noun_key(lit(" Cutting_ Board "))) == "cutting board" and value(text.object_key(lit("Cup"), lit(None).cast("string"))) == "cup|"
+    assert value(text.is_food(lit("Onion"), lit(""))) and value(text.is_food(lit("bit"), lit("sliceable"))) and not value(text.is_food(lit("cup"), lit("red")))
+    fields = value(text.single_arm_fields(lit("lift it. "), lit("RIGHT hand lifts"), lit("left")))
+    assert (fields.instruction, fields.task, fields.augmented) == ("Left hand: lift it. Right hand: None.", "lift it", "LEFT hand lifts")
+    words = value(text.words_of(lit(None).cast("array<string>"), lit(" Cup "), lower=True))
+    assert words == ["cup"] and value(text.primary_object(lit(" "), F.array(lit(" Box ")), F.array(lit("cup")))) == "box"
+
+
+def test_geometry_by_case(spark):
+    lit = F.lit
+
+    def value(column):
+        return one(spark, x=column)[0]
+
+    assert [value(g.coordinate(lit(v), lit(640), lit(o))) for v, o in ((0.5, 0.5), (0.5, 500.0), (500.0, 1.0), (2000.0, 5.0), (-0.2, 0.1))] == [320, 0, 320, 639, 0]
+    assert tuple(value(g.fitted_box(lit(630), lit(-5), lit(3), lit(50), lit(640), lit(480), 20))) == (620, 0, 640, 50)
+    assert value(g.fitted_box(lit(0), lit(0), lit(700), lit(50), lit(640), lit(480), 20)) is None
+    assert tuple(value(g.share_box_pixels(F.array(*map(lit, (0.5, 0.75, 0.25, 0.25))), lit(100), lit(200)))) == (25, 50, 50, 150)
+    assert value(g.share_box_pixels(F.array(*map(lit, (0.5, 0.5, 0.5, 0.6))), lit(100), lit(200))) is None
+    assert value(g.swapped_halves(F.array(*map(lit, (1, 2, 3, 4))), lit(True))) == [3, 4, 1, 2]
+    h = value(g.homogeneous(g.identity(), F.array(*map(lit, (1.0, 2.0, 3.0)))))
+    assert h == [1, 0, 0, 1, 0, 1, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1]
+
+
+def test_snapshots(spark):
+    def frame(rows, count="n"):
+        return spark.createDataFrame(rows, f"kind string, word string, {count} long")
+
+    old, batch = frame([("a", "x", 2), ("a", "y", 1)]), frame([("a", "x", 1), ("b", "z", 4), ("a", "x", 1)])
+    new = snapshots.merged(old, batch, ["kind", "word"], "n")
+    assert {tuple(r) for r in new.collect()} == {("a", "x", 4), ("a", "y", 1), ("b", "z", 4)}
+    use = snapshots.usage(new, "kind", "n")
+    caps = spark.createDataFrame([("a", 4), ("b", 4)], "kind string, cap long")
+    assert [r.kind for r in snapshots.at_cap(use, caps, "kind", ["b"]).collect()] == ["a"]
+    slots = spark.createDataFrame([("a",), ("b",), ("c",)], "kind string")
+    assert {r.kind for r in snapshots.short_of(slots, use, "kind", 3, 1).collect()} == {"b", "c"}
+
+    def expand(slots, caps, least):
+        return snapshots.should_expand(slots, use, caps, "kind", least, ["b"]).first().expand
+
+    high = spark.createDataFrame([("a", 9), ("b", 1)], "kind string, cap long")
+    assert expand(slots, high, 9) and not expand(slots.filter("kind <> 'c'"), high, 9)  # an empty slot; b's cap doesn't count
+    assert expand(slots.filter("kind <> 'c'"), caps, 9) and expand(slots.filter("kind <> 'c'"), high, 1)
+    seeds = spark.createDataFrame([("b", "z", 0), ("b", "u", 1), ("b", "v", 2), ("c", "w", 0)], "kind string, word string, place long")
+    grown = snapshots.seeded(new, seeds, "kind", "word", "n", 2)
+    assert {tuple(r) for r in grown.filter("n = 0").collect()} == {("b", "u", 0), ("c", "w", 0)}
+
+
+def test_counters_over_batches_and_replay(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    expected = {tuple(r) for r in events.groupBy("event_type").count().collect()}
+    assert {tuple(r) for r in QUERIES["stream_counters"](spark, str(tmp_path)).collect()} == expected
+    versions = snapshots.Versions(spark, f"{tmp_path}/versions")
+    add = snapshots.counting(versions, ["event_type"], "event_type string, frequency long")
+    for number in (0, 1, 1):  # batch 1 comes again
+        add(events, number)
+    assert {tuple(r) for r in versions.read(1, "event_type string, frequency long").collect()} == {(k, 2 * n) for k, n in expected}
+
+
+def test_failure_budget_outlives_the_query(spark, tmp_path):
+    batch = spark.createDataFrame([("failed",)] * 2, "status string")
+    folder = str(tmp_path / "failures")
+    for number in (0, 0):  # a replay counts once
+        jobs.with_failure_budget(3, "status = 'failed'", folder)(batch, number)
+    with pytest.raises(RuntimeError):
+        jobs.with_failure_budget(3, "status = 'failed'", folder)(batch, 1)
+
+
+def test_annotation_of_by_case(spark):
+    names = ["d_a_b_ep_2", "d_a_b_ep_1", "xab_ep_0", "_c_ep_0", "q_ep_ep_3", "noend"]
+    stems = ["a_b", "b", "ab", "c", "ep", "zz", ""]
+    found = lookup.annotation_of(spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {r.stem: r.name for r in found.collect()} == {"a_b": "d_a_b_ep_1", "b": "d_a_b_ep_1", "ab": "xab_ep_0", "c": "_c_ep_0", "ep": "q_ep_ep_3", "zz": None, "": None}
+
+
+def test_interleaving_keeps_each_order(spark):
+    items = spark.createDataFrame([(d, i) for d in "abc" for i in range(50)], "source string, place long")
+    out = lookup.interleaved(items, "source", "place", draws.draw(3, F.col("source"), F.col("place"))).orderBy("at", "source", "place").collect()
+    for d in "abc":
+        assert [r.place for r in out if r.source == d] == list(range(50))
+    assert len({r.source for r in out[:20]}) > 1
+
+
+def test_captions_across_blocks(spark):
+    frames = spark.createDataFrame([(1, i) for i in range(600)], "episode long, frame_idx long")
+    captions = spark.createDataFrame([(1, 0, 250, 520), (1, 1, 5, 5), (1, 2, 9, 3)], "episode long, clip_idx long, start_frame long, end_frame long")
+    assert episodes.captions_at(frames, captions).count() == 270 and episodes.captions_at(frames, captions, closed=True).count() == 272
+
+
+def test_percentile_is_exact(spark):
+    rows = spark.createDataFrame([(k, float((i * 7919) % 1009) / 3) for k in (1, 2) for i in range(1500 * k)] + [(3, 5.0)], "k long, v double")
+    for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+        found = {r.k: r.percentile_value for r in corpus.percentile(rows, "k", "v", p, 16).collect()}
+        for k in (1, 2):
+            values = sorted(float((i * 7919) % 1009) / 3 for i in range(1500 * k))
+            assert found[k] == values[min(int(len(values) * p), len(values) - 1)]
+        assert found[3] == 5.0
