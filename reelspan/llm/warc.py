@@ -6,12 +6,17 @@ reaches, and failed tasks leave nothing behind. The first page (by page_id) of e
 with an HTTP block; others are `revisit` records with the HTTP headers only. The join that tells them
 apart is on the payload's digest; adaptive execution may split the pages of a hot payload.
 
-Reading. A file has at most `RECORDS` records, so a task can hold it. The task lists every place
-where the magic `WARC/1.0` stands and where a record beginning there would end: candidate pairs of
+Reading. A file has at most `RECORDS` records and, but for a single longer one, `FILE_BYTES` of payload
+(pages of one size class are written together, fewer a file the longer they are), so a task can hold it.
+Gzip files of one member or of one a record are read alike, and so are plain ones. The task lists every place
+where the magic `WARC/1.0` or `WARC/1.1` stands and where a record beginning there would end: candidate pairs of
 record and successor. Pointer jumping from the file's start (each round doubles the jump) keeps the
 reachable ones; magic inside a payload is on no chain from the start and falls away. A chain that
 does not end where the file ends raises an error, as does a payload that misses its digest.
 
+Header names may be in any case. Records that aren't responses or revisits, and ids that this writer
+didn't give, are read as well: page_id is null there and record_id holds the id as it stands.
+
 Defined results: null html is an empty payload. Rows with the page_id of the first page are
 responses too. A null page_id comes after all others; a null url leaves its header out.
 """
@@ -30,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import table, workspace
+from reelspan.llm.common import BATCH_BYTES, table, workspace
 
 #: Records of one archive file at most.
 RECORDS = 2048
-CRLF, MAGIC = "\r\n", b"WARC/1.0\r\n"
+#: Payload bytes of one archive file at most, unless a single record is longer.
+FILE_BYTES = 128 << 20
+CRLF, MAGIC = "\r\n", rb"WARC/1\.[01]\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:reelspan:page:"
 
@@ -71,14 +78,29 @@ def _record(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records: int = RECORDS, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Writes page_id, url and html of `pages` as archive files into the folder `path`."""
+def size_classes(records: int, file_bytes: int) -> list[tuple[int, int]]:
+    """(largest payload, records a file) of each size class: sixteen times fewer records each, down to one."""
+    out = []
+    while records > 1:
+        out.append((file_bytes // records, records))
+        records //= 16
+    return [*out, (1 << 62, 1)]
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records: int = RECORDS, date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Writes page_id, url and html of `pages` as archive files into the folder `path`, a folder of it for each size class."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_payload"))
     rows = rows.withColumn("_bytes", F.octet_length("_payload")).withColumn("_sha1", F.sha1(F.col("_payload").cast("binary")))
     shared = rows.filter(F.col("_bytes") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
     shared = shared.filter("_n > 1 AND _first IS NOT NULL").drop("_n")
-    typed = rows.join(shared, "_sha1", "left").withColumn("_revisits", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
-    typed.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low = -1
+    for high, most in size_classes(records, file_bytes):
+        if low < longest:
+            own = rows.filter((F.col("_bytes") > low) & (F.col("_bytes") <= high))
+            typed = own.join(shared, "_sha1", "left").withColumn("_revisits", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
+            typed.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/to={high}")
+        low = high
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarray:
@@ -100,45 +122,66 @@ def reachable(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarr
 
 
 def _headers(head: bytes) -> dict[str, str]:
-    return {k.decode().lower(): v.decode() for k, _, v in (x.partition(b": ") for x in head.split(b"\r\n")[1:])}
+    pairs = (x.partition(b":") for x in head.split(b"\r\n")[1:])
+    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in pairs}
+
+
+COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, record_id string"
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+    text, whole = pa.string(), pa.int64()
+    schema = pa.schema(list(zip([c.split()[0] for c in COLUMNS.split(", ")], (whole, whole, text, text, whole, text, pa.binary(), text), strict=True)))
 
     def page(urn: str | None) -> int | None:
-        number = (urn or "").removeprefix(f"<{ID}").removesuffix(">")
-        return int(number) if number else None
+        """The number in an id of this writer's; None for any other."""
+        found = re.fullmatch(f"<{ID}(-?\\d+)>", urn or "")
+        return int(found[1]) if found else None
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     for batch in batches:
         for content in batch.column(0):
-            data = gzip.decompress(content.as_py())
+            data = content.as_py()
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             found = []
-            for m in re.finditer(re.escape(MAGIC), data):
+            for m in re.finditer(MAGIC, data):
                 body = data.find(b"\r\n\r\n", m.start()) + 4
-                length = re.search(rb"\r\nContent-Length: (\d+)(?=\r\n)", data[m.start() : body - 2]) if body > 3 else None
+                length = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n)", data[m.start() : body - 2]) if body > 3 else None
                 if length:
                     found.append((m.start(), body, int(length[1])))
             places = np.array([x[0] for x in found], np.int64)
             ends = np.array([b + n + 4 for _, b, n in found], np.int64)
-            rows = []
+            rows, held = [], 0
             for i in np.flatnonzero(reachable(places, ends, len(data))):
                 start, body, length = found[i]
                 head, block = _headers(data[start : body - 4]), data[body : body + length]
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest = head["warc-payload-digest"].removeprefix("sha1:")
-                if head["warc-type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                kind, digest, size, payload = head.get("warc-type"), head.get("warc-payload-digest"), None, block
+                if kind in ("response", "revisit"):
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    stated = _headers(http).get("content-length", "")
+                    size = int(stated) if stated.isdigit() else None
+                size = len(payload) if size is None else size
+                digest = digest.removeprefix("sha1:") if digest else None
+                # only a bare SHA-1 in base32 can be held against the payload; others stay as they are stated
+                if kind == "response" and digest and re.fullmatch("[A-Z2-7]{32}", digest) and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"broken archive: the payload at byte {start} misses its digest")
-                size = int(_headers(http)["content-length"])
-                rows.append((page(head["warc-record-id"]), size, digest, head["warc-type"], page(head.get("warc-refers-to")), head.get("warc-target-uri"), payload))
+                own = head.get("warc-record-id")
+                row = (page(own), size, digest, kind, page(head.get("warc-refers-to")), head.get("warc-target-uri"), payload, own)
+                rows.append(row)
+                held += len(payload)
+                if held > BATCH_BYTES:
+                    yield as_batch(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield as_batch(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    """Every record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, record_id."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return files.mapInArrow(_records, COLUMNS)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The numbered queries against brute force and DuckDB, on the given tables and on awkward rows."""
 
+import gzip
 import hashlib
 import random
 import zlib
@@ -637,3 +638,29 @@ def test_pipeline_stages(spark, sf):
             con.register("given", given)
             same_rows(kept.select("doc_id"), con, sql)
     assert kept.agg(F.sum("length")).first()[0] > 0
+
+
+def test_warc_files_hold_bounded_bytes(spark, tmp_path):
+    path = str(tmp_path / "sized")
+    pages = spark.createDataFrame([(i, "u", "x" * (10 if i < 40 else 5_000 if i < 44 else 90_000) + str(i % 43)) for i in range(46)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, path, records=32, file_bytes=32 * 1024)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "sized").rglob("part-*")]
+    assert max(sizes) < 100_000 and sum(s > 32 * 1024 * 1.5 for s in sizes) == 2  # each of the two long pages alone
+    back = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert sorted(back) == list(range(46)) and back[43].record_type == "response" and back[45].payload_bytes == 90_001
+
+
+def test_warc_reads_foreign_archives(spark, tmp_path):
+    def record(headers, block):
+        return ("WARC/1.1\r\n" + headers + f"content-LENGTH:{len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    html = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"  # a record inside a payload
+    info = record("warc-type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\n", b"software: x\r\n")
+    page = record("WARC-TYPE: response\r\nwarc-record-id: <urn:uuid:2>\r\nWARC-Target-URI: http://a/\r\nWARC-Payload-Digest: sha1:0123abcd\r\n", b"HTTP/1.1 200 OK\r\n\r\n" + html)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))
+    (tmp_path / "b.warc").write_bytes(info + page)
+    rows = warc.read_archives(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 and {r.page_id for r in rows} == {None}
+    for kind, own, payload in (("warcinfo", "<urn:uuid:1>", b"software: x\r\n"), ("response", "<urn:uuid:2>", html)):
+        found = [r for r in rows if r.record_type == kind]
+        assert len(found) == 2 and all((r.record_id, bytes(r.payload), r.payload_bytes) == (own, payload, len(payload)) for r in found)
