@@ -4,7 +4,8 @@ Writing. A payload is a string, so a record is one too, and the four bytes that
 writer's line separator: files (gzipped whole) come from Spark's own writer, on any file system that Spark
 reaches, and failed tasks leave nothing behind. The first page (by page_id) of each payload is a `response`
 with an HTTP block; others are `revisit` records with the HTTP headers only. The join that tells them
-apart is on the payload's digest; adaptive execution may split the pages of a hot payload.
+apart is with the digests that pages share, written first: below the broadcast threshold no payload is
+shuffled; above it adaptive execution may split the pages of a hot payload.
 
 Reading. A file has at most `RECORDS` records and, but for a single longer one, `FILE_BYTES` of payload
 (pages of one size class are written together, fewer a file the longer they are), so a task can hold it.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import BATCH_BYTES, table, workspace
+from reelspan.llm.common import BATCH_BYTES, store, table, workspace
 
 #: Records of one archive file at most.
 RECORDS = 2048
@@ -92,7 +93,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records: int
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_payload"))
     rows = rows.withColumn("_bytes", F.octet_length("_payload")).withColumn("_sha1", F.sha1(F.col("_payload").cast("binary")))
     shared = rows.filter(F.col("_bytes") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    shared = shared.filter("_n > 1 AND _first IS NOT NULL").drop("_n")
+    # a table, so that its size is known: a small one is broadcast, and payloads aren't shuffled
+    spark = pages.sparkSession
+    shared = store(shared.filter("_n > 1 AND _first IS NOT NULL").drop("_n"), workspace(spark, "warc"), "shared")
     longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     low = -1
     for high, most in size_classes(records, file_bytes):
