@@ -39,3 +39,35 @@ def rollouts(tasks: DataFrame, task: str, times: int, stride: int) -> DataFrame:
     """Each task `times` times, with rollout number, seed and id."""
     many = tasks.withColumn("rollout", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     return many.withColumn("seed", F.col(task) + F.col("rollout") * stride).withColumn("rollout_id", F.concat_ws(":", F.col(task).cast("string"), F.format_string("%02d", "rollout")))
+
+
+def fixed_chunks(numbered: DataFrame, ordinal_name: str, size: int) -> DataFrame:
+    """chunk: `size` rows in a row, the last chunk shorter."""
+    return numbered.withColumn("chunk", F.floor(F.col(ordinal_name) / size))
+
+
+def round_robin(numbered: DataFrame, ordinal_name: str, workers: int) -> DataFrame:
+    return numbered.withColumn("worker", F.pmod(F.col(ordinal_name), F.lit(workers)))
+
+
+def full_batches(numbered: DataFrame, ordinal_name: str, total: int, size: int, pad: bool) -> DataFrame:
+    """Whole batches only: the rest is dropped, or (`pad`) filled up with the first rows again, numbered on.
+
+    With fewer rows than are missing, the rows come round several times.
+    """
+    rest = total % size
+    if not rest:
+        return numbered
+    if not pad:
+        return numbered.filter(F.col(ordinal_name) < total - rest)
+    missing, n = size - rest, F.col(ordinal_name)
+    # row n fills the places total + n, 2 total + n, ... below total + missing
+    last = F.floor((F.lit(total + missing - 1) - n) / total)
+    again = numbered.withColumn("_k", F.explode(F.when(last >= 1, F.sequence(F.lit(1).cast("long"), last))))
+    return numbered.unionByName(again.withColumn(ordinal_name, n + F.col("_k") * total).drop("_k"))
+
+
+def outcomes(rows: DataFrame, group: str, status: str, known: list[str]) -> DataFrame:
+    """By group: the count of each known status, and of all others."""
+    counts = [F.count_if(F.col(status) == k).alias(k) for k in known]
+    return rows.groupBy(group).agg(*counts, F.count_if(~F.coalesce(F.col(status).isin(known), F.lit(False))).alias("other"))

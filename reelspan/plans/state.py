@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions import text
-from reelspan.operators import draws, lookup, snapshots
+from reelspan.operators import draws, lookup, sampling, snapshots
 from reelspan.plans.more import SEED, sql_draw
 from reelspan.plans.queries import ANSWERED, WORDS, answered, query, words
 from reelspan.sources.tables import table
@@ -221,3 +221,34 @@ def padded_turns(spark, sf):
   count(*) - count(*) FILTER (n_chars >= 500) AS filtered FROM documents GROUP BY source""")
 def document_funnel(spark, sf):
     return lookup.funnel(table(spark, sf, "documents"), "source", F.col("n_chars") >= 500, F.size(F.split("text", "\n")))
+
+
+NUMBERED = "numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)"
+
+
+def numbered(spark, sf) -> DataFrame:
+    return sampling.ordinal(table(spark, sf, "orders").select("o_orderkey"), F.shiftright("o_orderkey", 12), [F.col("o_orderkey")], "place")
+
+
+@query(f"WITH {NUMBERED} SELECT o_orderkey, place, place // 64 AS chunk, place % 7 AS worker FROM numbered")
+def chunk_forms(spark, sf):
+    return sampling.round_robin(sampling.fixed_chunks(numbered(spark, sf), "place", 64), "place", 7).select("o_orderkey", "place", "chunk", F.col("worker").cast("long").alias("worker"))
+
+
+@query(f"""WITH {NUMBERED}, t AS (SELECT count(*) AS n FROM orders)
+SELECT o_orderkey, place FROM numbered UNION ALL SELECT o_orderkey, place + n FROM numbered, t WHERE n % 256 > 0 AND place < 256 - n % 256""")
+def padded_epoch(spark, sf):
+    total = table(spark, sf, "orders").count()
+    return sampling.full_batches(numbered(spark, sf), "place", total, 256, pad=True).select("o_orderkey", "place")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS other FROM events GROUP BY user_id")
+def outcome_summary(spark, sf):
+    return sampling.outcomes(table(spark, sf, "events"), "user_id", "event_type", ["purchase", "error"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id::VARCHAR NOT IN (SELECT event_id::VARCHAR FROM events WHERE event_type = 'error')")
+def stream_unprocessed(spark, sf):
+    done = table(spark, sf, "events").filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"))
+    stream = jobs.unprocessed(jobs.replay(spark, f"{sf}/events.parquet", files=8), done, F.col("event_id").cast("string"))
+    return jobs.drained(stream.select("event_id", "user_id"))

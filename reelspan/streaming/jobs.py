@@ -68,6 +68,12 @@ def once(stream: DataFrame, key: str, late: str = "40 days") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def unprocessed(stream: DataFrame, done: DataFrame, key: Column) -> DataFrame:
+    """Rows of a stream (or a table) whose key isn't in the column `id` of `done`, as it is when a batch starts."""
+    held = done.select(F.col("id").alias("_id")).distinct()
+    return stream.withColumn("_id", key).join(held, "_id", "left_anti").drop("_id")
+
+
 def waits(produced: DataFrame, consumed: DataFrame, key: str, bound: str) -> DataFrame:
     """Pairs of produced and consumed rows of a key, the second within `bound` after the first."""
     p, c = produced.withWatermark("ts", bound).alias("p"), consumed.withWatermark("ts", bound).alias("c")

@@ -369,3 +369,18 @@ def test_percentile_is_exact(spark):
             values = sorted(float((i * 7919) % 1009) / 3 for i in range(1500 * k))
             assert found[k] == values[min(int(len(values) * p), len(values) - 1)]
         assert found[3] == 5.0
+
+
+@pytest.mark.parametrize("total, size", [(10, 4), (8, 4), (3, 8), (1, 4)])
+def test_full_batches(spark, total, size):
+    rows = spark.range(total).withColumnRenamed("id", "place").withColumn("item", F.col("place"))
+    padded = sorted((r.place, r.item) for r in sampling.full_batches(rows, "place", total, size, True).collect())
+    width = -(-total // size) * size
+    assert padded == [(i, i % total) for i in range(width)]
+    assert sampling.full_batches(rows, "place", total, size, False).count() == total // size * size
+
+
+def test_outcomes_count_unknown_and_null(spark):
+    rows = spark.createDataFrame([("a", "pass"), ("a", None), ("a", "odd"), ("b", "fail")], "root string, status string")
+    found = {r.root: (r["pass"], r.fail, r.other) for r in sampling.outcomes(rows, "root", "status", ["pass", "fail"]).collect()}
+    assert found == {"a": (1, 0, 2), "b": (0, 1, 0)}
