@@ -2,12 +2,15 @@
 
 Where no piece of the model holds a whitespace marker after another character, no merge can cross
 from a word into the marker that follows it, so a text's ids are those of its marked words (a run of
-markers and what follows up to the next marker), one after the other. Texts are read once, in blocks of about
-`BLOCK` characters: a block lists its distinct marked words once and codes its documents by their
-places in that list. The lists' words make the distinct-word table, each word of which the library
-segments once; the segments go back to the blocks by (block, place), and documents become ids by
-position. A word is a row a block that holds it, so a word in every text is no hot key, and the table
-is joined, never broadcast. Blocks are a table of the workspace: the text isn't read again.
+markers and what follows up to the next marker), one after the other. Texts are read once, in blocks
+of about `BLOCK` characters: a block numbers its distinct marked words, the commonest first, and codes
+its documents by these places. Its words go to parts by their hash, one row a block and part; a part
+meets its words from all blocks, segments each distinct one once with the library, and returns the ids of each
+block's words. With them the blocks' codes become ids by position.
+
+Words, codes and ids travel packed (zstandard), since a row a word would take several times the disk
+of the texts. A word is there once a block that holds it, so a word in every text is no hot key, and
+nothing is broadcast. Parts are as many as hold at most `PART` characters each, were no word repeated.
 
 Defined results: a row of the input is a row of the result, repeated and null ids included; a null or
 empty text has the begin and end ids alone. A model with a piece across a marker, or without the
@@ -16,26 +19,32 @@ marker before a text, gets whole texts as its words, with the same results.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import short_lived_shuffles, store, table, workspace
+from reelspan.llm.common import store, table, workspace
 
 MARK = "▁"
-#: Characters of a block; a longer document is a block of its own. Words taken from a text at once.
-BLOCK, WORDS = 4 << 20, 1 << 17
+#: Characters of a block (a longer document is a block of its own) and of a part; words taken from a text at once.
+BLOCK, PART, WORDS = 16 << 20, 4 << 20, 1 << 17
+#: A block's own row among those of its parts.
+CODES = -1
+ROWS = "block long, part long, packed binary"
+_SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("packed", pa.binary())])
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
-BLOCKS = "block long, words array<string>, ids array<long>, sizes array<long>, codes binary"
 
 
 @cache
@@ -65,7 +74,7 @@ class Numbered(dict):
 
 
 def code(text: str, book: Numbered, apart: bool) -> array:
-    """The places in `book` of a text's marked words."""
+    """The numbers in `book` of a text's marked words."""
     out = array("I")
     if not apart:
         out.append(book[text])
@@ -86,23 +95,49 @@ def segment(words: list[str], model: str) -> list[list[int]]:
     return [[mark] if w == MARK else ids for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1), strict=True)]
 
 
-def _blocks(model: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary())])
-        apart, base, count = words_apart(model), TaskContext.get().partitionId() << 33, 0
-        book, ids, sizes, codes, held = Numbered(), [], [], array("I"), 0
+def planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as all lowest bytes, then all second ones and so on: small numbers leave whole planes empty."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack(*things) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(things, protocol=5))
+
+
+def unpack(packed: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
+
 
-        def row() -> pa.RecordBatch:
-            width = np.uint16 if len(book) <= 1 << 16 else np.uint32
-            packed = np.frombuffer(codes, np.uint32).astype(width).tobytes() if codes else b""
-            return pa.RecordBatch.from_pydict({"block": [base + count], "words": [list(book)], "ids": [ids], "sizes": [sizes], "codes": [packed]}, schema=schema)
+def _block_rows(block: int, book: Numbered, codes: array, ids: list, sizes: list[int], parts: int) -> pa.RecordBatch:
+    """The codes of a block's documents and, by part, its words with their places."""
+    numbers = np.frombuffer(codes, np.uint32) if codes else np.empty(0, np.uint32)
+    order = np.argsort(-np.bincount(numbers, minlength=len(book)), kind="stable")
+    place = np.empty(len(book), np.uint32)
+    place[order] = np.arange(len(book))
+    rows = [(block, CODES, pack(ids, sizes, planes(place[numbers])))]
+    words = np.array(list(book), dtype=object)[order]
+    part = np.array([crc32(w.encode()) % parts for w in words], np.int64)
+    by_part = np.argsort(part, kind="stable")
+    for own in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
+        if len(own):
+            rows.append((block, int(part[own[0]]), pack(planes(own), words[own].tolist())))
+    return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
 
+
+def _blocks(model: str, size: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, block = words_apart(model), TaskContext.get().partitionId() << 33
+        book, ids, sizes, codes, held = Numbered(), [], [], array("I"), 0
         for batch in batches:
             for own, text in zip(batch["doc_id"], batch["text"], strict=True):
                 text = text.as_py() or ""
                 if ids and held + len(text) > size:
-                    yield row()
-                    count += 1
+                    yield _block_rows(block, book, codes, ids, sizes, parts)
+                    block += 1
                     book, ids, sizes, codes, held = Numbered(), [], [], array("I"), 0
                 coded = code(text, book, apart)
                 ids.append(own.as_py())
@@ -110,62 +145,69 @@ def _blocks(model: str, size: int):
                 codes.extend(coded)
                 held += len(text)
         if ids:
-            yield row()
+            yield _block_rows(block, book, codes, ids, sizes, parts)
 
     return run
 
 
 def _segments(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = segment(batch["word"].to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(found, pa.list_(pa.int32()))], names=["word", "pieces"])
+    """For the words of a part in each block their places, numbers of ids and ids; each distinct word is segmented once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        known, lists = Numbered(), []
+        for packed in rows["packed"]:
+            places, words = unpack(packed.as_py())
+            lists.append((places, np.array([known[w] for w in words], np.int64)))
+        found = segment(list(known), model)
+        n = np.array([len(x) for x in found], np.int64)
+        flat, starts = np.fromiter((i for x in found for i in x), np.uint32, n.sum()), np.cumsum(n) - n
+        out = [pack(places, planes(n[own]), planes(flat[spread(starts[own], n[own])])) for places, own in lists]
+        return pa.table([rows["block"], rows["part"], pa.array(out, pa.binary())], schema=_SCHEMA)
 
     return run
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each range."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 def _by_position(begin: list[int], end: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                pieces, packed = batch["pieces"][at].values, batch["codes"][at].as_py()
-                flat = starts = lengths = np.empty(0, np.int64)
-                if pieces is not None and len(pieces):
-                    offsets = pieces.offsets.to_numpy().astype(np.int64)
-                    starts, lengths = offsets[:-1], np.diff(offsets)
-                    flat = pieces.values.to_numpy()
-                codes = np.frombuffer(packed, np.uint16 if len(starts) <= 1 << 16 else np.uint32)
-                first = 0
-                ids, out = batch["ids"][at].as_py(), []
-                for size in batch["sizes"][at].as_py():
-                    own = codes[first : first + size]
-                    first += size
-                    n = lengths[own]
-                    place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    out.append(np.concatenate([begin, flat[place], end]).astype(np.int32))
-                for some in range(0, len(ids), 500):
-                    part = out[some : some + 500]
-                    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32), np.concatenate(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some : some + 500], pa.int64()), lists], names=["doc_id", "piece_ids"])
+    def run(rows: pa.Table) -> pa.Table:
+        ids, sizes, codes, places, lengths, pieces = [], [], np.empty(0, np.uint32), [], [], []
+        for part, packed in zip(rows["part"].to_pylist(), rows["packed"], strict=True):
+            if part == CODES:
+                ids, sizes, codes = unpack(packed.as_py())
+                codes = from_planes(codes)
+            else:
+                for held, one in zip((places, lengths, pieces), unpack(packed.as_py()), strict=True):
+                    held.append(from_planes(one))
+        flat = np.concatenate(pieces).astype(np.int32) if pieces else np.empty(0, np.int32)
+        n, starts = (np.zeros(sum(map(len, places)), np.int64) for _ in range(2))
+        if places:
+            at, own = np.concatenate(places), np.concatenate(lengths).astype(np.int64)
+            n[at], starts[at] = own, np.cumsum(own) - own
+        out, first = [], 0
+        for size in sizes:
+            words = codes[first : first + size]
+            first += size
+            out.append(np.concatenate([begin, flat[spread(starts[words], n[words])], end]).astype(np.int32))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        values = np.concatenate(out) if out else np.empty(0, np.int32)
+        return pa.table([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "piece_ids"])
 
     return run
 
 
-def encode(docs: DataFrame, folder: str, model: str, begin_end: bool = True, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, folder: str, model: str, begin_end: bool = True, block: int = BLOCK, part: int = PART) -> DataFrame:
     """doc_id and piece_ids, the ids of the whole text, for each row of `docs`."""
-    spark = docs.sparkSession
-    path = f"{folder}/blocks"
-    with short_lived_shuffles(spark):
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(model, block), BLOCKS).write.option("compression", "zstd").parquet(path)
-    blocks, again = (spark.read.schema(BLOCKS).parquet(path) for _ in range(2))
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = store(words.select("word").distinct().mapInArrow(_segments(model), "word string, pieces array<int>"), folder, "segments")
-    placed = words.join(known, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("_p"))
-    lists = placed.select("block", F.col("_p.pieces").alias("pieces"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = store(docs.mapInArrow(_blocks(model, block, -(-total // part) or 1), ROWS), folder, "blocks")
+    ids = blocks.filter(F.col("part") != CODES).groupBy("part").applyInArrow(_segments(model), ROWS)
     sp = processor(model)
     ends = ([sp.bos_id()], [sp.eos_id()]) if begin_end else ([], [])
-    joined = again.select("block", "ids", "sizes", "codes").join(lists, "block", "left").select("pieces", "codes", "ids", "sizes")
-    return joined.mapInArrow(_by_position(*ends), "doc_id long, piece_ids array<int>")
+    return blocks.filter(F.col("part") == CODES).unionByName(ids).groupBy("block").applyInArrow(_by_position(*ends), "doc_id long, piece_ids array<int>")
 
 
 def decode(piece_ids: Column, model: str) -> Column:

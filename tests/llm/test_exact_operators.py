@@ -135,8 +135,8 @@ def test_pieces_equal_the_library(spark, sf):
     texts = TEXTS + ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(800)]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, "again", 1), (None, "no id", 1)]
     own = spark.createDataFrame(rows, "doc_id long, text string, words int")
-    for docs, block in ((own, 1 << 20), (own, 500), (spark.read.parquet(f"{sf}/documents.parquet"), 1 << 16)):
-        out = pieces.encode(docs, workspace(spark, "t"), model, block=block)
+    for docs, block in ((own, 1 << 20), (own, 500), (spark.read.parquet(f"{sf}/documents.parquet"), 1 << 16), (own.repartition(7), 9)):
+        out = pieces.encode(docs, workspace(spark, "t"), model, block=block, part=block)
         found = out.select("doc_id", "piece_ids", pieces.decode(F.col("piece_ids"), model).alias("text")).collect()
         expected = [(r.doc_id, ids := sp.encode(r.text or "", add_bos=True, add_eos=True), sp.decode(ids)) for r in docs.select("doc_id", "text").collect()]
         assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
