@@ -2,25 +2,30 @@
 
 Where no piece of the model holds a whitespace marker after another character, no merge can cross
 from a word into the marker that follows it, so a text's ids are those of its marked words (a run of
-markers and what follows up to the next marker), one after the other. Texts are read once, in blocks
-of about `BLOCK` characters: a block numbers its distinct marked words, the commonest first, and codes
-its documents by these places. Its words go to parts by their hash, one row a block and part; a part
-meets its words from all blocks, segments each distinct one once with the library, and returns the ids of each
-block's words. With them the blocks' codes become ids by position.
+markers and what follows up to the next marker), one after the other. In the same way a word is cut
+where no piece can cross: between characters of different groups, a group being what the model's pieces
+link by neighbourhood (letters of a script, punctuation).
+
+Texts are read once, in blocks of about `BLOCK` characters: a block numbers its distinct words, the
+commonest first, and codes its documents by these places. Its words go to parts by their hash, one row
+a block and part; a part meets its words from all blocks, segments each distinct one once with the library, and
+returns the ids of each block's words. With them the blocks' codes become ids by position. Codes stay
+where they are: their table is bucketed by block, so only words and ids are shuffled.
 
 Words, codes and ids travel packed (zstandard), since a row a word would take several times the disk
 of the texts. A word is there once a block that holds it, so a word in every text is no hot key, and
 nothing is broadcast. Parts are as many as hold at most `PART` characters each, were no word repeated.
 
 Defined results: a row of the input is a row of the result, repeated and null ids included; a null or
-empty text has the begin and end ids alone. A model with a piece across a marker, or without the
-marker before a text, gets whole texts as its words, with the same results.
+empty text has the begin and end ids alone. A model with a piece across a marker, without the marker
+before a text or without pieces for bytes gets whole texts as its words, with the same results.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -35,16 +40,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import store, table, workspace
+from reelspan.llm.common import short_lived_shuffles, table, workspace
 
 MARK = "▁"
 #: Characters of a block (a longer document is a block of its own) and of a part; words taken from a text at once.
-BLOCK, PART, WORDS = 16 << 20, 4 << 20, 1 << 17
+BLOCK, PART, WORDS = 8 << 20, 4 << 20, 1 << 17
+#: Buckets of the blocks' table at most.
+BUCKETS = 50_000
 #: A block's own row among those of its parts.
 CODES = -1
 ROWS = "block long, part long, packed binary"
 _SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("packed", pa.binary())])
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 @cache
@@ -55,14 +61,64 @@ def processor(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+def groups(pieces: list[str]) -> list[str]:
+    """Characters that pieces link by neighbourhood, markers aside, as groups of more than one or of one that stands beside itself."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while above.setdefault(c, c) != c:
+            c = above[c]
+        return c
+
+    for piece in pieces:
+        for a, b in zip(piece, piece[1:], strict=False):
+            above[top(a)] = top(b)
+    found: dict[str, list[str]] = {}
+    for c in sorted(above):
+        found.setdefault(top(c), []).append(c)
+    return ["".join(g) for g in found.values()]
+
+
+class Words:
+    """How a model's texts fall into words that can be segmented alone; `apart` is False where they don't."""
+
+    #: A character before words without a marker, which no piece may hold.
+    GUARD = "\n"
+
+    def __init__(self, sp):
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
+        probe = "a  b c "  # markers are put before the text, kept in runs and at its end
+        marked = "".join(sp.id_to_piece(i) for i in sp.encode(probe)) == MARK + probe.replace(" ", MARK)
+        inside = [p.lstrip(MARK) for p in pieces]
+        bytes_ = any(sp.is_byte(i) for i in range(sp.get_piece_size()))
+        self.apart = marked and bytes_ and not any(MARK in p or self.GUARD in p for p in inside)
+        held = "|".join(f"[{re.escape(g)}]+" for g in sorted(groups(inside), key=len, reverse=True))
+        self.find = re.compile(f"{MARK}*(?:{held + '|' if held else ''}[^{MARK}])|{MARK}+").finditer
+        self.sp, self.mark, self.guard = sp, sp.piece_to_id(MARK), len(sp.encode(self.GUARD))
+
+    def segment(self, words: list[str]) -> list[list[int]]:
+        """The ids of words, or of whole texts where the model needs them."""
+        if not self.apart:
+            return self.sp.encode(words, num_threads=1)
+        # the library puts the first marker itself, but not before an empty text
+        found = self.sp.encode([w[1:] if w[0] == MARK else self.GUARD + w for w in words], num_threads=1)
+        return [[self.mark] if w == MARK else ids if w[0] == MARK else ids[self.guard :] for w, ids in zip(words, found, strict=True)]
+
+    def code(self, text: str, book: Numbered) -> array:
+        """The numbers in `book` of a text's words."""
+        out = array("I")
+        if not self.apart:
+            out.append(book[text])
+        elif text:
+            words = self.find(MARK + text.replace(" ", MARK))
+            while part := [m[0] for m in islice(words, WORDS)]:
+                out.extend(map(book.__getitem__, part))
+        return out
+
+
 @cache
-def words_apart(model: str) -> bool:
-    """Whether marked words can be segmented alone."""
-    sp = processor(model)
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
-    probe = "a  b c "  # markers are put before the text, kept in runs and at its end
-    marked = "".join(sp.id_to_piece(i) for i in sp.encode(probe))
-    return all(MARK not in p.lstrip(MARK) for p in pieces) and marked == MARK + probe.replace(" ", MARK)
+def words_of(model: str) -> Words:
+    return Words(processor(model))
 
 
 class Numbered(dict):
@@ -73,28 +129,6 @@ class Numbered(dict):
         return number
 
 
-def code(text: str, book: Numbered, apart: bool) -> array:
-    """The numbers in `book` of a text's marked words."""
-    out = array("I")
-    if not apart:
-        out.append(book[text])
-    elif text:
-        words = _WORD.finditer(MARK + text.replace(" ", MARK))
-        while part := [m[0] for m in islice(words, WORDS)]:
-            out.extend(map(book.__getitem__, part))
-    return out
-
-
-def segment(words: list[str], model: str) -> list[list[int]]:
-    """The ids of marked words, or of whole texts where the model needs them."""
-    sp = processor(model)
-    if not words_apart(model):
-        return sp.encode(words, num_threads=1)
-    mark = sp.piece_to_id(MARK)
-    # the library puts the first marker itself, but not before an empty text
-    return [[mark] if w == MARK else ids for w, ids in zip(words, sp.encode([w[1:] for w in words], num_threads=1), strict=True)]
-
-
 def planes(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as all lowest bytes, then all second ones and so on: small numbers leave whole planes empty."""
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -105,7 +139,16 @@ def from_planes(packed: bytes) -> np.ndarray:
 
 
 def pack(*things) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(things, protocol=5))
+    return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(things, protocol=5))
+
+
+def joined(words: list[str]) -> bytes:
+    """Words between bytes that UTF-8 doesn't hold."""
+    return b"\xff".join(w.encode() for w in words)
+
+
+def split(words: bytes) -> list[str]:
+    return [w.decode() for w in words.split(b"\xff")]
 
 
 def unpack(packed: bytes) -> tuple:
@@ -124,13 +167,13 @@ def _block_rows(block: int, book: Numbered, codes: array, ids: list, sizes: list
     by_part = np.argsort(part, kind="stable")
     for own in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
         if len(own):
-            rows.append((block, int(part[own[0]]), pack(planes(own), words[own].tolist())))
+            rows.append((block, int(part[own[0]]), pack(planes(np.diff(own, prepend=0)), joined(words[own].tolist()))))
     return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
 
 
 def _blocks(model: str, size: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart, block = words_apart(model), TaskContext.get().partitionId() << 33
+        words, block = words_of(model), TaskContext.get().partitionId() << 33
         book, ids, sizes, codes, held = Numbered(), [], [], array("I"), 0
         for batch in batches:
             for own, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -139,7 +182,7 @@ def _blocks(model: str, size: int, parts: int):
                     yield _block_rows(block, book, codes, ids, sizes, parts)
                     block += 1
                     book, ids, sizes, codes, held = Numbered(), [], [], array("I"), 0
-                coded = code(text, book, apart)
+                coded = words.code(text, book)
                 ids.append(own.as_py())
                 sizes.append(len(coded))
                 codes.extend(coded)
@@ -157,8 +200,8 @@ def _segments(model: str):
         known, lists = Numbered(), []
         for packed in rows["packed"]:
             places, words = unpack(packed.as_py())
-            lists.append((places, np.array([known[w] for w in words], np.int64)))
-        found = segment(list(known), model)
+            lists.append((places, np.array([known[w] for w in split(words)], np.int64)))
+        found = words_of(model).segment(list(known))
         n = np.array([len(x) for x in found], np.int64)
         flat, starts = np.fromiter((i for x in found for i in x), np.uint32, n.sum()), np.cumsum(n) - n
         out = [pack(places, planes(n[own]), planes(flat[spread(starts[own], n[own])])) for places, own in lists]
@@ -173,19 +216,17 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _by_position(begin: list[int], end: list[int]):
-    def run(rows: pa.Table) -> pa.Table:
-        ids, sizes, codes, places, lengths, pieces = [], [], np.empty(0, np.uint32), [], [], []
-        for part, packed in zip(rows["part"].to_pylist(), rows["packed"], strict=True):
-            if part == CODES:
-                ids, sizes, codes = unpack(packed.as_py())
-                codes = from_planes(codes)
-            else:
-                for held, one in zip((places, lengths, pieces), unpack(packed.as_py()), strict=True):
-                    held.append(from_planes(one))
+    def run(block: pa.Table, words: pa.Table) -> pa.Table:
+        ids, sizes, codes = unpack(block["packed"][0].as_py())
+        codes = from_planes(codes)
+        places, lengths, pieces = [], [], []
+        for packed in words["packed"]:
+            for held, one in zip((places, lengths, pieces), unpack(packed.as_py()), strict=True):
+                held.append(from_planes(one))
         flat = np.concatenate(pieces).astype(np.int32) if pieces else np.empty(0, np.int32)
         n, starts = (np.zeros(sum(map(len, places)), np.int64) for _ in range(2))
         if places:
-            at, own = np.concatenate(places), np.concatenate(lengths).astype(np.int64)
+            at, own = np.concatenate([np.cumsum(x) for x in places]), np.concatenate(lengths).astype(np.int64)
             n[at], starts[at] = own, np.cumsum(own) - own
         out, first = [], 0
         for size in sizes:
@@ -201,13 +242,21 @@ def _by_position(begin: list[int], end: list[int]):
 
 def encode(docs: DataFrame, folder: str, model: str, begin_end: bool = True, block: int = BLOCK, part: int = PART) -> DataFrame:
     """doc_id and piece_ids, the ids of the whole text, for each row of `docs`."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = store(docs.mapInArrow(_blocks(model, block, -(-total // part) or 1), ROWS), folder, "blocks")
-    ids = blocks.filter(F.col("part") != CODES).groupBy("part").applyInArrow(_segments(model), ROWS)
+    # only the session's catalog knows of buckets, so the blocks are an external table there until it is read
+    name = f"piece_blocks_{uuid.uuid4().hex}"
+    rows = docs.mapInArrow(_blocks(model, block, -(-total // part) or 1), ROWS)
+    with short_lived_shuffles(spark):
+        rows.write.bucketBy(min(-(-total // block) or 1, BUCKETS), "block").option("path", f"{folder}/{name}").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    codes, words = blocks.filter(F.col("part") == CODES), blocks.filter(F.col("part") != CODES)
+    ids = words.groupBy("part").applyInArrow(_segments(model), ROWS)
     sp = processor(model)
     ends = ([sp.bos_id()], [sp.eos_id()]) if begin_end else ([], [])
-    return blocks.filter(F.col("part") == CODES).unionByName(ids).groupBy("block").applyInArrow(_by_position(*ends), "doc_id long, piece_ids array<int>")
+    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_by_position(*ends), "doc_id long, piece_ids array<int>")
 
 
 def decode(piece_ids: Column, model: str) -> Column:

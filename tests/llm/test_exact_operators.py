@@ -129,13 +129,13 @@ TEXTS = [None, "", " ", "  ", "a", " a", "a ", "a  b   c ", "▁", "a▁b ▁▁
 def test_pieces_equal_the_library(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    assert pieces.words_apart(model)
+    assert pieces.words_of(model).apart
     rng = np.random.default_rng(4)
     letters = list("ab cd▁\n\té中 .,  ") + ["the", "  ", " ▁", "ing", "𝄞"]
     texts = TEXTS + ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(800)]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, "again", 1), (None, "no id", 1)]
     own = spark.createDataFrame(rows, "doc_id long, text string, words int")
-    for docs, block in ((own, 1 << 20), (own, 500), (spark.read.parquet(f"{sf}/documents.parquet"), 1 << 16), (own.repartition(7), 9)):
+    for docs, block in ((own, 1 << 20), (own.repartition(7), 20_000), (spark.read.parquet(f"{sf}/documents.parquet"), 1 << 16)):
         out = pieces.encode(docs, workspace(spark, "t"), model, block=block, part=block)
         found = out.select("doc_id", "piece_ids", pieces.decode(F.col("piece_ids"), model).alias("text")).collect()
         expected = [(r.doc_id, ids := sp.encode(r.text or "", add_bos=True, add_eos=True), sp.decode(ids)) for r in docs.select("doc_id", "text").collect()]
@@ -143,12 +143,18 @@ def test_pieces_equal_the_library(spark, sf):
     assert pieces.encode(own.limit(0), workspace(spark, "t"), model).count() == 0
 
 
-def test_pieces_across_markers_take_whole_texts(spark, monkeypatch):
+def test_pieces_across_markers_take_whole_texts(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
-    monkeypatch.setattr(pieces, "words_apart", lambda _: False)
-    book = pieces.Numbered()
-    assert list(pieces.code("a b", book, False)) == [0] and pieces.segment(list(book), model) == [sp.encode("a b")]
+    words, book = pieces.Words(pieces.processor(model)), pieces.Numbered()
+    words.apart = False
+    assert list(words.code("a b", book)) == [0] and words.segment(list(book)) == [words.sp.encode("a b")]
+
+
+def test_words_are_cut_between_groups_only():
+    assert sorted(map(sorted, pieces.groups(["abc", "xy", "zz", "q", "bd"]))) == [["a", "b", "c", "d"], ["x", "y"], ["z"]]
+    words, book = pieces.words_of(public_tokenizers.path("piece_bpe_32k.model")), pieces.Numbered()
+    words.code("one  two,three.\nx ", book)
+    assert list(book) == ["▁one", "▁▁two", ",", "three", ".", "\n", "x", "▁"]
 
 
 def test_queries_give_the_contract(spark, sf):
