@@ -116,27 +116,31 @@ def joint_angles(shares: Column) -> Column:
     return F.array(*[F.lit(high) - F.get(shares, i) * (high - low) for i, (low, high) in enumerate(reversed(LIMITS))])
 
 
-def composed(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+def pose(r: Column, t: Column) -> Column:
+    return F.struct(r.alias("r"), t.alias("t"))
+
+
+def composed(a: Column, b: Column) -> Column:
     """Pose b, given in a, in the frame that a is in."""
-    return g.product(a[0], b[0]), g.plus(g.rotate(a[0], b[1]), a[1])
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return g.let(both, lambda p: pose(g.product(p["a"]["r"], p["b"]["r"]), g.plus(g.rotate(p["a"]["r"], p["b"]["t"]), p["a"]["t"])))
 
 
-def inverted(pose: tuple[Column, Column]) -> tuple[Column, Column]:
-    back = g.transposed(pose[0])
-    return back, F.transform(g.rotate(back, pose[1]), lambda x: -x)
+def inverted(own: Column) -> Column:
+    return g.let(own, lambda p: pose(g.transposed(p["r"]), F.transform(g.rotate(g.transposed(p["r"]), p["t"]), lambda x: -x)))
 
 
-def camera_pose(yaw: Column | float = 0.0, roll: Column | float = 0.0, pitch: Column | float = 0.0) -> tuple[Column, Column]:
-    """The camera's pose in the robot's base, by the angles of its waist."""
+def camera_pose(yaw: Column | float = 0.0, roll: Column | float = 0.0, pitch: Column | float = 0.0) -> Column:
+    """The camera's pose (r, t) in the robot's base, by the angles of its waist."""
     none = F.array(*[F.lit(0.0)] * 3)
 
     def about(axis: int, angle: Column | float) -> Column:
         angle = F.lit(angle) if isinstance(angle, float) else angle
         return g.from_euler(F.array(*[angle if i == axis else F.lit(0.0) for i in range(3)]))
 
-    at = (about(2, yaw), none)
-    for step in ((about(0, roll), F.array(*map(F.lit, TORSO))), (about(1, pitch), none), (about(1, PITCH), F.array(*map(F.lit, CAMERA))), (F.array(*map(F.lit, OPTICAL)), none)):
-        at = composed(at, step)
+    at = pose(about(2, yaw), none)
+    for r, t in ((about(0, roll), F.array(*map(F.lit, TORSO))), (about(1, pitch), none), (about(1, PITCH), F.array(*map(F.lit, CAMERA))), (F.array(*map(F.lit, OPTICAL)), none)):
+        at = composed(at, pose(r, t))
     return at
 
 
@@ -153,36 +157,45 @@ def turned_wrist(r: Column) -> Column:
     return F.array(*[g.cell(r, i, j) * (1 if j == 2 else -1) for i in range(3) for j in range(3)])
 
 
-def _camera() -> tuple[Column, Column]:
+def _camera() -> Column:
     r, t = fixed_camera()
-    return F.array(*map(F.lit, r)), F.array(*map(F.lit, t))
+    return pose(F.array(*map(F.lit, r)), F.array(*map(F.lit, t)))
+
+
+def hand_pose(state: Column, first: int) -> Column:
+    """The pose of a hand whose numbers begin at `first`."""
+    return pose(g.from_euler(F.slice(state, first + 4, 3)), F.slice(state, first + 1, 3))
 
 
 def camera_state(state: Column, mask: Column) -> Column:
     """A robot's state of the base frame in the camera's frame, fingers as angles; hands that are masked out are zeros."""
-    hands = []
-    for n, first in enumerate((0, ROBOT_HAND)):
-        pose = g.from_euler(F.slice(state, first + 4, 3)), F.slice(state, first + 1, 3)
-        r, t = composed(inverted(_camera()), pose)
-        numbers = F.concat(t, g.to_euler(turned_wrist(r)), joint_angles(F.slice(state, first + 7, 6)))
-        hands.append(F.when(F.get(mask, F.lit(n)), numbers).otherwise(F.array_repeat(F.lit(0.0), ROBOT_HAND)))
-    return F.concat(*hands)
+
+    def hand(n: int, first: int) -> Column:
+        seen = composed(inverted(_camera()), hand_pose(state, first))
+        wrist = g.let(seen, lambda p: F.concat(p["t"], g.to_euler(turned_wrist(p["r"]))))
+        numbers = F.concat(wrist, joint_angles(F.slice(state, first + 7, 6)))
+        return F.when(F.get(mask, F.lit(n)), numbers).otherwise(F.array_repeat(F.lit(0.0), ROBOT_HAND))
+
+    return F.concat(*[hand(n, first) for n, first in enumerate((0, ROBOT_HAND))])
 
 
 def robot_action(state: Column, mask: Column) -> Column:
     """44 numbers from a state in the camera's frame: for each hand its pose in the base as sixteen numbers and its six joints."""
-    hands = []
-    for n, first in enumerate((0, ROBOT_HAND)):
-        pose = turned_wrist(g.from_euler(F.slice(state, first + 4, 3))), F.slice(state, first + 1, 3)
-        numbers = F.concat(g.homogeneous(*composed(_camera(), pose)), F.slice(state, first + 7, 6))
-        hands.append(F.when(F.get(mask, F.lit(n)), numbers).otherwise(F.array_repeat(F.lit(0.0), 22)))
-    return F.concat(*hands)
+
+    def hand(n: int, first: int) -> Column:
+        own = g.let(hand_pose(state, first), lambda p: pose(turned_wrist(p["r"]), p["t"]))
+        numbers = F.concat(g.let(composed(_camera(), own), lambda p: g.homogeneous(p["r"], p["t"])), F.slice(state, first + 7, 6))
+        return F.when(F.get(mask, F.lit(n)), numbers).otherwise(F.array_repeat(F.lit(0.0), 22))
+
+    return F.concat(*[hand(n, first) for n, first in enumerate((0, ROBOT_HAND))])
 
 
 def relative_action(now: Column, then: Column) -> Column:
     """The move between two robot states: places and turns by difference, joints as they will be."""
-    hands = []
-    for first in (0, ROBOT_HAND):
-        turn = g.product(g.from_euler(F.slice(then, first + 4, 3)), g.transposed(g.from_euler(F.slice(now, first + 4, 3))))
-        hands.append(F.concat(g.minus(F.slice(then, first + 1, 3), F.slice(now, first + 1, 3)), g.to_euler(turn), F.slice(then, first + 7, 6)))
-    return F.concat(*hands)
+
+    def hand(first: int) -> Column:
+        both = F.struct(hand_pose(now, first).alias("a"), hand_pose(then, first).alias("b"))
+        wrist = g.let(both, lambda p: F.concat(g.minus(p["b"]["t"], p["a"]["t"]), g.to_euler(g.product(p["b"]["r"], g.transposed(p["a"]["r"])))))
+        return F.concat(wrist, F.slice(then, first + 7, 6))
+
+    return F.concat(hand(0), hand(ROBOT_HAND))

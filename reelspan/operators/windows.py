@@ -26,11 +26,6 @@ WRIST, ACTIONS, STATES = 6, 192, 212
 FINGERS = 45
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def check(mode: str, kind: str) -> None:
     if mode not in ("step", "anchor") or kind not in ("angle", "keypoints"):
         raise ValueError(f"mode is step or anchor, not {mode}; kind is angle or keypoints, not {kind}")
@@ -121,7 +116,7 @@ def moves(window: Column, past: int, mode: str = "step") -> Column:
         steps = F.sequence(F.lit(0), F.size(w) - 2)
         return F.transform(steps, lambda k: F.struct(F.get(w, k if mode == "step" else F.lit(past)).alias("base"), F.get(w, k + 1).alias("after")))
 
-    return F.transform(let(window, pairs), move)
+    return F.transform(g.let(window, pairs), move)
 
 
 def packed_state(slot: Column, shape: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.plans.queries import query
+from reelspan.sources.folders import scratch
 from reelspan.sources.tables import table
-from reelspan.streaming import replays
+from reelspan.streaming import ingest, replays
 
 DAYS = 4
 
@@ -24,7 +27,7 @@ ON p.user_id = c.user_id AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL '6 hours'""
 def stream_outer_waits(spark, sf):
     """Every view with the purchases of its user within six hours, and those without one, as state is let go."""
     rows = replays.in_time(spark, staged(spark, sf))
-    return replays.run(replays.waits(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"), "user_id", "6 HOURS"))
+    return replays.run(replays.waits(*[replays.only(rows, F.col("event_type") == kind) for kind in ("view", "purchase")], "user_id", "6 HOURS"))
 
 
 @query("""SELECT job.event_id AS job_id, result.event_id AS result_id, epoch_us(result.ts) - epoch_us(job.ts) AS wait_micros
@@ -33,8 +36,8 @@ ON result.job_id = job.event_id AND result.ts > job.ts - INTERVAL '2 days' AND r
 def stream_job_results(spark, sf):
     """Enqueued jobs with the result that names them, null for jobs without one."""
     rows = replays.in_time(spark, staged(spark, sf))
-    jobs = rows.filter("event_type = 'signup'").alias("job")
-    results = rows.filter("event_type IN ('click', 'purchase')").select((F.col("event_id") + 7).alias("job_id"), "event_id", "ts").alias("result")
+    jobs = replays.only(rows, F.col("event_type") == "signup").alias("job")
+    results = replays.only(rows, F.col("event_type").isin("click", "purchase")).select((F.col("event_id") + 7).alias("job_id"), "event_id", "ts").alias("result")
     near = F.expr("result.job_id = job.event_id AND result.ts > job.ts - INTERVAL 2 DAYS AND result.ts <= job.ts + INTERVAL 2 DAYS")
     wait = F.unix_micros("result.ts") - F.unix_micros("job.ts")
     return replays.run(jobs.join(results, near, "left_outer").select(F.col("job.event_id").alias("job_id"), F.col("result.event_id").alias("result_id"), wait.alias("wait_micros")))
@@ -55,11 +58,28 @@ def arrived(spark, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 1), 16, 10).cast("long").alias("file"))
 
 
-@query("""WITH a AS (SELECT event_id, epoch_us(ts) AS at, ('0x' || substr(md5(event_id::VARCHAR), 1, 1))::BIGINT AS file FROM events),
-f AS (SELECT file, max(at) // 1000 * 1000 AS latest FROM a GROUP BY file),
+@query("""WITH a AS (SELECT event_id, epoch_us(ts) AS us, ('0x' || substr(md5(event_id::VARCHAR), 1, 1))::BIGINT AS file FROM events),
+f AS (SELECT file, max(us) // 1000 * 1000 AS latest FROM a GROUP BY file),
 w AS (SELECT file, max(latest) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - 20 * 86400000000 AS mark FROM f)
-SELECT event_id FROM a JOIN w USING (file) WHERE mark IS NULL OR at > mark""")
+SELECT event_id FROM a JOIN w USING (file) WHERE mark IS NULL OR us > mark""")
 def stream_late_audit(spark, sf):
     """Events that a watermark of twenty days lets through; late rows are judged by the mark that the batch before started with."""
     folder = replays.staged(arrived(spark, sf), F.col("file"), close=None)
     return replays.in_time_ids(replays.stream(spark, folder), "event_id", "20 DAYS")
+
+
+def items(spark, sf: str, folder: str) -> DataFrame:
+    """Users as items, which an error resets."""
+    rows = replays.only(replays.in_time(spark, folder), F.col("user_id").isNotNull())
+    return rows.select(F.col("user_id").alias("id"), "event_id", "ts", (F.col("event_type") == "error").alias("reset"))
+
+
+@query("""WITH e AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id) AS cut FROM events)
+SELECT user_id AS id, 'new' AS event, event_id, 0::BIGINT AS n FROM e WHERE event_type <> 'error' AND (before IS NULL OR before = 'error')
+UNION ALL SELECT user_id, 'closed', NULL, count(*) FROM e WHERE cut IS NULL OR ts > cut GROUP BY user_id""")
+def stream_ingestion(spark, sf):
+    """Items as they are new, or new again after a reset, and how often each was seen before it was closed."""
+    folder = scratch(spark, f"ingestion-{uuid.uuid4().hex}")
+    ingest.start(ingest.sightings(items(spark, sf, staged(spark, sf)), 60 * 86_400_000), folder).awaitTermination()
+    new = ingest.taken(spark, folder).select("id", F.lit("new").alias("event"), "event_id", F.lit(0).cast("long").alias("n"))
+    return new.unionByName(ingest.closed(spark, folder).select("id", F.lit("closed").alias("event"), F.lit(None).cast("long").alias("event_id"), F.col("sightings").alias("n")))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions import geometry as g
-from reelspan.operators import windows
+from reelspan.operators import upsampling, windows
+from reelspan.operators.episodes import by_frame
 from reelspan.plans.motion import flipped, nine, rounded, times, turned
 from reelspan.plans.queries import FRAMES, frames, query
 from reelspan.sources.tables import table
@@ -158,3 +159,38 @@ def mixed_actions(spark, sf):
     x = F.col("embedding").cast("array<double>")
     mixed = windows.mixed_actions(F.array(F.transform(x, lambda v: -2 * v)), F.array(x))
     return table(spark, sf, "embeddings").select("vec_id", F.round(weighted(mixed[0], 0, 64), 6).alias("total"))
+
+
+SPAN = 5
+SIX = [f"r{i}" for i in range(6)]
+MIXED = [*SIX, "t0", "t1", "t2"]
+
+
+def _upsampled_sql() -> str:
+    def cases(c: str) -> str:
+        even = f"CASE WHEN kept THEN {c} WHEN b_kept THEN CASE WHEN bb_kept THEN 2 * b_{c} - bb_{c} ELSE b_{c} END ELSE gone_{c} END"
+        odd = f"CASE WHEN NOT kept THEN gone_{c} WHEN n_kept THEN ({c} + n_{c}) / 2 WHEN b_kept THEN {c} + 0.5 * ({c} - b_{c}) ELSE {c} END"
+        return f"CASE WHEN half = 0 THEN {even} ELSE {odd} END AS {c}"
+
+    around = ", ".join(f"{f} OVER w AS {p}_{c}" for c in [*MIXED, "kept"] for p, f in (("b", f"lag({c})"), ("bb", f"lag({c}, 2)"), ("n", f"lead({c})")))
+    gone = ", ".join(f"coalesce(first_value(CASE WHEN NOT kept THEN {c} END IGNORE NULLS) OVER v, first_value({c}) OVER v) AS gone_{c}" for c in MIXED)
+    known = [c.replace("b_kept", "coalesce(b_kept, false)").replace("bcoalesce(b_kept, false)", "coalesce(bb_kept, false)") for c in map(cases, MIXED)]
+    unit = "sqrt(r0 * r0 + r1 * r1 + r2 * r2)"
+    return f"""WITH {SLOTS}, l AS (SELECT a.episode, a.frame_idx AS anchor, i AS slot, least({SPAN - 1}, a.hi - a.frame_idx) AS last, h.kept, {", ".join(f"h.{c}" for c in MIXED)}
+  FROM two a JOIN held h ON h.episode = a.episode AND h.hand = 'left', range({SPAN}) r(i) WHERE a.hand = 'left' AND h.frame_idx = a.frame_idx + i),
+m AS (SELECT *, {around}, {gone} FROM l WINDOW w AS (PARTITION BY episode, anchor ORDER BY slot), v AS (PARTITION BY episode, anchor ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+x AS (SELECT episode, anchor, 2 * slot + half AS place, CASE WHEN half = 0 THEN kept OR coalesce(b_kept, false) ELSE kept END AS valid, {", ".join(known)} FROM m, range(2) h(half) WHERE half = 0 OR slot < last),
+y AS (SELECT *, r0 / {unit} AS a0, r1 / {unit} AS a1, r2 / {unit} AS a2 FROM x), z AS (SELECT *, a0 * r3 + a1 * r4 + a2 * r5 AS dot FROM y),
+u AS (SELECT *, r3 - dot * a0 AS c0, r4 - dot * a1 AS c1, r5 - dot * a2 AS c2 FROM z), done AS (SELECT *, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS size FROM u)
+SELECT episode, anchor AS frame_idx, place::INT AS at, valid, {", ".join(rounded(c) + f" AS {c}" for c in ("t0", "t1", "t2"))}, {rounded("a0")} AS r0, {rounded("c1 / size")} AS r4, {rounded("(a0 * c1 - a1 * c0) / size")} AS r8 FROM done"""
+
+
+@query(_upsampled_sql())
+def upsampled_hands(spark, sf):
+    """Left hands of five frames at twice the rate, linear in six numbers of rotation and in place."""
+    rows = two_hands(spark, sf).select("episode", "frame_idx", "left.*")
+    held = F.collect_list(F.struct("kept", "r", "t", "fingers", F.flatten("joints").alias("joints"))).over(by_frame().rowsBetween(0, SPAN - 1))
+    windowed = rows.select("episode", "frame_idx", held.alias("w"))
+    done = windowed.select("episode", "frame_idx", upsampling.upsample(*[F.col(f"w.{c}") for c in ("kept", "r", "t", "fingers", "joints")], 2, "linear").alias("u"))
+    each = done.select("episode", "frame_idx", F.posexplode(F.arrays_zip("u.kept", "u.r", "u.t")).alias("at", "s"))
+    return each.select("episode", "frame_idx", "at", F.col("s.kept").alias("valid"), *[F.round(F.get("s.t", i), 6).alias(f"t{i}") for i in range(3)], *[F.round(F.get("s.r", i), 6).alias(f"r{i}") for i in (0, 4, 8)])

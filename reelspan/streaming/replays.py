@@ -2,8 +2,8 @@
 
 A staged table is a folder of files in the order in which the stream is to meet them: by a batch number.
 The file source goes by modification times, so these are set in that order; where a store doesn't keep
-them, the measured disorder grows and with it the delay, and results stay whole. The last file is a
-row with a far `ts` and nulls else: it moves the watermark past everything, so that all state is closed at the end.
+them, the measured disorder grows and with it the delay, and results stay whole. The last two files are
+rows with a far `ts` and nulls else: they move the watermark past everything, so that all state is closed at the end.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ def staged(events: DataFrame, batch: Column, close: str | None = "100 DAYS") ->
     if close:
         ends = rows.agg(F.max("ts").alias("ts"), F.max("_batch").alias("_batch")).filter("ts IS NOT NULL")
         nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
-        last = ends.select((F.col("ts") + F.expr(f"INTERVAL {close}")).alias("ts"), *nulls, (F.col("_batch") + 1).alias("_batch"))
+        # twice, since the mark that the first one sets holds from the next batch on
+        last = ends.withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2))))
+        last = last.select((F.col("ts") + F.expr(f"INTERVAL {close}")).alias("ts"), *nulls, (F.col("_batch") + F.col("_n")).alias("_batch"))
         last.write.mode("append").partitionBy("_batch").parquet(folder)
     in_order(spark, folder)
     return folder
@@ -82,6 +84,11 @@ def in_time(spark: SparkSession, folder: str) -> DataFrame:
     return stream(spark, folder).withWatermark("ts", f"{disorder(spark, folder) + 1} SECONDS")
 
 
+def only(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that fulfil a condition, after the watermark has seen all of them: a plain filter is moved below it, and closing rows would go unseen."""
+    return rows.filter(F.coalesce(F.when(F.col("ts").isNotNull(), condition), F.lit(False)))
+
+
 def waits(produced: DataFrame, consumed: DataFrame, key: str, bound: str) -> DataFrame:
     """Each produced row with all consumed rows of its key at most `bound` after it; without one it comes out with nulls.
 
@@ -96,7 +103,7 @@ def waits(produced: DataFrame, consumed: DataFrame, key: str, bound: str) -> Dat
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """Sessions of a key, rows less than `gap` apart; a stream needs a watermark, which closes them."""
-    out = events.filter(F.col(key).isNotNull()).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
+    out = only(events, F.col(key).isNotNull()).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
