@@ -45,6 +45,8 @@ from reelspan.llm.components import components
 WIDTH, THRESHOLD = 4, 85
 #: Coordinates of the count vectors, children of a box, nodes of a block, and trees' first nodes that a node is tried with.
 GROUPS, FAN, BLOCK, STARS = 256, 16, 1024, 4
+#: Least names of a node that go with each of its rows, so that most pairs come under their least shared name alone.
+TOLD = 64
 #: Pairs whose vectors are compared at once, and pairs that are held before they are handed on.
 CHUNK, HELD = 4096, 100_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -208,7 +210,9 @@ def _crossing(threshold: int):
         edge, names, name = own.offsets.to_numpy(), own.values.to_numpy(), t.column("name").to_numpy()
 
         def least(x: int, y: int) -> bool:
-            return np.intersect1d(names[edge[x] : edge[x + 1]], names[edge[y] : edge[y + 1]], assume_unique=True)[0] == name[x]
+            """Is no smaller shared name known? Where a pair's least shared name lies beyond what its nodes tell, it comes more than once."""
+            shared = np.intersect1d(names[edge[x] : edge[x + 1]], names[edge[y] : edge[y + 1]], assume_unique=True)
+            return not len(shared) or shared[0] >= name[x]
 
         rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "comp", "n"))
         points, asks = points_of(t.column("vec").to_pylist()), t.column("asks").to_numpy(zero_copy_only=False)
@@ -309,7 +313,7 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = WIDTH, thresho
     open_names = by_comp.groupBy("name").agg(F.sum("_c").alias("_k"), F.max(F.struct("_c", "comp")).alias("_main")).filter(F.col("_k") > F.col("_main._c"))
     open_names = open_names.select("name", F.col("_main.comp").alias("main"), F.ceil((F.col("_k") - F.col("_main._c")) / BLOCK).cast("int").alias("qs"), F.ceil(F.col("_k") / BLOCK).cast("int").alias("hs"))
     opened = placed.join(open_names, "name").groupBy("rep", "comp").agg(F.collect_list(F.struct("name", "main", "qs", "hs")).alias("_open"))
-    opened = opened.join(nodes.select("rep", "n", "vec"), "rep").withColumn("names", F.sort_array(F.transform("_open", lambda x: x["name"])))
+    opened = opened.join(nodes.select("rep", "n", "vec"), "rep").withColumn("names", F.slice(F.sort_array(F.transform("_open", lambda x: x["name"])), 1, TOLD))
     rows = opened.select("rep", "comp", "n", "vec", "names", F.explode("_open").alias("_o")).select("*", "_o.*").drop("_o")
     own, every = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = rows.filter("comp <> main").select("*", F.pmod(own, F.col("qs")).cast("int").alias("q"), every("hs").alias("h"), F.lit(True).alias("asks"))

@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from reelspan.llm import centroids, hard_negatives, pieces
+from reelspan.llm import centroids, hard_negatives, jaccard_join, pieces
 from reelspan.llm.common import workspace
 from reelspan.llm.integer_vectors import countable, integers
 
@@ -165,3 +165,25 @@ def test_queries_give_the_contract(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest()
     rows = centroids.op12_centroid_clustering(spark, sf).collect()
     assert {r.inertia for r in rows} == {sum(r.distance for r in rows)}
+
+
+@pytest.mark.parametrize("told", [1, jaccard_join.TOLD])
+def test_long_texts_just_under_the_threshold(spark, monkeypatch, told):
+    """Many shared open names a pair: rows carry a few of them, and components stay those of brute force."""
+    monkeypatch.setattr(jaccard_join, "TOLD", told)
+    base, texts = [f"w{i}" for i in range(1500)], []
+    for n in range(24):
+        own = list(base)
+        for i in range(62 * n % 1400, 62 * n % 1400 + (110 if n % 5 else 20)):
+            own[i] = f"x{n}-{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(jaccard_join.shingle_set(t.encode(), 4).tolist()) for t in texts]
+    label = list(range(24))
+    for _ in range(24):
+        for a in range(24):
+            for b in range(24):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    found = jaccard_join.jaccard_components(docs, workspace(spark, "t")).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label)) and 1 < len(set(label)) < 24
