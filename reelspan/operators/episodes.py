@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from reelspan.operators.sampling import ordinal
+
 
 def by_frame() -> WindowSpec:
     return Window.partitionBy("episode").orderBy("frame_idx")
@@ -19,13 +21,36 @@ def frames_of(events: DataFrame, episode: str, order: list[str], signal: Column)
     return events.select(F.col(episode).alias("episode"), (F.row_number().over(w) - 1).alias("frame_idx"), signal.alias("signal"), *others)
 
 
-def frame_index(frames: DataFrame) -> DataFrame:
-    """episode_idx (dense, by episode) and frame_idx: the counts of episodes are ordered, not the frames."""
+def frame_index(frames: DataFrame, width: int = 4096) -> DataFrame:
+    """episode_idx (dense, by episode, a number) and frame_idx: episodes are ordered inside ranges of `width`, and frames not at all."""
     sizes = frames.groupBy("episode").agg(F.count("*").alias("n"))
-    numbered = sizes.withColumn("episode_idx", F.row_number().over(Window.orderBy("episode")) - 1)  # a row an episode
+    numbered = ordinal(sizes, F.floor(F.col("episode") / width), [F.col("episode")], "episode_idx")
     return numbered.select("episode_idx", "episode", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame_idx"))
 
 
+def recut(frames: DataFrame, points: DataFrame, texts: DataFrame, kept: Column, least: float = 0.5, width: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Episodes cut at one or two points into new ones: (segments, frames of the segments, funnel).
+
+    `points` has episode and points, `texts` episode and texts (one a segment). Episodes with a share of `kept` frames under `least` or with
+    another number of points are filtered out. A point ends one segment and begins the next, so its frame is in both. New episodes are
+    numbered densely by (episode, segment), inside ranges of `width` episodes; their frames begin at 0 and keep their other columns.
+    """
+    sizes = frames.groupBy("episode").agg(F.count("*").alias("n"), F.avg(kept.cast("int")).alias("ratio"))
+    judged = sizes.join(points, "episode", "left").withColumn("kept", (F.col("ratio") >= least) & F.coalesce(F.size("points").isin(1, 2), F.lit(False)))
+    edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("points", lambda p: p.cast("long")), F.array(F.col("n") - 1))
+    cut = judged.filter("kept").join(texts, "episode").withColumn("_e", edges)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("points")), lambda i: F.struct(i.alias("segment"), F.get("_e", i).alias("start"), F.get("_e", i + 1).alias("end"), F.get("texts", i).alias("text")))
+    segments = cut.select("episode", F.explode(pieces).alias("s")).select("episode", "s.*").withColumn("frames", F.col("end") - F.col("start") + 1)
+    segments = ordinal(segments, F.floor(F.col("episode") / width), [F.col("episode"), F.col("segment")], "new_episode")
+    own = segments.groupBy("episode").agg(F.collect_list(F.struct("new_episode", "start", "end")).alias("_s"))  # three at most
+    here = F.filter("_s", lambda s: (s["start"] <= F.col("frame_idx")) & (F.col("frame_idx") <= s["end"]))
+    moved = frames.join(own, "episode").withColumn("_x", F.explode(here)).withColumn("_f", F.col("frame_idx") - F.col("_x.start"))
+    others = [c for c in frames.columns if c not in ("episode", "frame_idx")]
+    moved = moved.select(F.col("_x.new_episode").alias("episode"), F.col("_f").alias("frame_idx"), F.col("episode").alias("source_episode"), F.col("frame_idx").alias("source_frame"), *others)
+    funnel = judged.agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"), F.coalesce(F.sum(F.when(F.col("kept"), F.size("points") + 1)), F.lit(0)).cast("long").alias("segments"))
+    return segments, moved, funnel
+
+
 def uniform_picks(frames: DataFrame, k: int) -> DataFrame:
     """k evenly spaced frames of each episode (all, if it has fewer): floor(i * step), the last one exact."""
     sizes = frames.groupBy("episode").agg(F.count("*").alias("n"))

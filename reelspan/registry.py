@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspan.plans import answers, more, motion, robot, scenes, state, streams, windows  # noqa: F401  they register their queries
+from reelspan.plans import answers, cuts, more, motion, robot, scenes, state, streams, windows  # noqa: F401  they register their queries
 from reelspan.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
