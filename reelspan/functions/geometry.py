@@ -162,9 +162,14 @@ def fitted_box(left: Column, top: Column, width: Column, height: Column, image_w
     return F.when(fits, F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2")))
 
 
+def atan2(y: Column, x: Column) -> Column:
+    """The angle with the sign of y, also of a zero: Spark's own takes -0.0 for 0.0 and so pi for -pi."""
+    return F.when((y == 0) & (F.pow(y, F.lit(-1.0)) < 0), -F.atan2(y, x)).otherwise(F.atan2(y, x))
+
+
 def to_euler(m: Column) -> Column:
     """Extrinsic x, y, z angles; at gimbal lock (|y| = pi/2) the split between x and z is not unique."""
-    return F.array(F.atan2(cell(m, 2, 1), cell(m, 2, 2)), -F.asin(clamp(cell(m, 2, 0), -1.0, 1.0)), F.atan2(cell(m, 1, 0), cell(m, 0, 0)))
+    return F.array(atan2(cell(m, 2, 1), cell(m, 2, 2)), -F.asin(clamp(cell(m, 2, 0), -1.0, 1.0)), atan2(cell(m, 1, 0), cell(m, 0, 0)))
 
 
 def from_euler(e: Column) -> Column:
