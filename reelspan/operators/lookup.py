@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def annotation_of(videos: DataFrame, annotations: DataFrame) -> DataFrame:
+#: So many stems are broadcast; more are merged with the names' parts. Those are never broadcast: Spark guesses their size from a few names' columns.
+FEW_STEMS = 100_000
+
+
+def annotation_of(videos: DataFrame, annotations: DataFrame, few: int = FEW_STEMS) -> DataFrame:
     """stem and the annotation name that belongs to it, null without one.
 
     That is the first name of the form *_<stem>_ep_*, else the first *_ep_* that contains the stem. Both
@@ -14,6 +18,11 @@ def annotation_of(videos: DataFrame, annotations: DataFrame) -> DataFrame:
     stems still without a match, by its substrings of the lengths such stems have.
     """
     stems = videos.select("stem").distinct()
+    is_few = stems.limit(few + 1).count() <= few
+
+    def near(own: DataFrame, parts: DataFrame) -> DataFrame:
+        return F.broadcast(own).join(parts, "stem") if is_few else own.join(parts.hint("merge"), "stem")
+
     names = annotations.select("name").distinct()
     starts = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(1)) == "_")
     ends = F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring("name", i, F.lit(4)) == "_ep_")
@@ -21,13 +30,14 @@ def annotation_of(videos: DataFrame, annotations: DataFrame) -> DataFrame:
     cut = names.filter(F.length("name") > 0).withColumn("_e", ends).filter(F.size("_e") > 0).withColumn("_s", starts)
     spans = cut.select("name", F.explode("_s").alias("_s"), "_e").select("name", "_s", F.explode("_e").alias("_e")).filter("_e > _s")
     parts = spans.select("name", F.substring("name", F.col("_s") + 1, F.col("_e") - F.col("_s") - 1).alias("stem"))
-    exact = stems.join(parts, "stem").groupBy("stem").agg(F.min("name").alias("name"))
+    exact = near(stems, parts).groupBy("stem").agg(F.min("name").alias("name"))
     rest = stems.join(exact, "stem", "left_anti")
     lengths = rest.select(F.length("stem").alias("_n")).filter("_n > 0").distinct()
     long = cut.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("_n")).join(lengths, "_n")
     held = long.select("name", "_n", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_n") + 1)).alias("_i"))
-    loose = rest.join(held.select("name", F.substring("name", F.col("_i"), F.col("_n")).alias("stem")), "stem").groupBy("stem").agg(F.min("name").alias("name"))
-    return videos.join(exact.unionByName(loose), "stem", "left")
+    loose = near(rest, held.select("name", F.substring("name", F.col("_i"), F.col("_n")).alias("stem"))).groupBy("stem").agg(F.min("name").alias("name"))
+    found = exact.unionByName(loose)
+    return videos.join(F.broadcast(found) if is_few else found.hint("merge"), "stem", "left")
 
 
 def samples(index: DataFrame, episodes: DataFrame, frames: DataFrame) -> DataFrame:
