@@ -2,13 +2,13 @@
 
 Rows hold a window of a hand as arrays (kept, r, t, fingers, joints). Runs of kept slots are interpolated each for itself; new
 times up to the slot after a run count to it and are extrapolated. All else takes the values of the first slot
-that isn't kept, and isn't kept either. The work is a few small arrays a row.
+that isn't kept, and isn't kept either. Windows that share their kept slots are computed together, in blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,23 +79,71 @@ def from_six(six: np.ndarray) -> np.ndarray:
     return np.concatenate([a, b, np.cross(a, b)], -1)
 
 
-def upsampled_hand(kept: np.ndarray, r: np.ndarray, t: np.ndarray, fingers: np.ndarray, joints: np.ndarray, factor: float, method: str) -> dict:
-    """A hand's window at finer times; joints keep the lengths of their bones."""
-    n = len(kept)
-    turned, mask = upsampled(r[:, :6], kept, factor, method)
-    bent = upsampled(fingers[..., :6].reshape(n, -1), kept, factor, method)[0].reshape(len(turned), -1, 6)
+def upsampled_hands(kept: np.ndarray, r: np.ndarray, t: np.ndarray, fingers: np.ndarray, joints: np.ndarray, factor: float, method: str) -> dict:
+    """Windows that share their kept slots (arrays of windows x slots x ...) at finer times; joints keep the lengths of their bones."""
+    rows, n = r.shape[:2]
+
+    def finer(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = x.reshape(rows, n, -1)
+        out, mask = upsampled(own.transpose(1, 0, 2).reshape(n, -1), kept, factor, method)
+        return out.reshape(len(out), rows, own.shape[2]).transpose(1, 0, 2), mask
+
+    turned, mask = finer(r[..., :6])
+    m = len(mask)
+    bent = finer(fingers[..., :6])[0].reshape(rows, m, -1, 6)
     bones = np.zeros_like(joints)
-    for i, p in enumerate(PARENTS[: joints.shape[1]]):
+    for i, p in enumerate(PARENTS[: joints.shape[2]]):
         if p >= 0:
-            bones[:, i] = joints[:, i] - joints[:, p]
-    lengths = upsampled(np.linalg.norm(bones, axis=-1), kept, factor, method)[0]
-    ways = upsampled(bones.reshape(n, -1), kept, factor, method)[0].reshape(len(turned), -1, 3)
+            bones[:, :, i] = joints[:, :, i] - joints[:, :, p]
+    lengths = finer(np.linalg.norm(bones, axis=-1))[0]
+    ways = finer(bones)[0].reshape(rows, m, -1, 3)
     ways = ways / (np.linalg.norm(ways, axis=-1, keepdims=True) + 1e-8) * lengths[..., None]
     built = np.zeros_like(ways)
-    for i, p in enumerate(PARENTS[: joints.shape[1]]):
+    for i, p in enumerate(PARENTS[: joints.shape[2]]):
         if p >= 0:
-            built[:, i] = built[:, p] + ways[:, i]
-    return {"kept": mask, "r": from_six(turned), "t": upsampled(t, kept, factor, method)[0], "fingers": from_six(bent), "joints": built.reshape(len(turned), -1)}
+            built[:, :, i] = built[:, :, p] + ways[:, :, i]
+    return {"kept": np.broadcast_to(mask, (rows, m)), "r": from_six(turned), "t": finer(t)[0], "fingers": from_six(bent), "joints": built.reshape(rows, m, -1)}
+
+
+def flat(column: pa.Array) -> np.ndarray:
+    """All numbers of nested lists, in order."""
+    while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        column = column.flatten()
+    return column.to_numpy(zero_copy_only=False)
+
+
+def nested(values: np.ndarray) -> pa.Array:
+    """An array of any dimensions as lists of lists, a list by its first one."""
+    column = pa.array(np.ascontiguousarray(values).reshape(-1))
+    for n in reversed(values.shape[1:]):
+        column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(column) + 1, n, dtype=np.int32)), column)
+    return column
+
+
+#: Windows that a task computes at once: some MB of numbers.
+AT_ONCE = 512
+NAMES = ("kept", "r", "t", "fingers", "joints")
+
+
+def _finer_rows(parts: list[pa.Array], factor: float, method: str) -> pa.Array:
+    """The struct of some windows of any length, in their order."""
+    whole = np.logical_and.reduce([p.is_valid().to_numpy(zero_copy_only=False) for p in parts])
+    lengths = np.where(whole, parts[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    groups: dict[tuple, list[int]] = {}
+    for i in np.flatnonzero(lengths):
+        groups.setdefault(tuple(parts[0][int(i)].as_py()), []).append(int(i))
+    columns, order = [], []
+    for kept, rows in groups.items():
+        n, own = len(kept), [p.take(pa.array(rows)) for p in parts]
+        r, t, f, j = (flat(p).astype(float, copy=False) for p in own[1:])
+        done = upsampled_hands(np.array(kept, bool), r.reshape(len(rows), n, 9), t.reshape(len(rows), n, 3), f.reshape(len(rows), n, -1, 9), j.reshape(len(rows), n, -1, 3), factor, method)
+        columns.append([nested(done[c]) for c in NAMES])
+        order += rows
+    gone = np.flatnonzero(lengths == 0)
+    types = [pa.list_(pa.bool_()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.list_(pa.float64()))), pa.list_(pa.list_(pa.float64()))]
+    columns.append([pa.nulls(len(gone), t) for t in types])
+    back = pa.array(np.argsort(np.array(order + gone.tolist(), int), kind="stable"))
+    return pa.StructArray.from_arrays([pa.concat_arrays([c[k].cast(types[k]) for c in columns]).take(back) for k in range(len(NAMES))], NAMES)
 
 
 def upsample(kept: Column, r: Column, t: Column, fingers: Column, joints: Column, factor: float, method: str = "pchip") -> Column:
@@ -103,17 +151,9 @@ def upsample(kept: Column, r: Column, t: Column, fingers: Column, joints: Column
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(METHODS)}, not {method}")
 
-    @F.pandas_udf(STATE)
-    def run(kept: pd.Series, r: pd.Series, t: pd.Series, fingers: pd.Series, joints: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, *parts in zip(kept, r, t, fingers, joints, strict=True):
-            if k is None or any(p is None for p in parts) or not len(k):
-                rows.append(dict.fromkeys(("kept", "r", "t", "fingers", "joints")))
-                continue
-            r_, t_, f_, j_ = parts
-            f_ = np.array([[np.asarray(m, float) for m in slot] for slot in f_], float).reshape(len(k), -1, 9)
-            done = upsampled_hand(np.asarray(k, bool), np.stack(r_).astype(float), np.stack(t_).astype(float), f_, np.stack(j_).astype(float).reshape(len(k), -1, 3), factor, method)
-            rows.append({n: v.tolist() for n, v in done.items()})
-        return pd.DataFrame(rows, columns=["kept", "r", "t", "fingers", "joints"])
+    @F.arrow_udf(STATE)
+    def run(kept: pa.Array, r: pa.Array, t: pa.Array, fingers: pa.Array, joints: pa.Array) -> pa.Array:
+        parts = [kept, r, t, fingers, joints]
+        return pa.concat_arrays([_finer_rows([p.slice(i, AT_ONCE) for p in parts], factor, method) for i in range(0, max(len(kept), 1), AT_ONCE)])
 
     return run(kept, r, t, fingers, joints)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelspan.functions import geometry, text
 from reelspan.operators import corpus, episodes, sampling, vectors
-from reelspan.sources.tables import table
+from reelspan.sources.tables import spread, table
 from reelspan.streaming import jobs
 
 QUERIES: dict = {}
@@ -39,8 +39,10 @@ WORDS = """words AS (
     UNION ALL SELECT 'noun', split_part(p_name, ' ', 2) FROM part) WHERE word <> '' GROUP BY ALL)"""
 
 
-def frames(spark: SparkSession, sf: str) -> DataFrame:
+def frames(spark: SparkSession, sf: str, each: int = 0) -> DataFrame:
+    """Events as frames of their users; `each`: how many a task holds, where they become wide rows."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    events = spread(events, each, "user_id") if each else events
     return episodes.frames_of(events, "user_id", ["ts", "event_id"], F.col("value"))
 
 

@@ -14,6 +14,8 @@ from reelspan.plans.queries import FRAMES, frames, query
 from reelspan.sources.tables import table
 
 PAST, FUTURE, CLIP = 2, 3, 12
+#: Frames of a task, each some KB with both hands and 17 KB with its neighbours.
+EACH = 20_000
 
 
 def hand(s: Column, frame: Column, kept: Column) -> Column:
@@ -27,7 +29,7 @@ def hand(s: Column, frame: Column, kept: Column) -> Column:
 
 def two_hands(spark, sf: str) -> DataFrame:
     """Frames with both hands: the left may use the whole episode, the right its clip of twelve frames."""
-    own = frames(spark, sf).select("episode", "frame_idx", "signal", "event_type")
+    own = frames(spark, sf, EACH).select("episode", "frame_idx", "signal", "event_type")
     sizes = own.groupBy("episode").agg((F.count("*") - 1).alias("last"))
     s, f = F.col("signal"), F.col("frame_idx")
     start = F.floor(f / CLIP) * CLIP

@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+    """Rows dealt out by key for heavy work on each, about `each` a task and two tasks a core at least.
+
+    A small file is few tasks, and Spark joins the parts of a shuffle by their bytes before rows have grown a hundredfold.
+    """
+    return rows.repartition(max(-(-rows.count() // each), 2 * rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def read_manifest(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """JSON lines as typed rows beside their file; malformed lines fail, or keep their text in _corrupt_record."""
     reader = spark.read.schema(MANIFEST).option("mode", "FAILFAST" if strict else "PERMISSIVE")
