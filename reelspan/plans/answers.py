@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reelspan.functions import answers
 from reelspan.plans.queries import query
-from reelspan.sources.tables import table
+from reelspan.sources.tables import spread, table
 
 
 def told(spark, sf: str) -> DataFrame:
@@ -32,7 +32,7 @@ def told(spark, sf: str) -> DataFrame:
     text = F.lit(None).cast("string")
     for i, form in enumerate(forms):
         text = F.when(kind == i, form).otherwise(text)
-    return table(spark, sf, "part").select("p_partkey", text.alias("answer"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name"), 50_000, "p_partkey").select("p_partkey", text.alias("answer"))
 
 
 @query("""WITH t AS (SELECT p_partkey, p_partkey % 8 AS form, string_split(p_name, ' ')[-1] AS noun, 'Pick the ' || p_name || ' and place it on the tray' AS a, 'Lift the ' || p_name AS b FROM part),
