@@ -9,7 +9,7 @@ from reelspan.functions import text
 from reelspan.operators import draws, lookup, sampling, snapshots
 from reelspan.plans.more import SEED, sql_draw
 from reelspan.plans.queries import ANSWERED, WORDS, answered, query, words
-from reelspan.sources.tables import table
+from reelspan.sources.tables import spread, table
 from reelspan.streaming import jobs
 
 
@@ -158,7 +158,8 @@ def combined_hands(spark, sf):
 def single_arm_rows(spark, sf):
     told = F.concat(F.lit("The RIGHT hand enters from the bottom-right of the frame. Only the right hand is used: RIGHT hand lifts the "), "p_name")
     fields = text.single_arm_fields(F.concat(F.lit("lift the "), "p_name", F.lit(". ")), text.without_openings(told), F.when(F.col("p_size") > 25, "left").otherwise("right"))
-    return table(spark, sf, "part").select("p_partkey", fields.alias("f")).select("p_partkey", "f.instruction", "f.task", "f.augmented")
+    own = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), 50_000, "p_partkey")
+    return own.select("p_partkey", fields.alias("f")).select("p_partkey", "f.instruction", "f.task", "f.augmented")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'open the ' || p_name || '|return home' ELSE 'open the ' || p_name || '|lift it|return home' END AS segments,
