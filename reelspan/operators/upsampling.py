@@ -112,9 +112,10 @@ def flat(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def nested(values: np.ndarray) -> pa.Array:
-    """An array of any dimensions as lists of lists, a list by its first one."""
-    column = pa.array(np.ascontiguousarray(values).reshape(-1))
+def nested(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """An array of any dimensions as lists of lists, a list by its first one; `null` tells which of its numbers are null."""
+    hidden = None if null is None or not null.any() else np.broadcast_to(null, values.shape).reshape(-1)
+    column = pa.array(np.ascontiguousarray(values).reshape(-1), mask=hidden)
     for n in reversed(values.shape[1:]):
         column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(column) + 1, n, dtype=np.int32)), column)
     return column

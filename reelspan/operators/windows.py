@@ -5,14 +5,17 @@ gaps; view_r and view_t turn world into camera space. A hand is a struct (kept,
 are nine numbers by rows, fingers an array of them, joints an array of points in world space, shape numbers
 that hold for the episode. A range is a struct (start, end) of the frames, both included, that a hand's window may use.
 
-A window of W = past + 1 + future slots, and the one after them, comes from one range window over the
-episode's frames: each frame carries its neighbours as one ordered array, clamped at the range's ends.
+A window has W = past + 1 + future slots, and one after them. Tasks read their episodes' frames in order, a frame once, and compute
+the windows of some hundred anchors together; a task holds a batch of frames, however long an episode is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,6 @@ from reelspan.operators.episodes import by_frame
 HANDS = ("left", "right")
 #: Numbers of a hand's wrist in an action, and of all features of actions and of states.
 WRIST, ACTIONS, STATES = 6, 192, 212
-#: Angles of a hand's fifteen finger joints.
-FINGERS = 45
 
 
 def check(mode: str, kind: str) -> None:
@@ -31,123 +32,232 @@ def check(mode: str, kind: str) -> None:
         raise ValueError(f"mode is step or anchor, not {mode}; kind is angle or keypoints, not {kind}")
 
 
-def angles(rotations: Column) -> Column:
-    """Euler angles of an array of rotations, as one array."""
-    return F.flatten(F.transform(rotations, g.to_euler))
+def training_rows(frames: DataFrame, past: int, future: int, mode: str = "step", kind: str = "angle") -> DataFrame:
+    """episode, frame_idx, absolute and relative (W rows of both hands' numbers), mask (W x 2), state and state_mask (2) for each frame as anchor.
 
+    mode: actions against the frame before (step) or the anchor; kind: finger angles, or joints in hand space (keypoints), as held numbers.
+    Slots outside a hand's range hold its nearest frame and count as not kept; the slot after the window does so only where the window itself left
+    its range. Slots that aren't kept have identity rotations; their places stay. Rows of a slot or state whose numbers aren't all known are null.
+    """
+    rows = "array<array<double>>"
+    schema = f"{keys(frames)}, absolute {rows}, relative {rows}, mask array<array<boolean>>, state array<double>, state_mask array<boolean>"
+    return computed(frames, past, future, mode, kind, _lists, schema)
 
-def turns(after: Column, before: Column) -> Column:
-    """Euler angles of the turns between two arrays of rotations, as one array."""
-    return F.flatten(F.zip_with(after, before, lambda a, b: g.to_euler(g.product(a, g.transposed(b)))))
 
+def computed(frames: DataFrame, past: int, future: int, mode: str, kind: str, use: Callable[[Block], pa.RecordBatch], schema: str, actions: bool = True, states: bool = True) -> DataFrame:
+    """What `use` makes of each block of training rows inside the tasks, where the rows themselves would be many and wide."""
+    check(mode, kind)
+    parts = ["kept", "r", "t", *(["fingers"] if actions or kind == "angle" else []), *(["joints"] if kind == "keypoints" else []), *(["shape"] if states else [])]
+    nested = ("fingers", "joints")
+    hands = [(F.flatten(F.col(f"{s}.{c}")) if c in nested else F.col(f"{s}.{c}")).alias(f"{s}_{c}") for s in HANDS for c in parts]
+    ranges = [F.col(f"{s}_range.{e}").cast("long").alias(f"{s}_{e}") for s in HANDS for e in ("start", "end")]
+    # the window function also puts each episode into one task, in order
+    following = F.lead("frame_idx").over(by_frame()).alias("next")
+    rows = frames.select("episode", "frame_idx", following, "view_r", "view_t", *ranges, *hands)
 
-def prepared(side: str, mode: str, kind: str) -> Column:
-    """What of a hand's frame is the same in every window: its finger angles or its joints in hand space (held), the same under an
-    identity rotation (loose), and the fingers' turns to the next frame, or the fingers themselves."""
-    hand = F.col(side)
-    fields = [hand[f].alias(f) for f in ("kept", "r", "t")]
-    if kind == "angle":
-        fields += [angles(hand["fingers"]).alias("held"), F.array_repeat(F.lit(0.0), FINGERS).alias("loose")]
-    else:
-        offsets = F.transform(hand["joints"], lambda p: F.array(*[F.get(p, i) - F.get(hand["t"], i) for i in range(3)]))
-        fields += [F.flatten(F.transform(offsets, lambda p: g.rotate(g.transposed(hand["r"]), p))).alias("held"), F.flatten(offsets).alias("loose")]
-    after = turns(F.lead(hand["fingers"]).over(by_frame()), hand["fingers"]) if mode == "step" else hand["fingers"]
-    return F.struct(*fields, after.alias("fingers"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, first, last in anchored(batches, past, future):
+            for at in range(first, last, AT_ONCE):
+                stop = min(at + AT_ONCE, last)
+                low = max(0, at - past)
+                yield use(block(held.slice(low, stop + future + 1 - low), at - low, stop - low, past, future, mode, kind, actions, states))
 
+    return rows.mapInArrow(run, schema)
 
-def slots(side: str, past: int, future: int) -> Column:
-    """A hand's W + 1 slots in the anchor's camera, over frames that hold `_near`, their prepared neighbours.
 
-    Slots outside the range hold its nearest frame and count as not kept. The slot after the window does
-    so only where the window itself left its range. Slots that aren't kept have
-    identity rotations; their places stay.
-    """
-    at, held, start, end = F.col("frame_idx"), F.col("_near"), F.col(f"{side}_range.start"), F.col(f"{side}_range.end")
-    left_range = (at - past < start) | (at + future > end)
-
-    def taken(o: Column) -> Column:
-        frame = F.least(F.greatest(at + o, start), end)
-        outside = F.when(o <= future, (at + o < start) | (at + o > end)).otherwise(left_range & (at + o > end))
-        return F.struct(frame.alias("frame"), F.get(held, (frame - held[0]["frame_idx"]).cast("int"))[side].alias("h"), outside.alias("outside"))
-
-    def masked(s: Column) -> Column:
-        h = s["h"]
-        return F.struct(s["frame"].alias("frame"), (h["kept"] & ~s["outside"]).alias("kept"), h.alias("h"))
-
-    def seen(s: Column) -> Column:
-        h, view = s["h"], F.col("view_r")
-        return F.struct(
-            s["frame"].alias("frame"),
-            s["kept"].alias("kept"),
-            F.when(s["kept"], g.product(view, h["r"])).otherwise(view).alias("r"),
-            g.plus(g.rotate(view, h["t"]), F.col("view_t")).alias("t"),
-            F.when(s["kept"], h["held"]).otherwise(h["loose"]).alias("held"),
-            h["fingers"].alias("fingers"),
-        )
-
-    every = F.transform(F.sequence(F.lit(-past), F.lit(future + 1)), taken)
-    return F.transform(F.transform(every, masked), seen)
-
-
-def moves(window: Column, past: int, mode: str = "step") -> Column:
-    """(valid, absolute, relative) for each slot of a window of slots and the one after it.
-
-    absolute: place, angles and held numbers of the next slot. relative: its place and turn against the slot
-    itself (mode step) or the anchor (mode anchor), then the fingers' turns. Both are zeros where either end isn't kept.
-    """
+def keys(frames: DataFrame) -> str:
+    return ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("episode", "frame_idx"))
 
-    def move(p: Column) -> Column:
-        base, after = p["base"], p["after"]
-        valid = base["kept"] & after["kept"]
-        absolute = F.concat(after["t"], g.to_euler(after["r"]), after["held"])
-        if mode == "step":  # at a range's end a slot may follow itself
-            turned = F.when(after["frame"] == base["frame"], F.array_repeat(F.lit(0.0), FINGERS)).otherwise(base["fingers"])
-        else:
-            turned = turns(after["fingers"], base["fingers"])
-        relative = F.concat(g.minus(after["t"], base["t"]), g.to_euler(g.product(after["r"], g.transposed(base["r"]))), turned)
-        none = F.array_repeat(F.lit(0.0), WRIST + FINGERS)
-        return F.struct(
-            valid.alias("valid"),
-            F.when(valid, absolute).otherwise(F.array_repeat(F.lit(0.0), F.size(after["held"]) + WRIST)).alias("absolute"),
-            F.when(valid, relative).otherwise(none).alias("relative"),
-        )
 
-    def pairs(w: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.size(w) - 2)
-        return F.transform(steps, lambda k: F.struct(F.get(w, k if mode == "step" else F.lit(past)).alias("base"), F.get(w, k + 1).alias("after")))
+#: Anchors that are computed at once: some MB of numbers.
+AT_ONCE = 512
 
-    return F.transform(g.let(window, pairs), move)
 
+def anchored(batches: Iterator[pa.RecordBatch], past: int, future: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+    """Rows with the first and last place (not included) of the anchors whose neighbours are all among them; each row is an anchor once."""
+    held, done = None, 0
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        ready = held.num_rows - (future + 1)
+        if ready > done:
+            yield held, done, ready
+            low = max(0, ready - past)
+            held, done = held.slice(low), ready - low
+    if held is not None and held.num_rows > done:
+        yield held, done, held.num_rows
 
-def packed_state(slot: Column, shape: Column) -> Column:
-    """Place, angles and held numbers of a slot, then the hand's shape."""
-    return F.concat(slot["t"], g.to_euler(slot["r"]), slot["held"], shape)
 
+@dataclass
+class Hand:
+    """A hand's part of a block of A anchors: valid (A x W), absolute and relative (A x W x numbers), kept (A), state (A x numbers).
 
-def training_rows(frames: DataFrame, past: int, future: int, mode: str = "step", kind: str = "angle") -> DataFrame:
-    """episode, frame_idx, absolute and relative (W rows of both hands' numbers), mask (W x 2), state and state_mask (2) for each frame as anchor.
-
-    mode: actions against the frame before (step) or the anchor; kind: finger angles, or joints in hand space (keypoints), as held numbers.
+    Flags are 1, 0, or -1 for unknown; `no_` tells which rows of numbers are null.
     """
-    check(mode, kind)
-    shapes = [F.col(f"{s}.shape").alias(f"_shape_{s}") for s in HANDS]
-    rows = frames.select("episode", "frame_idx", "view_r", "view_t", *[f"{s}_range" for s in HANDS], *shapes, *[prepared(s, mode, kind).alias(s) for s in HANDS])
-    near = F.collect_list(F.struct("frame_idx", *HANDS)).over(by_frame().rowsBetween(-past, future + 1))
-    rows = rows.withColumn("_near", near)
-    rows = rows.withColumns({f"_{s}": slots(s, past, future) for s in HANDS})
-    rows = rows.withColumns({f"_m_{s}": moves(F.col(f"_{s}"), past, mode) for s in HANDS})
-    both = F.arrays_zip(*[F.col(f"_m_{s}").alias(s) for s in HANDS])
-    state = F.concat(*[packed_state(F.col(f"_{s}")[past], F.col(f"_shape_{s}")) for s in HANDS])
-    return rows.select(
-        "episode", "frame_idx",
-        *[F.transform(both, _joined(n)).alias(n) for n in ("absolute", "relative")],
-        F.transform(both, lambda p: F.array(*[p[s]["valid"] for s in HANDS])).alias("mask"),
-        state.alias("state"), F.array(*[F.col(f"_{s}")[past]["kept"] for s in HANDS]).alias("state_mask"),
-    )
-
-
-def _joined(name: str) -> Callable[[Column], Column]:
-    return lambda p: F.concat(*[p[s][name] for s in HANDS])
+
+    valid: np.ndarray | None = None
+    absolute: np.ndarray | None = None
+    no_absolute: np.ndarray | None = None
+    relative: np.ndarray | None = None
+    no_relative: np.ndarray | None = None
+    kept: np.ndarray | None = None
+    state: np.ndarray | None = None
+    no_state: np.ndarray | None = None
+
+
+@dataclass
+class Block:
+    """Anchors as Arrow columns, and their two hands."""
+
+    episode: pa.Array
+    frame_idx: pa.Array
+    hands: list[Hand]
+
+
+@dataclass
+class Numbers:
+    """Lists of one length as rows of an array; which of them are null (absent), and which are or hold a null (gone)."""
+
+    values: np.ndarray
+    absent: np.ndarray
+    gone: np.ndarray
+
+
+def numbers(column: pa.Array) -> Numbers:
+    absent = column.is_null().to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    sizes = set(column.value_lengths().drop_null().unique().to_pylist())
+    if len(sizes) > 1:
+        raise ValueError(f"lists of one part have one length, not {sorted(sizes)}")
+    width = sizes.pop() if sizes else 0
+    out, gone = np.zeros((len(absent), width)), absent.copy()
+    out[~absent] = values.to_numpy(zero_copy_only=False).reshape(-1, width)
+    if values.null_count:
+        gone[~absent] = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(1)
+    return Numbers(out, absent, gone)
+
+
+def flags(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int8()).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """SQL's AND of flags."""
+    return np.where((a == 0) | (b == 0), 0, np.minimum(a, b))
+
+
+def euler(m: list[np.ndarray] | dict[int, np.ndarray]) -> np.ndarray:
+    """Euler angles, as geometry.to_euler, on a last axis of three."""
+    middle = np.fmin(np.maximum(m[6], -1.0), 1.0)
+    return np.stack([np.arctan2(m[7], m[8]), -np.arcsin(middle), np.arctan2(m[3], m[0])], -1)
+
+
+def turn(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Euler angles of after times before transposed, of arrays whose first axis has the nine numbers."""
+    return euler({3 * r + c: after[3 * r] * before[3 * c] + after[3 * r + 1] * before[3 * c + 1] + after[3 * r + 2] * before[3 * c + 2] for r, c in ((2, 1), (2, 2), (2, 0), (1, 0), (0, 0))})
+
+
+def block(rows: pa.RecordBatch, first: int, last: int, past: int, future: int, mode: str, kind: str, actions: bool, states: bool) -> Block:
+    """The anchors `first` to `last` (not included) of rows that hold all their neighbours."""
+    n, at = rows.num_rows, np.arange(first, last)
+    frame = rows.column("frame_idx").to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = rows.column("next").is_null().to_numpy(zero_copy_only=False)
+    place = np.arange(n)
+    opens = np.append(True, ends[:-1])
+    start = np.maximum.accumulate(np.where(opens, place, 0))[at]
+    end = np.minimum.accumulate(np.where(ends, place, n - 1)[::-1])[::-1][at]
+    view_r, view_t = numbers(rows.column("view_r")), numbers(rows.column("view_t"))
+    unseen = (view_r.gone | view_t.gone)[at]
+    view = (view_r.values[at].T[:, :, None], view_t.values[at].T[:, :, None])
+    steps = np.arange(-past, future + 2)
+    hands = []
+    for side in HANDS:
+        # a hand without a range has no slots
+        low, high = (rows.column(f"{side}_{e}").fill_null(-(1 << 40)).to_numpy()[at][:, None] for e in ("start", "end"))
+        own = frame[at][:, None] + steps
+        slot = np.minimum(np.maximum(own, low), high)
+        target = at[:, None] + slot - frame[at][:, None]
+        near = (target >= np.maximum(start, at - past)[:, None]) & (target <= np.minimum(end, at + future + 1)[:, None])
+        target = np.where(near, target, 0)
+        outside = (own < low) | (own > high)
+        left_range = (frame[at][:, None] - past < low) | (frame[at][:, None] + future > high)
+        outside[:, -1:] = left_range & (own[:, -1:] > high)
+        hands.append(_hand(rows, side, at, target, near, slot, outside, view, unseen, past, mode, kind, actions, states))
+    return Block(rows.column("episode").slice(first, last - first), rows.column("frame_idx").slice(first, last - first), hands)
+
+
+def _hand(rows, side, at, target, near, slot, outside, view, unseen, past, mode, kind, actions, states) -> Hand:
+    def column(c: str) -> Numbers:
+        return numbers(rows.column(f"{side}_{c}"))
+
+    kept, r, t = flags(rows.column(f"{side}_kept")), column("r"), column("t")
+    fingers = column("fingers") if actions or kind == "angle" else None
+    bones = fingers.values.reshape(len(kept), -1, 9).transpose(2, 0, 1) if fingers else None  # nine, frames, fingers
+    if kind == "angle":
+        held, absent, gone = euler(bones).reshape(len(kept), -1), fingers.absent, fingers.gone
+        loose = np.zeros_like(held)
+    else:
+        joints = column("joints")
+        absent, gone = joints.absent, joints.gone | t.gone
+        p = joints.values.reshape(len(kept), -1, 3) - t.values[:, None, :]
+        loose, m = p.reshape(len(kept), -1), r.values[:, :, None]
+        held = np.stack([m[:, i] * p[:, :, 0] + m[:, 3 + i] * p[:, :, 1] + m[:, 6 + i] * p[:, :, 2] for i in range(3)], -1).reshape(loose.shape)
+    gone = gone | r.gone | t.gone
+    k = both(np.where(near, kept[target], -1), np.where(outside, 0, 1))
+    on = k == 1
+    vr, vt = view
+    m = r.values[target].transpose(2, 0, 1)
+    seen = np.stack([np.where(on, vr[3 * i] * m[c] + vr[3 * i + 1] * m[3 + c] + vr[3 * i + 2] * m[6 + c], vr[3 * i + c]) for i in range(3) for c in range(3)])
+    x = t.values[target].transpose(2, 0, 1)
+    places = np.stack([vr[3 * i] * x[0] + vr[3 * i + 1] * x[1] + vr[3 * i + 2] * x[2] + vt[i] for i in range(3)], -1)
+    none, lost = ~near | absent[target], ~near | gone[target] | unseen[:, None]
+    out = Hand()
+    if actions:
+        base = slice(0, -1) if mode == "step" else slice(past, past + 1)
+        out.valid = both(k[:, base], k[:, 1:])
+        valid = (out.valid == 1)[:, :, None]
+        out.absolute = np.where(valid, np.concatenate([places[:, 1:], euler(seen[:, :, 1:]), np.where(on[:, 1:, None], held[target[:, 1:]], loose[target[:, 1:]])], -1), 0.0)
+        if mode == "step":  # at a range's end a slot may follow itself
+            onward = turn(bones[:, 1:], bones[:, :-1]).reshape(len(kept) - 1, bones.shape[2] * 3)
+            onward = np.concatenate([onward, np.zeros((1, onward.shape[1]))])
+            bent = np.where((slot[:, 1:] == slot[:, :-1])[:, :, None], 0.0, onward[target[:, :-1]])
+        else:
+            bent = turn(bones[:, target[:, 1:]], bones[:, target[:, base]]).reshape(len(at), -1, bones.shape[2] * 3)
+        out.relative = np.where(valid, np.concatenate([places[:, 1:] - places[:, base], turn(seen[:, :, 1:], seen[:, :, base]), bent], -1), 0.0)
+        out.no_absolute = none[:, 1:] | (valid[:, :, 0] & lost[:, 1:])
+        unbent = fingers.gone[target]
+        out.no_relative = valid[:, :, 0] & ((lost | unbent)[:, 1:] | (lost | unbent)[:, base])
+    if states:
+        shape, own = column("shape"), slice(past, past + 1)
+        mine = target[:, past]
+        numbers_held = np.where(on[:, past, None], held[mine], loose[mine])
+        out.state = np.concatenate([places[:, past], euler(seen[:, :, own])[:, 0], numbers_held, shape.values[mine]], -1)
+        out.kept, out.no_state = k[:, past], lost[:, past] | shape.gone[mine]
+    return out
+
+
+def listed(values: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Rows of numbers (any axes before the last) as lists in lists, where `null` tells which innermost lists are null."""
+    offsets = np.arange(0, values.size + 1, max(values.shape[-1], 1), dtype=np.int32) if values.shape[-1] else np.zeros(null.size + 1, np.int32)
+    out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)), mask=pa.array(null.reshape(-1)))
+    return out if null.ndim == 1 else grouped(out, null.shape[1])
+
+
+def grouped(column: pa.Array, each: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(column) + 1, each, dtype=np.int32)), column)
+
+
+def flagged(values: np.ndarray) -> pa.Array:
+    return pa.array(values.reshape(-1) == 1, mask=values.reshape(-1) == -1)
+
+
+def _lists(b: Block) -> pa.RecordBatch:
+    h = b.hands
+    absolute = listed(np.concatenate([x.absolute for x in h], -1), h[0].no_absolute | h[1].no_absolute)
+    relative = listed(np.concatenate([x.relative for x in h], -1), h[0].no_relative | h[1].no_relative)
+    mask = grouped(grouped(flagged(np.stack([x.valid for x in h], -1)), 2), h[0].valid.shape[1])
+    state = listed(np.concatenate([x.state for x in h], -1), h[0].no_state | h[1].no_state)
+    columns = [b.episode, b.frame_idx, absolute, relative, mask, state, grouped(flagged(np.stack([x.kept for x in h], -1)), 2)]
+    return pa.record_batch(columns, names=["episode", "frame_idx", "absolute", "relative", "mask", "state", "state_mask"])
 
 
 def mixed_actions(absolute: Column, relative: Column) -> Column:

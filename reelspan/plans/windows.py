@@ -3,7 +3,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspan.functions import geometry as g
@@ -14,26 +16,44 @@ from reelspan.plans.queries import FRAMES, frames, query
 from reelspan.sources.tables import table
 
 PAST, FUTURE, CLIP = 2, 3, 12
-#: Frames of a task, each some KB with both hands and 17 KB with its neighbours.
+#: Frames of a task, each some KB with both hands.
 EACH = 20_000
 
 
+HAND = "struct<kept:boolean,r:array<double>,t:array<double>,fingers:array<array<double>>,joints:array<array<double>>,shape:array<double>>"
+
+
+def rotations(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """`geometry.from_euler` on a last axis of nine."""
+    cx, sx, cy, sy, cz, sz = np.cos(x), np.sin(x), np.cos(y), np.sin(y), np.cos(z), np.sin(z)
+    return np.stack([cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -sy, cy * sx, cy * cx], -1)
+
+
+def _hand(signal: pa.Array, frame: pa.Array, kept: pa.Array) -> pa.Array:
+    unknown, late = (c.is_null().to_numpy(zero_copy_only=False) for c in (signal, frame))
+    s, f = (c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)[:, None] for c in (signal, frame))
+    n, j, i, none = len(s), np.arange(15), np.arange(21), unknown[:, None]
+    t, no_t = np.concatenate([s / 100, f / 10, np.sin(s)], 1), np.stack([unknown, late, unknown], 1)
+    fingers = rotations(0.05 * (j + 1) * np.sin(s), 0.02 * (j + 1) * np.cos(s), np.broadcast_to(0.03 * j, (n, 15)))
+    joints = np.stack([t[:, :1] + 0.01 * i, t[:, 1:2] + 0.02 * i * np.cos(s), t[:, 2:] - 0.03 * i], -1)
+    no_joints = np.broadcast_to(np.stack([unknown, unknown | late, unknown], -1)[:, None], joints.shape)
+    r = rotations(0.3 * np.sin(s), 0.2 * np.cos(s), s / 500)[:, 0]
+    parts = [(r, none), (t, no_t), (fingers, none[:, None]), (joints, no_joints), (np.broadcast_to(np.arange(10) / 10, (n, 10)), np.zeros((n, 1), bool))]
+    return pa.StructArray.from_arrays([kept, *[upsampling.nested(x, null) for x, null in parts]], ["kept", "r", "t", "fingers", "joints", "shape"])
+
+
 def hand(s: Column, frame: Column, kept: Column) -> Column:
-    wrist = g.from_euler(F.array(0.3 * F.sin(s), 0.2 * F.cos(s), s / 500))
-    place = [s / 100, frame / 10, F.sin(s)]
-    fingers = F.transform(F.sequence(F.lit(0), F.lit(14)), lambda j: g.from_euler(F.array(0.05 * (j + 1) * F.sin(s), 0.02 * (j + 1) * F.cos(s), 0.03 * j)))
-    joints = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.array(place[0] + 0.01 * j, place[1] + 0.02 * j * F.cos(s), place[2] - 0.03 * j))
-    shape = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: (j / 10).cast("double"))
-    return F.struct(kept.alias("kept"), wrist.alias("r"), F.array(*place).alias("t"), fingers.alias("fingers"), joints.alias("joints"), shape.alias("shape"))
+    """A hand of a signal and a frame's number: 220 numbers, computed for a batch of frames together."""
+    return F.arrow_udf(_hand, HAND)(s, frame, kept)
 
 
 def two_hands(spark, sf: str) -> DataFrame:
     """Frames with both hands: the left may use the whole episode, the right its clip of twelve frames."""
     own = frames(spark, sf, EACH).select("episode", "frame_idx", "signal", "event_type")
-    sizes = own.groupBy("episode").agg((F.count("*") - 1).alias("last"))
+    own = own.withColumn("last", F.count("*").over(Window.partitionBy("episode")) - 1)
     s, f = F.col("signal"), F.col("frame_idx")
     start = F.floor(f / CLIP) * CLIP
-    return own.join(sizes, "episode").select(
+    return own.select(
         "episode", "frame_idx",
         g.from_euler(F.array(f / 40, 0.1 * F.sin(f / 5), F.lit(0.4))).alias("view_r"), F.array(f / 50, F.cos(f / 9), F.lit(1.5)).alias("view_t"),
         hand(s, f, F.col("event_type") != "error").alias("left"), hand(s / 2 + 1, f, F.col("event_type") != "signup").alias("right"),
@@ -48,16 +68,42 @@ def weighted(numbers: Column, first: int, count: int) -> Column:
     return F.aggregate(F.transform(taken, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
-def by_hand(rows: DataFrame, width: int) -> DataFrame:
-    """A row a slot and hand, `width` numbers each."""
-    slots = rows.select("episode", "frame_idx", F.posexplode(F.arrays_zip("absolute", "relative", "mask")).alias("slot", "m"))
-    each = [F.struct(F.lit(s).alias("hand"), F.col("m.mask")[i].alias("valid"), F.slice("m.absolute", i * width + 1, width).alias("a"), F.slice("m.relative", i * 51 + 1, 51).alias("r")) for i, s in enumerate(windows.HANDS)]
-    return slots.select("episode", "frame_idx", "slot", F.explode(F.array(*each)).alias("h")).select("episode", "frame_idx", "slot", "h.*")
+def weighed(numbers: np.ndarray) -> np.ndarray:
+    """`weighted` of the last axis, in the same order."""
+    total = np.zeros(numbers.shape[:-1])
+    for i in range(numbers.shape[-1]):
+        total += numbers[..., i] * (i + 1)
+    return total
+
 
+def six_digits(x: np.ndarray) -> np.ndarray:
+    """Halves away from zero, and no negative zero."""
+    return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x) + 0.0
 
-def _numbers(rows: DataFrame) -> DataFrame:
-    wrist = [F.round(F.get(c, i), 6).alias(f"{c}{i}") for c in ("a", "r") for i in range(6)]
-    return rows.select("episode", "frame_idx", "slot", "hand", "valid", *wrist, F.round(weighted(F.col("a"), 6, 45), 6).alias("fingers_a"), F.round(weighted(F.col("r"), 6, 45), 6).alias("fingers_r"))
+
+def _columns(numbers: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[list[pa.Array], list[str]]:
+    """Named arrays and where they are null, rounded, as flat Arrow columns."""
+    return [pa.array(six_digits(x).reshape(-1), mask=null.reshape(-1)) for _, x, null in numbers], [name for name, _, _ in numbers]
+
+
+def _numbers(b: windows.Block) -> pa.RecordBatch:
+    """A row a slot and hand of a block: its wrist numbers, and its fingers' as weighted sums."""
+    valid, a, r, no_a, no_r = (np.stack([getattr(h, c) for h in b.hands], 2) for c in ("valid", "absolute", "relative", "no_absolute", "no_relative"))
+    n, slots = valid.shape[:2]
+    # a row of both hands is null as a whole
+    no_a, no_r = (np.broadcast_to(x.any(2, keepdims=True), x.shape) for x in (no_a, no_r))
+    wrist = [(f"{c}{i}", x[..., i], no) for c, x, no in (("a", a, no_a), ("r", r, no_r)) for i in range(6)]
+    columns, names = _columns([*wrist, ("fingers_a", weighed(a[..., 6:]), no_a), ("fingers_r", weighed(r[..., 6:]), no_r)])
+    row = pa.array(np.repeat(np.arange(n), 2 * slots))
+    slot = pa.array(np.tile(np.repeat(np.arange(slots, dtype=np.int32), 2), n))
+    hand = pa.array(windows.HANDS).take(pa.array(np.tile([0, 1], n * slots)))
+    return pa.record_batch([b.episode.take(row), b.frame_idx.take(row), slot, hand, windows.flagged(valid), *columns], names=["episode", "frame_idx", "slot", "hand", "valid", *names])
+
+
+def _moves(spark, sf: str, mode: str) -> DataFrame:
+    rows = two_hands(spark, sf)
+    numbers = [f"{c}{i} double" for c in ("a", "r") for i in range(6)] + ["fingers_a double", "fingers_r double"]
+    return windows.computed(rows, PAST, FUTURE, mode, "angle", _numbers, f"{windows.keys(rows)}, slot int, hand string, valid boolean, {', '.join(numbers)}", states=False)
 
 
 def _matrix(x: str, y: str, z: str) -> list[str]:
@@ -108,29 +154,39 @@ FROM p LEFT JOIN turns t ON t.xs = p.xs AND t.ys = p.ys"""
 @query(moves_sql("x.k = y.k - 1"))
 def training_steps(spark, sf):
     """Windows of two frames back and three ahead, each action against the frame before it."""
-    return _numbers(by_hand(windows.training_rows(two_hands(spark, sf), PAST, FUTURE), 51))
+    return _moves(spark, sf, "step")
 
 
 @query(moves_sql(f"x.k = {PAST}"))
 def training_anchors(spark, sf):
     """The same windows, each action against the anchor."""
-    return _numbers(by_hand(windows.training_rows(two_hands(spark, sf), PAST, FUTURE, "anchor"), 51))
+    return _moves(spark, sf, "anchor")
 
 
 JOINT = ["t0 + 0.01 * j", "t1 + 0.02 * j * cos(s)", "t2 - 0.03 * j"]
 IN_HAND = " + ".join(f"(3 * j + {i + 1}) * ({' + '.join(f'w{3 * k + i} * ({JOINT[k]} - t{k})' for k in range(3))})" for i in range(3))
 
 
+def _states(b: windows.Block) -> pa.RecordBatch:
+    kept, state, no = (np.stack([getattr(h, c) for h in b.hands], 1) for c in ("kept", "state", "no_state"))
+    no = np.broadcast_to(no.any(1, keepdims=True), no.shape)
+    joints, shape = state[..., 6:-10], np.zeros(no.shape)
+    for i in range(10):
+        shape += state[..., i - 10]
+    columns, names = _columns([*[(f"s{i}", state[..., i], no) for i in range(6)], ("joints", weighed(joints), no), ("shape", shape, no)])
+    row = pa.array(np.repeat(np.arange(len(no)), 2))
+    hand = pa.array(windows.HANDS).take(pa.array(np.tile([0, 1], len(no))))
+    return pa.record_batch([b.episode.take(row), b.frame_idx.take(row), hand, windows.flagged(kept), *columns], names=["episode", "frame_idx", "hand", "kept", *names])
+
+
 @query(f"""WITH {SLOTS}, j AS (SELECT *, (SELECT sum({IN_HAND}) FROM range(21) f(j)) AS joints FROM slots)
 SELECT episode, anchor AS frame_idx, hand, kept, {", ".join(rounded(x) + f" AS s{i}" for i, x in enumerate(["d0", "d1", "d2", *turned(nine("c"))]))}, round(joints, 6) + 0 AS joints, 4.5::DOUBLE AS shape
 FROM j WHERE k = {PAST}""")
 def training_states(spark, sf):
     """States with the joints in hand space."""
-    rows = windows.training_rows(two_hands(spark, sf), PAST, FUTURE, kind="keypoints")
-    each = [F.struct(F.lit(s).alias("hand"), F.col("state_mask")[i].alias("kept"), F.slice("state", i * 79 + 1, 79).alias("s")) for i, s in enumerate(windows.HANDS)]
-    flat = rows.select("episode", "frame_idx", F.explode(F.array(*each)).alias("h")).select("episode", "frame_idx", "h.*")
-    total = F.aggregate(F.slice("s", 70, 10), F.lit(0.0), lambda a, x: a + x)
-    return flat.select("episode", "frame_idx", "hand", "kept", *[F.round(F.get("s", i), 6).alias(f"s{i}") for i in range(6)], F.round(weighted(F.col("s"), 6, 63), 6).alias("joints"), F.round(total, 6).alias("shape"))
+    rows = two_hands(spark, sf)
+    numbers = ", ".join(f"{c} double" for c in [*[f"s{i}" for i in range(6)], "joints", "shape"])
+    return windows.computed(rows, PAST, FUTURE, "step", "keypoints", _states, f"{windows.keys(rows)}, hand string, kept boolean, {numbers}", actions=False)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label % 3 <> 0 AS l, label % 2 = 0 AS r FROM embeddings)
