@@ -11,19 +11,47 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspan.sources.folders import scratch
 
+#: Bytes of a row group of a staged file: a trigger's one file is read by several tasks.
+ROW_GROUP = 4 << 20
+#: State in RocksDB, whose commit writes what changed; an in-memory store keeps two versions of all state on the heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state(spark: SparkSession) -> Iterator[None]:
+    """Settings with which a stream with state is started; a query keeps those it started with.
+
+    Every partition of the state costs a commit a trigger, whatever it holds, so there are two a core at most.
+    """
+    parts = "spark.sql.shuffle.partitions"
+    settings = {**STATE, parts: str(min(int(spark.conf.get(parts)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def staged(events: DataFrame, batch: Column, close: str | None = "100 DAYS") -> str:
     """Writes `events` (with a timestamp `ts`) as files in the order of `batch`; `close` is how far past the last `ts` the closing row lies."""
     spark = events.sparkSession
     folder = scratch(spark, f"staged-{uuid.uuid4().hex}")
     rows = events.withColumn("_batch", batch.cast("long"))
-    rows.repartition("_batch").write.partitionBy("_batch").parquet(folder)
+    rows.repartition("_batch").write.partitionBy("_batch").option("parquet.block.size", ROW_GROUP).parquet(folder)
     if close:
         ends = rows.agg(F.max("ts").alias("ts"), F.max("_batch").alias("_batch")).filter("ts IS NOT NULL")
         nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name != "ts"]
@@ -72,7 +100,8 @@ def stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
 def run(rows: DataFrame, progress: list | None = None) -> DataFrame:
     """Runs a stream in append mode over all that is there and returns its sink; `progress` gets what each trigger reported."""
     spark, out = rows.sparkSession, scratch(rows.sparkSession, f"stream-{uuid.uuid4().hex}")
-    query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    with state(spark):
+        query = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if progress is not None:
         progress += [json.loads(p.json) for p in query.recentProgress]
