@@ -57,6 +57,13 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables of a workspace that no later step reads: what follows has its own tables and doesn't come back to them."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_shared(rows: DataFrame, shared: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
     """Left join of `rows` with `shared` (one row a key), whose column `copies` counts the rows of `rows` with that key.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspan.llm.common import free_name, join_shared, store
+from reelspan.llm.common import discard, free_name, join_shared, store
 
 #: Documents that share a gram from which its windows are settled by their hashes: a group's units stay within a few MB.
 HOT = 20_000
@@ -295,6 +295,7 @@ def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, fl
     found = grams.join(shared.hint("shuffle_hash"), "g")
     listed = F.collect_list(F.when(~F.col("crowded"), F.col("g"))).alias("grams"), F.collect_list(F.when(F.col("crowded"), F.col("g"))).alias("hot")
     per_doc = store(found.groupBy("doc_id", "th").agg(*listed), folder, "found").join(copies, ["doc_id", "th"], "left_anti")
+    discard(docs.sparkSession, folder, "grams", "texts", "shared")  # before the texts and their runs are shuffled, where disk use is highest
     runs = slim.join(per_doc.filter(F.size("grams") > 0), ["doc_id", "th"]).select("doc_id", "th", "text", "grams").mapInArrow(_shared_runs(units, size, k), "key long, doc_id long, th long, start int, n int, units binary")
     spans = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_matched(flags, size, dtype), "doc_id long, th long, s int, e int").unionByName(copies)
     crowded = slim.join(per_doc.filter(F.size("hot") > 0), ["doc_id", "th"]).select("doc_id", "th", "text", "hot")
@@ -304,6 +305,7 @@ def cut_repeats(docs: DataFrame, folder: str, size: int, k: int, words: bool, fl
     islands = later.withColumn("_i", F.col("start") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("start")))
     islands = islands.groupBy("doc_id", "th", "_i").agg(F.min("start").alias("s"), (F.max("start") + size).alias("e")).drop("_i")
     spans = store(spans.unionByName(islands).groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("_spans")), folder, "spans")
+    discard(docs.sparkSession, folder, "found", "copies", "hot", "firsts")
     th, doc, own, mine, out = (free_name(docs, x) for x in ("_th", "_doc", "_own", "_spans", "_cut"))
     keyed = docs.withColumn(th, F.xxhash64(F.col("text").cast("binary")))
     joined = keyed.join(spans.withColumnsRenamed({"doc_id": doc, "th": own, "_spans": mine}), (F.col("doc_id") == F.col(doc)) & (F.col(th) == F.col(own)), "left")
