@@ -172,7 +172,8 @@ def predicted(docs: DataFrame, model: LanguageModel | None, as_name: str = "_lan
         langs, scores, beyond = shared.value.predict(list(text))
         return pd.DataFrame({"lang_pred": langs, "score": scores, "beyond": beyond})
 
-    return docs.withColumn(as_name, guess(F.col("text").cast("binary")))
+    # called deterministic, it would be computed once for a filter and once for what reads it, by two workers in each task
+    return docs.withColumn(as_name, guess.asNondeterministic()(F.col("text").cast("binary")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

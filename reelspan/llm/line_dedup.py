@@ -37,6 +37,8 @@ from reelspan.llm.common import ASCII_SPACE, free_name, short_lived_shuffles, ta
 MIN_CHARS = 10
 #: Batches at least, documents of a batch for each core, runs of a level that are merged into one of the next.
 BATCHES, ROWS, FANOUT = 4, 200_000, 2
+#: Documents whose keys a worker holds at a time.
+PART = 500
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -56,13 +58,15 @@ def _keys_of(min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, found = batch.column(0), [], []
-            for text in batch.column(1):
-                own = {line_key(x, min_chars) for x in (text.as_py() or b"").split(b"\n")} - {None}
-                counts.append(len(own))
-                found += own
-            h = hashed(found)
-            yield pa.record_batch([ids.take(pa.array(np.repeat(np.arange(len(counts)), counts))), h[:, 0].copy(), h[:, 1].copy()], schema=schema)
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                ids, counts, found = part.column(0), [], []
+                for text in part.column(1):
+                    own = {line_key(x, min_chars) for x in (text.as_py() or b"").split(b"\n")} - {None}
+                    counts.append(len(own))
+                    found += own
+                h = hashed(found)
+                yield pa.record_batch([ids.take(pa.array(np.repeat(np.arange(len(counts)), counts))), h[:, 0].copy(), h[:, 1].copy()], schema=schema)
 
     return run
 

@@ -274,7 +274,8 @@ def packed(docs: DataFrame, folder: str, path: str, capacity: int = CAPACITY) ->
     before = rest.groupBy("length", "_b").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).drop("_n")
     ranked = rest.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "_b"]).withColumn("_rank", F.col("_base") + F.col("_r"))
-    ranges = spark.createDataFrame(plan(counts, capacity), "_length long, _lo long, _hi long, _seq0 long")  # some thousand rows at most, by the histogram's size
+    # some thousand rows at most, by the histogram's size; as Arrow, since a list would start Python workers of another kind on the executors
+    ranges = spark.createDataFrame(pa.table(np.array(plan(counts, capacity), np.int64).reshape(-1, 4).T.tolist(), pa.schema([(c, pa.int64()) for c in ("_length", "_lo", "_hi", "_seq0")])))
     placed = ranked.join(F.broadcast(ranges), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     placed = placed.withColumn("sequence_id", F.col("_seq0") + F.col("_rank") - F.col("_lo"))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_rank")
