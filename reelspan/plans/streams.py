@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from reelspan.plans.queries import query
 from reelspan.sources.folders import scratch
 from reelspan.sources.tables import table
-from reelspan.streaming import ingest, replays
+from reelspan.streaming import ingest, replays, sessions
 
 DAYS = 4
 
 
-def staged(spark, sf: str) -> str:
-    """`events` as files of four days each, in the order of time."""
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def staged(spark, sf: str, *columns: str) -> str:
+    """`events` (of its columns these, if any are named) as files of four days each, in the order of time."""
+    events = table(spark, sf, "events").select(*columns or "*").withColumn("ts", F.col("ts").cast("timestamp"))
     return replays.staged(events, F.floor(F.unix_seconds("ts") / (DAYS * 86400)))
 
 
@@ -48,8 +48,8 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '5 hours' AS session_end, count(*) AS n FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf):
     """Sessions, each once, when the watermark has closed it."""
-    rows = replays.in_time(spark, staged(spark, sf))
-    out = replays.run(replays.sessions(rows, "user_id", "5 hours"))
+    rows = replays.in_time(spark, staged(spark, sf, "user_id", "ts"))
+    out = replays.run(sessions.bucketed(rows, "user_id", "5 hours"))
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
