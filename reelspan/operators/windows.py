@@ -7,6 +7,9 @@ that hold for the episode. A range is a struct (start, end) of the frames, both
 
 A window has W = past + 1 + future slots, and one after them. Tasks read their episodes' frames in order, a frame once, and compute
 the windows of some hundred anchors together; a task holds a batch of frames, however long an episode is.
+
+Hands are some KB a frame. Where they follow from less, frames have what they follow from instead of left and right, and a function `made` of a
+batch of frames and a side gives its structs inside the task, so that hands are neither shuffled nor sorted.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from reelspan.functions import geometry as g
 from reelspan.operators.episodes import by_frame
 
 HANDS = ("left", "right")
+#: Parts of a hand that are lists of lists.
+NESTED = ("fingers", "joints")
+#: What makes a side's hands of a batch of frames.
+Made = Callable[[pa.RecordBatch, str], pa.StructArray]
 #: Numbers of a hand's wrist in an action, and of all features of actions and of states.
 WRIST, ACTIONS, STATES = 6, 192, 212
 
@@ -32,7 +39,7 @@ def check(mode: str, kind: str) -> None:
         raise ValueError(f"mode is step or anchor, not {mode}; kind is angle or keypoints, not {kind}")
 
 
-def training_rows(frames: DataFrame, past: int, future: int, mode: str = "step", kind: str = "angle") -> DataFrame:
+def training_rows(frames: DataFrame, past: int, future: int, mode: str = "step", kind: str = "angle", made: Made | None = None) -> DataFrame:
     """episode, frame_idx, absolute and relative (W rows of both hands' numbers), mask (W x 2), state and state_mask (2) for each frame as anchor.
 
     mode: actions against the frame before (step) or the anchor; kind: finger angles, or joints in hand space (keypoints), as held numbers.
@@ -41,22 +48,24 @@ def training_rows(frames: DataFrame, past: int, future: int, mode: str = "step",
     """
     rows = "array<array<double>>"
     schema = f"{keys(frames)}, absolute {rows}, relative {rows}, mask array<array<boolean>>, state array<double>, state_mask array<boolean>"
-    return computed(frames, past, future, mode, kind, _lists, schema)
+    return computed(frames, past, future, mode, kind, _lists, schema, made=made)
 
 
-def computed(frames: DataFrame, past: int, future: int, mode: str, kind: str, use: Callable[[Block], pa.RecordBatch], schema: str, actions: bool = True, states: bool = True) -> DataFrame:
+def computed(frames: DataFrame, past: int, future: int, mode: str, kind: str, use: Callable[[Block], pa.RecordBatch], schema: str, actions: bool = True, states: bool = True, made: Made | None = None) -> DataFrame:
     """What `use` makes of each block of training rows inside the tasks, where the rows themselves would be many and wide."""
     check(mode, kind)
     parts = ["kept", "r", "t", *(["fingers"] if actions or kind == "angle" else []), *(["joints"] if kind == "keypoints" else []), *(["shape"] if states else [])]
-    nested = ("fingers", "joints")
-    hands = [(F.flatten(F.col(f"{s}.{c}")) if c in nested else F.col(f"{s}.{c}")).alias(f"{s}_{c}") for s in HANDS for c in parts]
+    if made:  # all other columns
+        hands = [c for c in frames.columns if c not in ("episode", "frame_idx", "view_r", "view_t", "left_range", "right_range")]
+    else:
+        hands = [(F.flatten(F.col(f"{s}.{c}")) if c in NESTED else F.col(f"{s}.{c}")).alias(f"{s}_{c}") for s in HANDS for c in parts]
     ranges = [F.col(f"{s}_range.{e}").cast("long").alias(f"{s}_{e}") for s in HANDS for e in ("start", "end")]
     # the window function also puts each episode into one task, in order
     following = F.lead("frame_idx").over(by_frame()).alias("next")
     rows = frames.select("episode", "frame_idx", following, "view_r", "view_t", *ranges, *hands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, first, last in anchored(batches, past, future):
+        for held, first, last in anchored(with_hands(batches, parts, made) if made else batches, past, future):
             for at in range(first, last, AT_ONCE):
                 stop = min(at + AT_ONCE, last)
                 low = max(0, at - past)
@@ -69,8 +78,35 @@ def keys(frames: DataFrame) -> str:
     return ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("episode", "frame_idx"))
 
 
-#: Anchors that are computed at once: some MB of numbers.
-AT_ONCE = 512
+#: Anchors that are computed at once: some MB of numbers; and frames whose hands are made at once.
+AT_ONCE, MADE_AT_ONCE = 512, 2048
+
+
+def with_hands(batches: Iterator[pa.RecordBatch], parts: list[str], made: Made) -> Iterator[pa.RecordBatch]:
+    """Frames with the named parts of their made hands as columns."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, MADE_AT_ONCE):
+            rows = batch.slice(at, MADE_AT_ONCE)
+            columns = {c: rows.column(c) for c in ("episode", "frame_idx", "next", "view_r", "view_t", *[f"{s}_{e}" for s in HANDS for e in ("start", "end")])}
+            for side in HANDS:
+                hand = made(rows, side)
+                # flatten also makes the parts of a missing hand null
+                found = dict(zip([f.name for f in hand.type], hand.flatten(), strict=True))
+                columns |= {f"{side}_{c}": flattened(found[c]) if c in NESTED else found[c] for c in parts}
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def flattened(column: pa.Array) -> pa.Array:
+    """Spark's flatten: lists of lists as one list a row, null where one of them is."""
+
+    def up_to(counts: pa.Array) -> np.ndarray:
+        return np.append(0, np.cumsum(counts.fill_null(0).to_numpy(zero_copy_only=False)))
+
+    inner = column.flatten()
+    rows = up_to(column.value_lengths())
+    gone = np.diff(up_to(inner.is_null().cast(pa.int32()))[rows]) > 0
+    mask = gone | column.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(up_to(inner.value_lengths())[rows].astype(np.int32)), inner.flatten(), mask=pa.array(mask))
 
 
 def anchored(batches: Iterator[pa.RecordBatch], past: int, future: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:

@@ -47,8 +47,8 @@ def hand(s: Column, frame: Column, kept: Column) -> Column:
     return F.arrow_udf(_hand, HAND)(s, frame, kept)
 
 
-def two_hands(spark, sf: str) -> DataFrame:
-    """Frames with both hands: the left may use the whole episode, the right its clip of twelve frames."""
+def hand_signals(spark, sf: str) -> DataFrame:
+    """Frames with the signals and flags of both hands: the left may use the whole episode, the right its clip of twelve frames."""
     own = frames(spark, sf, EACH).select("episode", "frame_idx", "signal", "event_type")
     own = own.withColumn("last", F.count("*").over(Window.partitionBy("episode")) - 1)
     s, f = F.col("signal"), F.col("frame_idx")
@@ -56,12 +56,23 @@ def two_hands(spark, sf: str) -> DataFrame:
     return own.select(
         "episode", "frame_idx",
         g.from_euler(F.array(f / 40, 0.1 * F.sin(f / 5), F.lit(0.4))).alias("view_r"), F.array(f / 50, F.cos(f / 9), F.lit(1.5)).alias("view_t"),
-        hand(s, f, F.col("event_type") != "error").alias("left"), hand(s / 2 + 1, f, F.col("event_type") != "signup").alias("right"),
+        s.alias("left_signal"), (F.col("event_type") != "error").alias("left_kept"), (s / 2 + 1).alias("right_signal"), (F.col("event_type") != "signup").alias("right_kept"),
         F.struct(F.lit(0).cast("long").alias("start"), F.col("last").alias("end")).alias("left_range"),
         F.struct(start.alias("start"), F.least(start + CLIP - 1, F.col("last")).alias("end")).alias("right_range"),
     )
 
 
+def made(rows: pa.RecordBatch, side: str) -> pa.StructArray:
+    """A side's hands of frames of `hand_signals`."""
+    return _hand(rows.column(f"{side}_signal"), rows.column("frame_idx"), rows.column(f"{side}_kept"))
+
+
+def two_hands(spark, sf: str) -> DataFrame:
+    """Frames with both hands as columns."""
+    hands = [hand(F.col(f"{s}_signal"), F.col("frame_idx"), F.col(f"{s}_kept")).alias(s) for s in windows.HANDS]
+    return hand_signals(spark, sf).select("episode", "frame_idx", "view_r", "view_t", *hands, "left_range", "right_range")
+
+
 def weighted(numbers: Column, first: int, count: int) -> Column:
     """Sum of numbers times their place, so that any two exchanged ones show."""
     taken = F.slice(numbers, first + 1, count)
@@ -101,9 +112,9 @@ def _numbers(b: windows.Block) -> pa.RecordBatch:
 
 
 def _moves(spark, sf: str, mode: str) -> DataFrame:
-    rows = two_hands(spark, sf)
+    rows = hand_signals(spark, sf)
     numbers = [f"{c}{i} double" for c in ("a", "r") for i in range(6)] + ["fingers_a double", "fingers_r double"]
-    return windows.computed(rows, PAST, FUTURE, mode, "angle", _numbers, f"{windows.keys(rows)}, slot int, hand string, valid boolean, {', '.join(numbers)}", states=False)
+    return windows.computed(rows, PAST, FUTURE, mode, "angle", _numbers, f"{windows.keys(rows)}, slot int, hand string, valid boolean, {', '.join(numbers)}", states=False, made=made)
 
 
 def _matrix(x: str, y: str, z: str) -> list[str]:
