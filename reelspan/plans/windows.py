@@ -195,9 +195,9 @@ SELECT episode, anchor AS frame_idx, hand, kept, {", ".join(rounded(x) + f" AS s
 FROM j WHERE k = {PAST}""")
 def training_states(spark, sf):
     """States with the joints in hand space."""
-    rows = two_hands(spark, sf)
+    rows = hand_signals(spark, sf)
     numbers = ", ".join(f"{c} double" for c in [*[f"s{i}" for i in range(6)], "joints", "shape"])
-    return windows.computed(rows, PAST, FUTURE, "step", "keypoints", _states, f"{windows.keys(rows)}, hand string, kept boolean, {numbers}", actions=False)
+    return windows.computed(rows, PAST, FUTURE, "step", "keypoints", _states, f"{windows.keys(rows)}, hand string, kept boolean, {numbers}", actions=False, made=made)
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label % 3 <> 0 AS l, label % 2 = 0 AS r FROM embeddings)
